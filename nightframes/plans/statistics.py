@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframes.operators import incremental as N
 from nightframes.operators import planes as P
 from nightframes.operators import stars as D
 from nightframes.operators import stats as A
 from nightframes.plans import fixtures as X
 from nightframes.plans.registry import listed, query, six
-from nightframes.session import staged
 
 STAT_NAMES = (
     "min max mean median zeros min_count max_count count sigma mad mode saturated saturation"
@@ -223,14 +221,3 @@ def plane_background(spark: SparkSession, sf_dir: str) -> DataFrame:
 def star_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = X.star_lines(spark, sf_dir).filter("y = 0")
     return lines.select("frame_id", *P.DESCRIPTOR)
-
-
-@query(
-    f"""with {X.STAR_SQL} select frame_id, round(min(v), 6) as min, round(max(v), 6) as max, round(quantile_cont(v, 0.5), 6) as median, count(*) as count,
- 2::bigint as star_count from star group by frame_id"""
-)
-def measured_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and stars asked for together; every field holds two stars."""
-    lines = staged(X.star_lines(spark, sf_dir), "lines")
-    out = N.measure_frames(lines, star_frames(spark, sf_dir), pixel_stats=True, stars=True)
-    return out.select("frame_id", six("min"), six("max"), six("median"), "count", "star_count")
