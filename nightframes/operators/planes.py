@@ -66,6 +66,15 @@ def green_plane(scanlines: DataFrame) -> DataFrame:
 # --- detection plane ----------------------------------------------------------------
 
 
+def green_parity(cfa: Column) -> Column:
+    """Parity of x + y at the two green sites of a 2x2 cell."""
+    return F.when(cfa.isin("RGGB", "BGGR"), 1).otherwise(0)
+
+
+def is_green_site(x: Column, y: Column, cfa: Column) -> Column:
+    return (x + y) % 2 == green_parity(cfa)
+
+
 def detection_rows(scanlines: DataFrame) -> DataFrame:
     """Scanlines of the plane stars are looked for on.
 
@@ -93,9 +102,9 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
     )
 
     cfa = S.cfa_pattern(F.col("bayerpat"))
-    even_site = F.when(cfa.isin("RGGB", "BGGR"), 1).otherwise(0)
     half_w, half_h = F.floor(F.col("width") / 2).cast("int"), F.floor(F.col("height") / 2).cast("int")
-    site = F.when(F.col("y") % 2 == 0, even_site).otherwise(1 - even_site)
+    # The green site's column inside a cell, for the scanline at hand.
+    site = F.pmod(green_parity(cfa) - F.col("y"), F.lit(2))
     # Every row keeps only its green sites before the two rows of a cell meet.
     greens = F.transform(
         F.sequence(F.lit(0), half_w - 1), lambda cx: F.element_at(scaled, cx * 2 + site + 1)
