@@ -72,16 +72,18 @@ def trim_float(v: Column) -> Column:
     """Whole numbers without a fraction, others with up to six decimals."""
     whole = (v == F.floor(v).cast("double")) & (F.abs(v) < 1e15)
     text = F.regexp_replace(F.format_string("%.6f", v), "\\.?0+$", "")
-    return F.when(whole, v.cast("bigint").cast("string")).otherwise(text)
+    return F.when(whole, v.cast("bigint").cast("string")).when(v.isNotNull(), text)
 
 
 def format_stat(v: Column) -> Column:
     """Whole numbers without a fraction, others to three decimals."""
-    return F.when(v == F.rint(v), F.format_string("%.0f", v)).otherwise(F.format_string("%.3f", v))
+    return F.when(v == F.rint(v), F.format_string("%.0f", v)).when(
+        v.isNotNull(), F.format_string("%.3f", v)
+    )
 
 
 def format_star(v: Column) -> Column:
-    return F.format_string("%.2f", v)
+    return F.when(v.isNotNull(), F.format_string("%.2f", v))
 
 
 def shortest_float(v: Column) -> Column:
@@ -124,7 +126,7 @@ def format_coordinate(axis: str, deg: Column) -> Column:
     value = deg / 15.0 if axis == "ra" else deg
     parts = to_sexagesimal(F.abs(value))
     pattern = "%s%dh %02dm %05.2fs (%sh)" if axis == "ra" else "%s%d° %02d' %05.2f\" (%s°)"
-    return F.format_string(
+    text = F.format_string(
         pattern,
         F.when(value < 0, "-").otherwise(""),
         parts["whole"],
@@ -132,6 +134,7 @@ def format_coordinate(axis: str, deg: Column) -> Column:
         parts["seconds"],
         trim_float(value),
     )
+    return F.when(deg.isNotNull(), text)
 
 
 def coordinate(axis: str, deg: Column, text: Column) -> Column:

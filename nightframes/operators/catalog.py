@@ -222,6 +222,11 @@ def add_paths(working: DataFrame, new: DataFrame) -> DataFrame:
 # --- content hashes -----------------------------------------------------------------
 
 
+def content_hash(content: Column) -> Column:
+    """SHA-256 of a binary column, such as a file's bytes."""
+    return F.sha2(content, 256)
+
+
 def header_hash(cards: DataFrame) -> DataFrame:
     """SHA-256 of a frame's cards in order, one ``name=value`` line each."""
     line = F.concat(F.col("name"), F.lit("="), F.coalesce("value", F.lit("")))
