@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +87,18 @@ def rolling_metric(
         .agg(F.count(F.lit(1)).alias("frames"), F.avg(value).alias("mean_value"))
         .select("session_id", F.col("w.start").alias("window_start"), "frames", "mean_value")
     )
+
+
+def write_stream(stream: DataFrame, folder: str, name: str) -> str:
+    """Run ``stream`` over all input there is into Parquet below ``folder``; returns the path."""
+    base = f"{folder}/{name}-{uuid.uuid4().hex}"
+    query = (
+        stream.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{base}/out")
+        .option("checkpointLocation", f"{base}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return f"{base}/out"
