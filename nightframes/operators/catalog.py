@@ -43,20 +43,27 @@ CATALOG_KEYWORDS = [keyword for _, keyword, _ in CATALOG_FIELDS]
 def header_values(cards: DataFrame) -> DataFrame:
     """One row per frame with the first value of every catalog keyword, as text.
 
-    The keyword list is fixed, so this is one filtered grouping without a job to find the
-    names; frames without any of the cards are absent. With a ``vtype`` column text fields
-    take quoted values only and number fields unquoted ones.
+    The keyword list is fixed, so no job is needed to find the names; frames without any of
+    the cards are absent. Repeated cards are reduced to the first on the map side, then a
+    frame has at most one row per keyword and type. With a ``vtype`` column text fields take
+    quoted values only and number fields unquoted ones.
     """
+    typed = "vtype" in cards.columns
+    key = F.concat_ws(" ", F.col("name"), F.col("vtype")) if typed else F.col("name")
     wanted = cards.filter(F.col("name").isin(*CATALOG_KEYWORDS) & F.col("value").isNotNull())
-    columns = []
-    for column, keyword, kind in CATALOG_FIELDS:
-        match = F.col("name") == keyword
-        if "vtype" in cards.columns:
-            match = match & (F.col("vtype") == ("string" if kind == "string" else "number"))
-        columns.append(
-            F.min_by(F.when(match, F.col("value")), F.when(match, F.col("ord"))).alias(column)
-        )
-    return wanted.groupBy("frame_id").agg(*columns)
+    first = wanted.groupBy("frame_id", key.alias("key")).agg(
+        F.min_by("value", "ord").alias("value")
+    )
+    entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    by_name = first.groupBy("frame_id").agg(entries.alias("values"))
+
+    def field(keyword: str, kind: str) -> Column:
+        suffix = (" string" if kind == "string" else " number") if typed else ""
+        return F.try_element_at("values", F.lit(keyword + suffix))
+
+    return by_name.select(
+        "frame_id", *[field(keyword, kind).alias(column) for column, keyword, kind in CATALOG_FIELDS]
+    )
 
 
 def catalog(cards: DataFrame) -> DataFrame:

@@ -107,7 +107,10 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
     site = F.pmod(green_parity(cfa) - F.col("y"), F.lit(2))
     # Every row keeps only its green sites before the two rows of a cell meet.
     greens = F.transform(
-        F.sequence(F.lit(0), half_w - 1), lambda cx: F.element_at(scaled, cx * 2 + site + 1)
+        F.sequence(F.lit(0), half_w - 1),
+        lambda cx: S.physical(
+            F.element_at("samples", cx * 2 + site + 1), F.col("bscale"), F.col("bzero")
+        ),
     )
     mosaic = (
         rows.filter((F.col("shape") == "mosaic") & cfa.isNotNull() & (half_w > 0))

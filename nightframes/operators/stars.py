@@ -8,8 +8,11 @@ by smallest-label rounds over the band components that touch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +23,11 @@ from nightframes.operators.stats import (
     MAD_TO_SIGMA,
     frame_medians,
     is_finite,
-    with_median_and_mad,
+    median_and_mad,
 )
-from nightframes.session import attach, staged
+from nightframes.session import attach, ship, staged
+
+ship(__name__)
 
 # Detection threshold in MADs, area bounds in pixels, FWHM per sigma.
 SIGMA_K = 5.0
@@ -45,17 +50,18 @@ def plane_background(plane_rows: DataFrame, group_rows: int = GROUP_ROWS) -> Dat
     A plane whose source has a ceiling has a bounded number of values and is counted;
     others are ranked.
     """
-    px = plane_rows.select("frame_id", "saturation", F.explode("values").alias("v"))
     bounded = is_finite(F.col("saturation"))
-    counts = px.filter(bounded).groupBy("frame_id", "v").agg(F.count(F.lit(1)).alias("n"))
-    counted = (
-        with_median_and_mad(counts)
-        .groupBy("frame_id")
-        .agg(F.first("median").alias("median"), F.first("mad").alias("mad"))
-    )
-    free = px.filter(~bounded & is_finite(F.col("v"))).select("frame_id", "v")
-    medians = frame_medians(free, group_rows=group_rows)
-    medians = staged(medians, "medians")
+
+    def pixels(rows: DataFrame) -> DataFrame:
+        return rows.select("frame_id", F.explode("values").alias("v")).filter(is_finite(F.col("v")))
+
+    counts = pixels(plane_rows.filter(bounded)).groupBy("frame_id", "v")
+    counted = median_and_mad(counts.agg(F.count(F.lit(1)).alias("n")))
+    free_rows = plane_rows.filter(~bounded)
+    if free_rows.isEmpty():
+        return counted
+    free = pixels(free_rows)
+    medians = staged(frame_medians(free, group_rows=group_rows), "medians")
     dev = attach(free, medians, ["frame_id"], F.col("v")).withColumn(
         "dev", F.abs(F.col("v") - F.col("median"))
     )
@@ -118,17 +124,17 @@ def run_id(y: Column, x0: Column) -> Column:
 # --- components ---------------------------------------------------------------------
 
 
-def _touching(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of runs in neighbouring scanlines that touch, also diagonally.
+def _touching(line: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of runs in consecutive lines that touch, also diagonally.
 
-    Runs are sorted by (y, x0), so the partners of a run are one slice of the next line.
+    Runs are sorted by (line, x0), so the partners of a run are one slice of the next line.
     """
-    stride = int(x1.max()) + 3 if len(x1) else 1
-    starts, ends = y * stride + x0, y * stride + x1
-    first = np.searchsorted(ends, (y + 1) * stride + x0 - 1, side="left")
-    last = np.searchsorted(starts, (y + 1) * stride + x1 + 1, side="right")
+    stride = int(x1.max()) + 3
+    starts, ends = line * stride + x0, line * stride + x1
+    first = np.searchsorted(ends, (line + 1) * stride + x0 - 1, side="left")
+    last = np.searchsorted(starts, (line + 1) * stride + x1 + 1, side="right")
     size = np.maximum(last - first, 0)
-    upper = np.repeat(np.arange(len(y)), size)
+    upper = np.repeat(np.arange(len(line)), size)
     offset = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     return upper, np.repeat(first, size) + offset
 
@@ -146,31 +152,60 @@ def _smallest_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _label_band(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["y", "x0"], ignore_index=True)
-    y, x0, x1 = (pdf[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
-    label = _smallest_labels(len(pdf), *_touching(y, x0, x1))
-    run = pdf["run"].to_numpy()
-    return pd.DataFrame(
-        {"frame_id": pdf["frame_id"], "run": run, "y": pdf["y"], "x0": pdf["x0"], "x1": pdf["x1"], "part": run[label]}
-    )
+def _band_starts(rows: pa.Table) -> np.ndarray:
+    """Whether a row is the first of its (frame, band)."""
+    same = np.ones(len(rows) - 1, dtype=bool)
+    for name in ("frame_id", "band"):
+        column = rows[name].combine_chunks()
+        same &= pc.equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.concatenate(([True], ~same))
+
+
+def _label_rows(rows: pa.Table) -> pa.Table:
+    """Add ``part``, the smallest run of the component, for whole bands of sorted runs."""
+    y, x0, x1, run = (rows[c].to_numpy().astype(np.int64) for c in ("y", "x0", "x1", "run"))
+    # Number the lines so that they follow each other inside a band only.
+    band = np.cumsum(_band_starts(rows))
+    line = y - y.min() + band * (y.max() - y.min() + 2)
+    label = _smallest_labels(len(run), *_touching(line, x0, x1))
+    return rows.drop_columns(["band"]).append_column("part", pa.array(run[label]))
+
+
+def _label_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Label bands as they arrive; the last band of a batch waits for its remaining runs."""
+    held = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        cut = int(np.flatnonzero(_band_starts(rows))[-1])
+        if cut:
+            yield from _label_rows(rows.slice(0, cut)).to_batches()
+        held = rows.slice(cut)
+    if held is not None:
+        yield from _label_rows(held).to_batches()
 
 
 def label_runs(runs: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     """``frame_id, run, label`` for runs ``frame_id, y, x0, x1``.
 
-    The label is the component's smallest run id.
+    The label is the component's smallest run id. Bands are shuffled and sorted by Spark and
+    labelled in Arrow batches, many bands at a time.
     """
     slim = runs.select(
         "frame_id",
+        F.floor(F.col("y") / band_rows).alias("band"),
         F.col("y").cast("int").alias("y"),
         F.col("x0").cast("int").alias("x0"),
         F.col("x1").cast("int").alias("x1"),
         run_id(F.col("y"), F.col("x0")).alias("run"),
     )
-    schema = f"frame_id {dict(runs.dtypes)['frame_id']}, run bigint, y int, x0 int, x1 int, part bigint"
+    schema = f"frame_id {dict(runs.dtypes)['frame_id']}, y int, x0 int, x1 int, run bigint, part bigint"
     parts = staged(
-        slim.groupBy("frame_id", F.floor(F.col("y") / band_rows)).applyInPandas(_label_band, schema),
+        slim.repartition("frame_id", "band")
+        .sortWithinPartitions("frame_id", "band", "y", "x0")
+        .mapInArrow(_label_bands, schema),
         "parts",
     )
     merged = _merge_parts(parts, band_rows)

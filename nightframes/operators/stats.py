@@ -13,6 +13,8 @@ narrows the median by counting beyond that.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,31 +80,58 @@ def _running(w, *order):
     return w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _central(values: str, cum: str, w) -> Column:
-    """Mean of the two central samples (the same one twice for an odd number)."""
-    n, cum, total = F.col("n"), F.col(cum), F.col("total")
-
-    def holder(rank: Column) -> Column:
-        inside = (cum - n <= rank) & (rank < cum)
-        return F.min(F.when(inside, F.col(values))).over(w)
+def _mid_ranks(total: Column) -> tuple[Column, Column]:
+    """0-based ranks of the two central samples (the same one twice for an odd number)."""
+    return F.floor((total - 1) / 2), F.floor(total / 2)
 
-    return (holder(F.floor((total - 1) / 2)) + holder(F.floor(total / 2))) / 2
 
+def _with_deviations(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the frame's ``total, lo, hi, mean, top_n, median`` and each value's ``dev, cum_dev``.
 
-def with_median_and_mad(counts: DataFrame, keys: list[str] = ["frame_id"]) -> DataFrame:
-    """Add ``total, median, mad`` of the frame to every value-count row.
-
-    One shuffle by frame; the group is bounded by the sample type's number of values.
+    One shuffle by frame, into groups bounded by the sample type's number of values; two
+    sorts inside it, by value and by deviation. Columns not used later are pruned.
     """
     w = Window.partitionBy(*keys)
+    by_value = w.orderBy("v")
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v, n = F.col("v"), F.col("n")
+    low, high = _mid_ranks(F.col("total"))
+
+    def holder(rank: Column) -> Column:
+        return F.max(F.when(F.col("cum") - n <= rank, v)).over(whole)
+
     return (
-        counts.withColumn("total", F.sum("n").over(w))
-        .withColumn("cum", F.sum("n").over(_running(w, "v")))
-        .withColumn("median", _central("v", "cum", w))
-        .withColumn("dev", F.abs(F.col("v") - F.col("median")))
+        counts.withColumns(
+            {
+                "cum": F.sum("n").over(_running(w, "v")),
+                "total": F.sum("n").over(whole),
+                "lo": F.min("v").over(whole),
+                "hi": F.max("v").over(whole),
+                "mean": F.sum(v * n).over(whole) / F.sum("n").over(whole),
+                "top_n": F.max("n").over(whole),
+            }
+        )
+        .withColumn("median", (holder(low) + holder(high)) / 2)
+        .withColumn("dev", F.abs(v - F.col("median")))
         .withColumn("cum_dev", F.sum("n").over(_running(w, "dev", "v")))
-        .withColumn("mad", MAD_TO_SIGMA * _central("dev", "cum_dev", w))
-        .drop("cum", "cum_dev")
+    )
+
+
+def _deviation_at(rank: Column) -> Column:
+    """Aggregate: the deviation holding ``rank`` in the sorted deviations."""
+    return F.max(F.when(F.col("cum_dev") - F.col("n") <= rank, F.col("dev")))
+
+
+def median_and_mad(counts: DataFrame, keys: list[str] = ["frame_id"]) -> DataFrame:
+    """``median, mad`` per key from value counts."""
+    low, high = _mid_ranks(F.col("total"))
+    return (
+        _with_deviations(counts, keys)
+        .groupBy(*keys)
+        .agg(
+            F.first("median").alias("median"),
+            (MAD_TO_SIGMA * ((_deviation_at(low) + _deviation_at(high)) / 2)).alias("mad"),
+        )
     )
 
 
@@ -115,20 +144,29 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int = HISTOGRAM_BINS) ->
     return F.when(hi > lo, F.least(scaled.cast("int"), F.lit(bins - 1))).otherwise(0)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value`` computed once; inside a lambda it would be redone per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dense(pairs: Column, bins: int = HISTOGRAM_BINS) -> Column:
     """Array of ``bins`` counts from an array of (bin, count) structs without repeats."""
-    by_bin = F.map_from_entries(pairs)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda i: F.coalesce(F.try_element_at(by_bin, i), F.lit(0).cast("bigint")),
+    return bound(
+        F.map_from_entries(pairs),
+        lambda by_bin: F.transform(
+            F.sequence(F.lit(0), F.lit(bins - 1)),
+            lambda i: F.coalesce(F.try_element_at(by_bin, i), F.lit(0).cast("bigint")),
+        ),
     )
 
 
 def histogram_heights(histogram: Column) -> Column:
     """Bar heights in 0..1 on a logarithmic scale; all zero for an empty frame."""
-    top = F.ln((F.array_max(histogram) + 1).cast("double"))
-    return F.transform(
-        histogram, lambda c: F.when(top > 0, F.ln((c + 1).cast("double")) / top).otherwise(0.0)
+    return bound(
+        F.ln((F.array_max(histogram) + 1).cast("double")),
+        lambda top: F.transform(
+            histogram, lambda c: F.when(top > 0, F.ln((c + 1).cast("double")) / top).otherwise(0.0)
+        ),
     )
 
 
@@ -151,19 +189,16 @@ def histogram_levels(histogram: Column, width: int, rows: int = 10, log: bool =
     def weight(c: Column) -> Column:
         return F.ln((c + 1).cast("double")) if log else c.cast("double")
 
-    def levels(cols: Column) -> Column:
-        top = weight(F.array_max(cols))
-        return F.transform(
-            cols,
-            lambda c: F.when(
-                c > 0, F.greatest(S.half_away(weight(c) / top * (rows * 4)), F.lit(1.0))
-            )
-            .otherwise(0.0)
-            .cast("int"),
-        )
+    def level(c: Column, top: Column) -> Column:
+        steps = F.greatest(S.half_away(weight(c) / top * (rows * 4)), F.lit(1.0))
+        return F.when(c > 0, steps).otherwise(0.0).cast("int")
 
-    # Bind the resampled columns once; they are used for the maximum and the heights.
-    return F.transform(F.array(columns), levels)[0]
+    return bound(
+        columns,
+        lambda cols: bound(
+            weight(F.array_max(cols)), lambda top: F.transform(cols, lambda c: level(c, top))
+        ),
+    )
 
 
 # --- statistics from counts ---------------------------------------------------------
@@ -171,42 +206,36 @@ def histogram_levels(histogram: Column, width: int, rows: int = 10, log: bool =
 
 def stats_from_counts(counts: DataFrame, keys: list[str] = ["frame_id"]) -> DataFrame:
     """All statistics fields per frame from ``keys, v, n, saturation`` rows."""
-    w = Window.partitionBy(*keys)
-    v, n, total = F.col("v"), F.col("n"), F.col("total")
-    rows = (
-        with_median_and_mad(counts, keys)
-        .withColumn("lo", F.min("v").over(w))
-        .withColumn("hi", F.max("v").over(w))
-        .withColumn("mean", F.sum(v * n).over(w) / total)
-        .withColumn("bin", bin_index(v, F.col("lo"), F.col("hi")))
-    )
+    v, n, mean = F.col("v"), F.col("n"), F.col("mean")
+    low, high = _mid_ranks(F.col("total"))
+    rows = _with_deviations(counts, keys)
     # Two levels of grouping inside the same partitioning: bins, then frames.
-    per_bin = rows.groupBy(*keys, "bin").agg(
+    per_bin = rows.groupBy(*keys, bin_index(v, F.col("lo"), F.col("hi")).alias("bin")).agg(
         F.sum("n").alias("bin_n"),
-        F.min("v").alias("bin_min"),
-        F.max("v").alias("bin_max"),
-        F.min_by("n", "v").alias("bin_min_n"),
-        F.max_by("n", "v").alias("bin_max_n"),
+        F.sum(F.when(v == F.col("lo"), n).otherwise(0)).alias("min_count"),
+        F.sum(F.when(v == F.col("hi"), n).otherwise(0)).alias("max_count"),
         F.sum(F.when(v == 0, n).otherwise(0)).alias("zeros"),
         F.sum(F.when(v == F.col("saturation"), n).otherwise(0)).alias("saturated"),
-        F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("sq"),
-        F.max(F.struct("n", (-v).alias("neg"))).alias("peak"),
-        *[F.first(c).alias(c) for c in ("mean", "median", "mad", "total", "saturation")],
+        F.sum(n * (v - mean) * (v - mean)).alias("sq"),
+        F.min(F.when(n == F.col("top_n"), v)).alias("mode"),
+        _deviation_at(low).alias("dev_low"),
+        _deviation_at(high).alias("dev_high"),
+        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median", "total", "saturation")],
     )
     return (
         per_bin.groupBy(*keys)
         .agg(
-            F.min("bin_min").alias("min"),
-            F.max("bin_max").alias("max"),
+            F.first("lo").alias("min"),
+            F.first("hi").alias("max"),
             F.first("mean").alias("mean"),
             F.first("median").alias("median"),
             F.sum("zeros").alias("zeros"),
-            F.min_by("bin_min_n", "bin_min").alias("min_count"),
-            F.max_by("bin_max_n", "bin_max").alias("max_count"),
+            F.sum("min_count").alias("min_count"),
+            F.sum("max_count").alias("max_count"),
             F.first("total").alias("count"),
             F.sqrt(F.sum("sq") / F.first("total")).alias("sigma"),
-            F.first("mad").alias("mad"),
-            (0.0 - F.max("peak")["neg"]).alias("mode"),
+            (MAD_TO_SIGMA * ((F.max("dev_low") + F.max("dev_high")) / 2)).alias("mad"),
+            F.min("mode").alias("mode"),
             F.sum("saturated").alias("saturated"),
             F.first("saturation").alias("saturation"),
             dense(F.collect_list(F.struct("bin", "bin_n"))).alias("histogram"),
@@ -342,35 +371,46 @@ _VALUE_FIELDS = "frame_id lo hi mean median zeros count sigma mad min_count max_
 def _sorted_stats(finite: DataFrame) -> DataFrame:
     """One shuffle by frame; ranks, moments and bins all reuse it."""
     w = Window.partitionBy("frame_id")
-    v, median, lo, hi = (F.col(c) for c in ("v", "median", "lo", "hi"))
-    total, rank = F.col("total"), F.col("rank")
-    is_central = (rank == F.floor((total + 1) / 2)) | (rank == F.floor(total / 2) + 1)
-
-    def mid(value: Column) -> Column:
-        held = F.when(is_central, value)
-        return (F.min(held).over(w) + F.max(held).over(w)) / 2
+    by_value = w.orderBy("v")
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    v, lo, hi, mean, dev = (F.col(c) for c in ("v", "lo", "hi", "mean", "dev"))
+    low, high = _mid_ranks(F.col("total"))
+    rank = F.col("rank") - 1
 
     rows = (
-        finite.withColumn("total", F.count(F.lit(1)).over(w))
-        .withColumn("lo", F.min("v").over(w))
-        .withColumn("hi", F.max("v").over(w))
-        .withColumn("mean", F.avg("v").over(w))
-        .withColumn("rank", F.row_number().over(w.orderBy("v")))
-        .withColumn("median", mid(v))
-        .withColumn("dev", F.abs(v - median))
+        finite.withColumns(
+            {
+                "rank": F.row_number().over(by_value),
+                "total": F.count(F.lit(1)).over(whole),
+                "lo": F.min("v").over(whole),
+                "hi": F.max("v").over(whole),
+                "mean": F.avg("v").over(whole),
+            }
+        )
+        .withColumn(
+            "median",
+            (
+                F.max(F.when(rank <= low, v)).over(whole)
+                + F.max(F.when(rank <= high, v)).over(whole)
+            )
+            / 2,
+        )
+        .withColumn("dev", F.abs(v - F.col("median")))
         .withColumn("rank", F.row_number().over(w.orderBy("dev")))
-        .withColumn("mad", MAD_TO_SIGMA * mid(F.col("dev")))
     )
     per_bin = rows.groupBy("frame_id", bin_index(v, lo, hi).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(v == lo).alias("at_min"),
         F.count_if(v == hi).alias("at_max"),
         F.count_if(v == 0).alias("zeros"),
-        F.sum((v - F.col("mean")) * (v - F.col("mean"))).alias("sq"),
-        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median", "mad", "total")],
+        F.sum((v - mean) * (v - mean)).alias("sq"),
+        F.max(F.when(rank <= low, dev)).alias("dev_low"),
+        F.max(F.when(rank <= high, dev)).alias("dev_high"),
+        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median", "total")],
     )
     return per_bin.groupBy("frame_id").agg(
-        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median", "mad")],
+        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median")],
+        (MAD_TO_SIGMA * ((F.max("dev_low") + F.max("dev_high")) / 2)).alias("mad"),
         F.sum("zeros").alias("zeros"),
         F.first("total").alias("count"),
         F.sqrt(F.sum("sq") / F.first("total")).alias("sigma"),

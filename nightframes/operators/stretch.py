@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
 from nightframes.operators import planes as P
-from nightframes.operators.stats import with_median_and_mad
+from nightframes.operators.stats import median_and_mad
 from nightframes.session import attach, staged
 
 # Shadows clip in MADs below the median, default background level, and the
@@ -59,11 +59,7 @@ def stretch_params(
     """``shadows, midtones`` per frame and channel."""
     target = F.lit(S.check_brightness(brightness))
     keys = ["frame_id", "channel"]
-    stats = (
-        with_median_and_mad(channel_counts(rgb, linked), keys)
-        .groupBy(*keys)
-        .agg(F.first("median").alias("median"), F.first("mad").alias("mad"))
-    )
+    stats = median_and_mad(channel_counts(rgb, linked), keys)
     shadows = S.clamp(F.col("median") + SHADOWS_CLIP * F.col("mad"), 0.0, 1.0)
     midtones = S.clamp(mtf(target, F.col("median") - F.col("shadows")), EPSILON, 1.0 - EPSILON)
     return stats.withColumn("shadows", shadows).withColumn("midtones", midtones)

@@ -17,10 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than that.
+
+    A row grows to hundreds of pixels afterwards; a table with enough splits stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers spread over all cores: a row grows to thousands of pixels afterwards."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey")
-    return rows.repartition(spark.sparkContext.defaultParallelism)
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey"))
 
 
 def _described(df: DataFrame, w: int, h: int, sample_type: str, axes: int = 2, **extra: str) -> DataFrame:
@@ -59,7 +66,8 @@ QUANTITY_SQL = "quantity as (select l_suppkey as frame_id, cast(l_quantity as in
 
 def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding as an 8x8 float frame."""
-    rows = table(spark, sf_dir, "embeddings").select(
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = vectors.select(
         F.col("vec_id").alias("frame_id"),
         F.lit(0).alias("plane"),
         F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"),
@@ -218,7 +226,7 @@ def header_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         for ord_, name, value, condition in cards
     ]
     return (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"))
         .selectExpr("o_orderkey as frame_id", f"explode(filter(array({','.join(structs)}), c -> c is not null)) as c")
         .select("frame_id", "c.*")
     )

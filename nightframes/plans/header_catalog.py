@@ -11,6 +11,7 @@ from nightframes.operators import headers as H
 from nightframes.operators import planes as P
 from nightframes.plans import fixtures as X
 from nightframes.plans.registry import query, six
+from nightframes.session import staged
 
 # Number text in SQL: whole values without a fraction, others with six decimals trimmed.
 _TRIM = "case when {v} = floor({v}) and abs({v}) < 1e15 then cast(cast({v} as bigint) as varchar) else regexp_replace(printf('%.6f', {v}), '\\.?0+$', '') end"
@@ -385,7 +386,7 @@ missing as (
 
 @query(f"with {_MERGE} select source_id, frame_id, ord, name, value from missing")
 def missing_header_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = H.missing_cards(X.header_cards(spark, sf_dir), X.header_pairs(spark, sf_dir))
+    out = H.missing_cards(staged(X.header_cards(spark, sf_dir), "cards"), X.header_pairs(spark, sf_dir))
     return out.select("source_id", "frame_id", "ord", "name", "value")
 
 
@@ -394,7 +395,7 @@ def missing_header_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
  left join missing m on m.source_id = p.source_id and m.frame_id = p.target_id group by p.source_id, p.target_id"""
 )
 def copied_card_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.copied_counts(X.header_cards(spark, sf_dir), X.header_pairs(spark, sf_dir))
+    return H.copied_counts(staged(X.header_cards(spark, sf_dir), "cards"), X.header_pairs(spark, sf_dir))
 
 
 @query(
@@ -403,7 +404,7 @@ def copied_card_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
  union all select m.source_id, m.frame_id, m.ord + l.last, m.name, m.value, true from missing m join last l using (frame_id)"""
 )
 def copied_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = H.copy_header(X.header_cards(spark, sf_dir), X.header_pairs(spark, sf_dir))
+    out = H.copy_header(staged(X.header_cards(spark, sf_dir), "cards"), X.header_pairs(spark, sf_dir))
     return out.select("source_id", "frame_id", "ord", "name", "value", "copied")
 
 

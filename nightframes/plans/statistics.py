@@ -10,6 +10,7 @@ from nightframes.operators import stars as D
 from nightframes.operators import stats as A
 from nightframes.plans import fixtures as X
 from nightframes.plans.registry import listed, query, six
+from nightframes.session import staged
 
 STAT_NAMES = (
     "min max mean median zeros min_count max_count count sigma mad mode saturated saturation"
@@ -214,7 +215,8 @@ def plane_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     stars = P.detection_rows(X.star_lines(spark, sf_dir))
     mosaics = P.detection_rows(X.mosaic_lines(spark, sf_dir)).withColumn("frame_id", F.col("frame_id") + 1000000)
     floats = P.detection_rows(X.vector_lines(spark, sf_dir)).withColumn("frame_id", F.col("frame_id") + 2000000)
-    background = D.plane_background(stars.unionByName(mosaics).unionByName(floats))
+    planes = staged(stars.unionByName(mosaics).unionByName(floats), "planes")
+    background = D.plane_background(planes)
     return background.select("frame_id", six("median"), six("mad"))
 
 

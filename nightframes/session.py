@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,14 @@ def build_session(app: str = "nightframes", cores: str = "*", **conf: str) -> Sp
     return spark
 
 
+def ship(module: str) -> None:
+    """Send the module's functions to Python workers by value.
+
+    Executors then need no copy of this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only for a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)

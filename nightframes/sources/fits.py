@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
 from nightframes.operators import catalog as C
+from nightframes.session import ship
+
+ship(__name__)
 
 # Extensions of FITS files, block and card size.
 EXTENSIONS = ("fit", "fits", "fts", "fz")
