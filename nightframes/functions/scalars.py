@@ -214,12 +214,25 @@ def format_stamp(epoch: Column) -> Column:
 # --- frame shape --------------------------------------------------------------------
 
 
+def is_rgb_cube(axes: Column, planes: Column, bayerpat: Column) -> Column:
+    """Plain comparisons, like the next two, so that scans can skip row groups by them."""
+    return bayerpat.isNull() & (axes == 3) & (planes == 3)
+
+
+def is_mono(axes: Column, bayerpat: Column) -> Column:
+    return bayerpat.isNull() & (axes == 2)
+
+
+def is_mosaic(axes: Column, bayerpat: Column) -> Column:
+    return bayerpat.isNotNull() & (axes == 2)
+
+
 def frame_shape(axes: Column, planes: Column, bayerpat: Column) -> Column:
     """rgb_cube, mono, mosaic or other."""
     return (
-        F.when(bayerpat.isNull() & (axes == 3) & (planes == 3), "rgb_cube")
-        .when(bayerpat.isNull() & (axes == 2), "mono")
-        .when(bayerpat.isNotNull() & (axes == 2), "mosaic")
+        F.when(is_rgb_cube(axes, planes, bayerpat), "rgb_cube")
+        .when(is_mono(axes, bayerpat), "mono")
+        .when(is_mosaic(axes, bayerpat), "mosaic")
         .otherwise("other")
     )
 

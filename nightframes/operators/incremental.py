@@ -84,10 +84,9 @@ def measure_frames(
     Branches not asked for are not planned. A frame stars cannot be detected on keeps its
     statistics and gets ``star_error``.
     """
-    rows = P.with_shape(scanlines)
     out = frames.select("frame_id")
     if pixel_stats:
-        out = out.join(A.pixel_stats(P.explode_samples(rows)), "frame_id", "left")
+        out = out.join(A.pixel_stats(P.explode_samples(scanlines)), "frame_id", "left")
     if stars:
         out = out.join(D.detect_stars(scanlines, frames), "frame_id", "left").join(
             P.detection_errors(frames).withColumnRenamed("error", "star_error"), "frame_id", "left"

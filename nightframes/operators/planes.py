@@ -29,6 +29,18 @@ def with_shape(frames: DataFrame) -> DataFrame:
     return frames.withColumn("shape", shape).withColumn("channels", S.channel_count(F.col("shape")))
 
 
+def cubes(rows: DataFrame) -> DataFrame:
+    return rows.filter(S.is_rgb_cube(F.col("axes"), F.col("planes"), F.col("bayerpat")))
+
+
+def monos(rows: DataFrame) -> DataFrame:
+    return rows.filter(S.is_mono(F.col("axes"), F.col("bayerpat")))
+
+
+def mosaics(rows: DataFrame) -> DataFrame:
+    return rows.filter(S.is_mosaic(F.col("axes"), F.col("bayerpat")))
+
+
 def explode_samples(scanlines: DataFrame) -> DataFrame:
     """One row per pixel with x and ``raw``."""
     kept = [c for c in scanlines.columns if c != "samples"]
@@ -58,7 +70,7 @@ def green_value(
 
 def green_plane(scanlines: DataFrame) -> DataFrame:
     """Pixels of the cubes' green plane."""
-    rows = with_shape(scanlines).filter((F.col("shape") == "rgb_cube") & (F.col("plane") == 1))
+    rows = cubes(scanlines).filter(F.col("plane") == 1)
     columns = (F.col(c) for c in ("raw", "sample_type", "bscale", "bzero"))
     return explode_samples(rows).select("frame_id", "y", "x", *green_value(*columns))
 
@@ -82,17 +94,16 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
     cubes their green plane. Other shapes are left out, see ``detection_errors``.
     Columns: frame_id, width, height, y, values, saturation.
     """
-    rows = with_shape(scanlines)
     saturation = S.sample_saturation(F.col("sample_type"), F.col("bscale"), F.col("bzero"))
     scaled = F.transform("samples", lambda s: S.physical(s, F.col("bscale"), F.col("bzero")))
 
-    mono = rows.filter(F.col("shape") == "mono").select(
+    mono = monos(scanlines).select(
         "frame_id", "width", "height", "y", scaled.alias("values"), saturation.alias("saturation")
     )
 
     is_float = F.col("sample_type").isin(*S.FLOAT_TYPES)
     quantized = F.transform(scaled, lambda v: S.round_clamped(v * 65535.0, 0.0, 65535.0))
-    cube = rows.filter((F.col("shape") == "rgb_cube") & (F.col("plane") == 1)).select(
+    cube = cubes(scanlines).filter(F.col("plane") == 1).select(
         "frame_id",
         "width",
         "height",
@@ -113,7 +124,8 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
         ),
     )
     mosaic = (
-        rows.filter((F.col("shape") == "mosaic") & cfa.isNotNull() & (half_w > 0))
+        mosaics(scanlines)
+        .filter(cfa.isNotNull() & (half_w > 0))
         .filter(F.col("y") < half_h * 2)
         .select(
             "frame_id",
@@ -301,8 +313,9 @@ def scale_to_u16(value: Column, sample_type: Column, ceiling: Column) -> Column:
     return S.round_to_u16(F.when(sample_type.isin(*S.FLOAT_TYPES), relative).otherwise(value))
 
 
-def _with_ceiling(rows: DataFrame) -> DataFrame:
-    return attach(rows, float_ceilings(rows), ["frame_id"], F.col("y"), "left")
+def _with_ceiling(rows: DataFrame, ceilings: DataFrame | None) -> DataFrame:
+    known = float_ceilings(rows) if ceilings is None else ceilings
+    return attach(rows, known, ["frame_id"], F.col("y"), "left")
 
 
 def _display_sample(raw: Column) -> Column:
@@ -348,8 +361,8 @@ def deinterleave(rgb: DataFrame) -> DataFrame:
     return rgb.select(*kept, F.explode(planes).alias("p")).select(*kept, "p.plane", "p.v")
 
 
-def rgb_from_cube(scanlines: DataFrame) -> DataFrame:
-    rows = plane_triples(_with_ceiling(scanlines))
+def rgb_from_cube(scanlines: DataFrame, ceilings: DataFrame | None = None) -> DataFrame:
+    rows = plane_triples(_with_ceiling(scanlines, ceilings))
     pixels = rows.select("*", F.posexplode("r").alias("x", "own"))
     at = F.col("x") + 1
     return pixels.select(
@@ -365,9 +378,10 @@ def rgb_from_cube(scanlines: DataFrame) -> DataFrame:
     )
 
 
-def rgb_from_mono(scanlines: DataFrame) -> DataFrame:
+def rgb_from_mono(scanlines: DataFrame, ceilings: DataFrame | None = None) -> DataFrame:
     """Single-plane frames with the sample in all three channels."""
-    pixels = explode_samples(_with_ceiling(scanlines)).withColumn("s", _display_sample(F.col("raw")))
+    rows = explode_samples(_with_ceiling(scanlines, ceilings))
+    pixels = rows.withColumn("s", _display_sample(F.col("raw")))
     return pixels.select(
         "frame_id",
         "width",
@@ -390,13 +404,13 @@ def load_rgb(scanlines: DataFrame, pattern: str | None = None, force: bool = Fal
     Cubes are interleaved and mono frames replicated, unless ``force`` asks for every
     frame to be demosaiced. An explicit pattern alone does not demosaic a mono frame.
     """
-    rows = with_shape(scanlines)
     if force:
-        return demosaic(rows, pattern).withColumn("notice", F.lit("Demosaiced"))
+        return demosaic(scanlines, pattern).withColumn("notice", F.lit("Demosaiced"))
+    ceilings = float_ceilings(cubes(scanlines).unionByName(monos(scanlines)))
     parts = [
-        (rgb_from_cube(rows.filter("shape = 'rgb_cube'")), "AlreadyDebayeredRgbCube"),
-        (rgb_from_mono(rows.filter("shape = 'mono'")), "AlreadyDebayeredMono"),
-        (demosaic(rows.filter("shape = 'mosaic'"), pattern), "Demosaiced"),
+        (rgb_from_cube(cubes(scanlines), ceilings), "AlreadyDebayeredRgbCube"),
+        (rgb_from_mono(monos(scanlines), ceilings), "AlreadyDebayeredMono"),
+        (demosaic(mosaics(scanlines), pattern), "Demosaiced"),
     ]
     tagged = [df.select(RGB_COLUMNS).withColumn("notice", F.lit(n)) for df, n in parts]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
@@ -426,16 +440,12 @@ def split_channels(
     Mosaics (or every frame with ``force``) are demosaiced, cubes split by plane. Mono
     frames are an error here, see ``split_errors``.
     """
-    rows = with_shape(scanlines)
-    mosaics = rows if force else rows.filter(F.col("bayerpat").isNotNull())
+    wanted = scanlines if force else mosaics(scanlines)
     names = F.array(F.lit("r"), F.lit("g"), F.lit("b"))
-    out = deinterleave(demosaic(mosaics, pattern).select("frame_id", "y", "x", "r", "g", "b"))
+    out = deinterleave(demosaic(wanted, pattern).select("frame_id", "y", "x", "r", "g", "b"))
     out = out.withColumn("v", F.col("v").cast("double"))
     if not force:
-        cubes = rows.filter(
-            F.col("bayerpat").isNull() & (F.col("axes") == 3) & (F.col("planes") == 3)
-        )
-        out = out.unionByName(physical_pixels(cubes))
+        out = out.unionByName(physical_pixels(cubes(scanlines)))
     return out.select(
         "frame_id", "y", "x", F.element_at(names, F.col("plane") + 1).alias("channel"), "v"
     )

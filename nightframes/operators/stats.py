@@ -1,7 +1,7 @@
 """Per-frame pixel statistics.
 
 Input rows are samples: ``frame_id, raw`` plus the frame's descriptor columns
-``sample_type, bscale, bzero`` and, for the dispatcher, ``shape`` and ``plane``. The
+``sample_type, bscale, bzero`` and, for the dispatcher, ``plane, axes, planes, bayerpat``. The
 descriptor travels with the samples (it compresses to nothing in Parquet), so no
 pixel-sized join is needed to scale or route them.
 
@@ -544,10 +544,9 @@ def pixel_stats(samples: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Statistics of any mix of frames: cubes on green, 8/16-bit by counts, others in general."""
     from nightframes.operators.planes import green_value
 
-    shape, plane = F.col("shape"), F.col("plane")
-    cube = shape == "rgb_cube"
+    cube = S.is_rgb_cube(F.col("axes"), F.col("planes"), F.col("bayerpat"))
     counted = ~cube & F.col("sample_type").isin(*COUNTED_TYPES) & (F.col("bscale") > 0)
-    green = samples.filter(cube & (plane == 1)).select(
+    green = samples.filter(cube & (F.col("plane") == 1)).select(
         "frame_id", *green_value(F.col("raw"), F.col("sample_type"), F.col("bscale"), F.col("bzero"))
     )
     return (

@@ -118,12 +118,11 @@ def render(
     With ``debayer`` off a mosaic is shown as grey; frames that are already debayered are
     loaded as usual.
     """
-    rows = P.with_shape(scanlines)
     if debayer:
-        rgb = P.load_rgb(rows, pattern, force).withColumnRenamed("notice", "source")
+        rgb = P.load_rgb(scanlines, pattern, force).withColumnRenamed("notice", "source")
     else:
-        done = rows.filter(F.col("shape").isin("rgb_cube", "mono"))
-        raw = P.load_mono_raw(rows.filter(~F.col("shape").isin("rgb_cube", "mono")))
+        done = P.cubes(scanlines).unionByName(P.monos(scanlines))
+        raw = P.load_mono_raw(P.mosaics(scanlines))
         rgb = (
             P.load_rgb(done, pattern, force)
             .withColumnRenamed("notice", "source")

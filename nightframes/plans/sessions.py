@@ -220,7 +220,7 @@ def result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = staged(X.star_lines(spark, sf_dir), "lines")
     frames = star_frames(spark, sf_dir)
-    stats = A.pixel_stats(P.explode_samples(P.with_shape(lines)))
+    stats = A.pixel_stats(P.explode_samples(lines))
     out = N.document_bundle(frames, stats, D.detect_stars(lines, frames))
     return out.select(
         "frame_id",

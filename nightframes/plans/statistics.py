@@ -118,10 +118,10 @@ select * from i_stats union all select * from f_stats union all select * from g_
 
 @query(_MIXED)
 def mixed_pixel_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ints = P.with_shape(X.quantity_samples(spark, sf_dir).withColumn("plane", F.lit(0)))
-    floats = P.with_shape(P.explode_samples(X.vector_lines(spark, sf_dir)))
-    cubes = P.with_shape(P.explode_samples(X.cube_lines(spark, sf_dir)))
-    kept = "frame_id plane raw sample_type bscale bzero shape".split()
+    ints = X.quantity_samples(spark, sf_dir).withColumn("plane", F.lit(0))
+    floats = P.explode_samples(X.vector_lines(spark, sf_dir))
+    cubes = P.explode_samples(X.cube_lines(spark, sf_dir))
+    kept = "frame_id plane raw sample_type bscale bzero axes planes bayerpat".split()
 
     def numbered(df: DataFrame, base: int) -> DataFrame:
         return df.withColumns(
