@@ -103,6 +103,8 @@ def analyze_frames(
     a usable time are skipped before any pixel is read; with ``stars`` a shape detection
     cannot handle is an error, as is every row of ``read_errors`` (path, error).
     """
+    if read_errors is not None:
+        frames = frames.join(read_errors.select("path"), "path", "left_anti")
     timed = frames.withColumns(
         dict(zip(("time", "time_str"), C.acquisition_time(F.col("date_loc"), F.col("date_obs"))))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,9 @@ def is_fits_path(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([^./]*)$", 1)).isin(*EXTENSIONS)
 
 
+_LISTING = "path string, length bigint, modificationTime timestamp"
+
+
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths)
 
@@ -54,7 +58,7 @@ def scan_directory(spark: SparkSession, directory: str) -> DataFrame:
     except Exception as error:  # a missing folder is an empty one
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        return spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
+        return spark.createDataFrame([], _LISTING)
     return found.filter(is_fits_path(F.col("path")))
 
 
@@ -67,12 +71,7 @@ def expand_inputs(spark: SparkSession, directories: list[str], files: list[str])
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-    if not out:
-        return scan_directory(spark, "")
-    table = out[0]
-    for other in out[1:]:
-        table = table.unionByName(other)
-    return table
+    return reduce(DataFrame.unionByName, out, spark.createDataFrame([], _LISTING))
 
 
 def file_stamps(files: DataFrame) -> DataFrame:

@@ -13,12 +13,17 @@ from nightframes.operators import incremental as N
 from nightframes.session import staged
 
 
-def watch_folder(spark: SparkSession, directory: str) -> DataFrame:
+def watch_folder(spark: SparkSession, directory: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of FITS files arriving in ``directory`` with their stamp; contents unread."""
     from nightframes.sources.fits import is_fits_path
 
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).load(directory)
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema(schema)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(directory)
+    )
     return files.filter(is_fits_path(F.col("path"))).select(
         "path", "length", F.col("modificationTime").alias("stamp")
     )
