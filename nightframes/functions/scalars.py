@@ -298,10 +298,15 @@ def default_zero(bzero: Column) -> Column:
     return F.coalesce(bzero, F.lit(0.0))
 
 
+def has_ceiling(sample_type: Column, bscale: Column) -> Column:
+    """Whether the largest raw sample is a level worth calling saturated."""
+    return sample_type.isin("U8", "I16") & (bscale > 0)
+
+
 def sample_saturation(sample_type: Column, bscale: Column, bzero: Column) -> Column:
     """Physical value of the largest raw sample; Infinity where there is no ceiling."""
-    top = F.when(sample_type == "U8", 255.0).when(sample_type == "I16", 32767.0)
-    return F.when(top.isNotNull() & (bscale > 0), bzero + bscale * top).otherwise(
+    top = F.when(sample_type == "U8", 255.0).otherwise(32767.0)
+    return F.when(has_ceiling(sample_type, bscale), bzero + bscale * top).otherwise(
         F.lit(float("inf"))
     )
 

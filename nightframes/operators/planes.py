@@ -92,13 +92,22 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
 
     Mosaics give the mean of the two green sites of each 2x2 cell, mono frames themselves,
     cubes their green plane. Other shapes are left out, see ``detection_errors``.
-    Columns: frame_id, width, height, y, values, saturation.
+    Columns: frame_id, width, height, y, values, saturation, bounded. ``bounded`` says that the
+    values are few because the source has a ceiling; filters on it reach the scan.
     """
     saturation = S.sample_saturation(F.col("sample_type"), F.col("bscale"), F.col("bzero"))
     scaled = F.transform("samples", lambda s: S.physical(s, F.col("bscale"), F.col("bzero")))
 
+    bounded = S.has_ceiling(F.col("sample_type"), F.col("bscale"))
+
     mono = monos(scanlines).select(
-        "frame_id", "width", "height", "y", scaled.alias("values"), saturation.alias("saturation")
+        "frame_id",
+        "width",
+        "height",
+        "y",
+        scaled.alias("values"),
+        saturation.alias("saturation"),
+        bounded.alias("bounded"),
     )
 
     is_float = F.col("sample_type").isin(*S.FLOAT_TYPES)
@@ -110,6 +119,7 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
         "y",
         F.when(is_float, quantized).otherwise(scaled).alias("values"),
         F.when(is_float, 65535.0).otherwise(saturation).alias("saturation"),
+        (is_float | bounded).alias("bounded"),
     )
 
     cfa = S.cfa_pattern(F.col("bayerpat"))
@@ -135,8 +145,9 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
             (F.col("y") % 2).alias("odd"),
             greens.alias("greens"),
             saturation.alias("saturation"),
+            bounded.alias("bounded"),
         )
-        .groupBy("frame_id", F.col("cy").alias("y"))
+        .groupBy("frame_id", F.col("cy").alias("y"), "bounded")
         .agg(
             F.first("width").alias("width"),
             F.first("height").alias("height"),
@@ -151,6 +162,7 @@ def detection_rows(scanlines: DataFrame) -> DataFrame:
             "y",
             F.zip_with("even", "odd", lambda a, b: (a + b) / 2).alias("values"),
             "saturation",
+            "bounded",
         )
     )
     return mono.unionByName(cube).unionByName(mosaic)

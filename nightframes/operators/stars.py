@@ -50,7 +50,7 @@ def plane_background(plane_rows: DataFrame, group_rows: int = GROUP_ROWS) -> Dat
     A plane whose source has a ceiling has a bounded number of values and is counted;
     others are ranked.
     """
-    bounded = is_finite(F.col("saturation"))
+    bounded = F.col("bounded")
 
     def pixels(rows: DataFrame) -> DataFrame:
         return rows.select("frame_id", F.explode("values").alias("v")).filter(is_finite(F.col("v")))
