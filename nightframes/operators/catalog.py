@@ -234,21 +234,38 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def _ordered_digest(rows: DataFrame, block: Column, order: Column, text: Column, glue: str) -> DataFrame:
+    """SHA-256 per frame over its rows' text in order, in two levels.
+
+    Rows are digested per block, then the blocks' digests per frame, so that a frame with
+    very many rows is spread over tasks and no list grows with it beyond its blocks.
+    """
+
+    def digest(glue: str) -> Column:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda r: r["t"])
+        return F.sha2(F.array_join(parts, glue), 256)
+
+    blocks = rows.select("frame_id", block.alias("b"), order.alias("o"), text.alias("t"))
+    return (
+        blocks.groupBy("frame_id", "b")
+        .agg(digest(glue).alias("t"))
+        .withColumnRenamed("b", "o")
+        .groupBy("frame_id")
+        .agg(digest("").alias("sha256"))
+    )
+
+
 def header_hash(cards: DataFrame) -> DataFrame:
-    """SHA-256 of a frame's cards in order, one ``name=value`` line each."""
+    """SHA-256 of a frame's cards as ``name=value`` lines, in blocks of 256 positions."""
     line = F.concat(F.col("name"), F.lit("="), F.coalesce("value", F.lit("")))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda c: c["line"])
-    return cards.groupBy("frame_id").agg(F.sha2(F.array_join(lines, "\n"), 256).alias("sha256"))
+    return _ordered_digest(cards, F.floor(F.col("ord") / 256), F.col("ord"), line, "\n")
 
 
 def pixel_hash(scanlines: DataFrame) -> DataFrame:
-    """SHA-256 over the digests of a frame's scanlines in (plane, y) order.
+    """SHA-256 over the digests of a frame's scanlines, in blocks of 1024 lines of a plane.
 
     Scanlines are hashed where they are; only digests are shuffled.
     """
     text = F.array_join(F.transform("samples", lambda s: s.cast("string")), ",")
-    digests = scanlines.select("frame_id", "plane", "y", F.sha2(text, 256).alias("digest"))
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("plane", "y", "digest"))), lambda d: d["digest"]
-    )
-    return digests.groupBy("frame_id").agg(F.sha2(F.array_join(ordered, ""), 256).alias("sha256"))
+    block = F.struct(F.col("plane").alias("p"), F.floor(F.col("y") / 1024).alias("y"))
+    return _ordered_digest(scanlines, block, F.col("y"), F.sha2(text, 256), "")

@@ -454,15 +454,18 @@ def extended_working_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {X.CARDS_SQL} select frame_id, sha256(string_agg(concat(name, '=', coalesce(value, '')), chr(10) order by ord)) as sha256 from cards group by frame_id"""
+    f"""with {X.CARDS_SQL}, blocks as (
+ select frame_id, ord // 256 as b, sha256(string_agg(concat(name, '=', coalesce(value, '')), chr(10) order by ord)) as digest from cards group by frame_id, ord // 256)
+ select frame_id, sha256(string_agg(digest, '' order by b)) as sha256 from blocks group by frame_id"""
 )
 def header_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.header_hash(X.header_cards(spark, sf_dir))
 
 
 @query(
-    f"""with {X.MOSAIC_SQL}, lines as (select frame_id, y, sha256(string_agg(concat(raw, '.0'), ',' order by x)) as digest from mosaic group by frame_id, y)
- select frame_id, sha256(string_agg(digest, '' order by y)) as sha256 from lines group by frame_id"""
+    f"""with {X.MOSAIC_SQL}, lines as (select frame_id, y, sha256(string_agg(concat(raw, '.0'), ',' order by x)) as digest from mosaic group by frame_id, y),
+ blocks as (select frame_id, y // 1024 as b, sha256(string_agg(digest, '' order by y)) as digest from lines group by frame_id, y // 1024)
+ select frame_id, sha256(string_agg(digest, '' order by b)) as sha256 from blocks group by frame_id"""
 )
 def pixel_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.pixel_hash(X.mosaic_lines(spark, sf_dir))

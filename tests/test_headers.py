@@ -92,3 +92,11 @@ def test_working_set_keeps_order(spark):
     assert [(r["path"], r["added"]) for r in got] == [("a", False), ("b", False), ("c", True), ("d", True)]
     empty = C.add_paths(old.limit(0), new).orderBy("ord").collect()
     assert [r["path"] for r in empty] == ["c", "b", "d"]
+
+
+def test_hashes_depend_on_order_and_span_blocks(spark):
+    schema = "frame_id string, ord int, name string, value string"
+    rows = [(f, i, f"K{i}", str(i)) for f in ("a", "b") for i in range(600)]
+    swapped = [("c", i, *(("K1", "1") if i == 599 else ("K599", "599") if i == 1 else (f"K{i}", str(i)))) for i in range(600)]
+    got = {r["frame_id"]: r["sha256"] for r in C.header_hash(spark.createDataFrame(rows + swapped, schema)).collect()}
+    assert got["a"] == got["b"] != got["c"]
