@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
+from nightframes.plans.registry import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,16 +18,15 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def outcomes(spark):
     """Results of all queries, run a few at a time: small jobs mostly wait for the driver."""
     con = connect(SF_DIR)
-    oracles = entry.oracle_sql()
 
     def check(item):
         name, fn = item
-        return name, difference(fn(spark, SF_DIR), con.cursor(), oracles[name])
+        return name, difference(fn(spark, SF_DIR), con.cursor(), ORACLES[name])
 
     with ThreadPoolExecutor(6) as pool:
-        futures = [pool.submit(check, item) for item in entry.queries().items()]
+        futures = [pool.submit(check, item) for item in QUERIES.items()]
         results = {}
-        for name, future in zip(entry.queries(), futures):
+        for name, future in zip(QUERIES, futures):
             try:
                 results[name] = future.result()[1]
             except Exception as error:
@@ -34,7 +34,7 @@ def outcomes(spark):
         return results
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(outcomes, name):
     assert outcomes[name] is None
 
