@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes of text handled at once. Hash arrays take 8 bytes for each of them; one longer text
-# is a slice of its own.
-SLICE_BYTES = 2 << 20
+# Bytes of text handled at once, at up to 120 bytes of arrays each. One longer text is a
+# slice of its own.
+SLICE_BYTES = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 # Bits of a position inside a slice when it is packed below a k-gram's rank.

@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 from nightframes.llm.buffers import Rolling, flat, minimizers, ranges, slices
 from nightframes.llm.tables import binary_column, identified, parts_for, staged, unpacked
 
-BUCKET_BYTES = 32 << 20
-# Anchors a task gathers before it sends them on.
-FLUSH_ANCHORS = 1 << 20
+BUCKET_BYTES = 12 << 20
+# Anchors, and bytes of fragments, that a task gathers before it sends them on.
+FLUSH_ANCHORS = 1 << 19
+FLUSH_BYTES = 8 << 20
+# Windows of a bucket looked at together.
+CHUNK_WINDOWS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -74,6 +77,13 @@ def lengths(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(starts, n))
 
 
+def chunks(sizes: np.ndarray) -> list[slice]:
+    """Cut a sequence into stretches whose sizes add up to about CHUNK_WINDOWS."""
+    part = (np.cumsum(sizes) - sizes) // CHUNK_WINDOWS
+    first = runs(part)
+    return [slice(a, a + n) for a, n in zip(first.tolist(), lengths(first, len(part)).tolist())]
+
+
 def anchor_rows(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(keys: list, ids: list) -> pa.RecordBatch:
         key, owner = np.concatenate(keys), np.concatenate(ids)
@@ -214,7 +224,7 @@ def fragment_rows(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch
                     held[name].append(v)
                 payloads += len(at)
                 n += data.nbytes + 60 * len(at)
-                if n > BUCKET_BYTES:
+                if n > FLUSH_BYTES:
                     yield flush(held)
                     held, n, payloads = {f: [] for f in held}, 0, 0
         if n:
@@ -226,6 +236,17 @@ def fragment_rows(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch
 def span_rows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
     """Spans of units to remove, as answers to documents."""
 
+    def removed_runs(least, begin, windows, fragment, ids, marks, starts):
+        occurrence, step = ranges(windows[fragment])
+        gone = least[begin[fragment][occurrence] + step] < ids[occurrence]
+        occurrence, step = occurrence[gone], step[gone]
+        new = np.ones(len(occurrence), bool)
+        new[1:] = (occurrence[1:] != occurrence[:-1]) | (step[1:] != step[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(occurrence))[: len(first)] - 1
+        at = occurrence[first]
+        return ids[at], marks[at], starts[at] + step[first], starts[at] + step[last] + kind.length
+
     def spans(group: pa.Table) -> pa.Table:
         keys, per_row = unpacked(group.column("keys"), np.uint32)
         windows = unpacked(group.column("windows"), np.uint32)[0].astype(np.int64)
@@ -240,16 +261,9 @@ def span_rows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
         np.minimum.at(own, fragment, ids)
         least = kind.least(keys, windows, places, prints, payload, own)
         begin = np.cumsum(windows) - windows
-        occurrence, step = ranges(windows[fragment])
-        gone = least[begin[fragment][occurrence] + step] < ids[occurrence]
-        occurrence, step = occurrence[gone], step[gone]
-        new = np.ones(len(occurrence), bool)
-        new[1:] = (occurrence[1:] != occurrence[:-1]) | (step[1:] != step[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(occurrence))[: len(first)] - 1
-        lo = starts[occurrence[first]] + step[first]
-        hi = starts[occurrence[last]] + step[last] + kind.length
-        doc, mark = ids[occurrence[first]], marks[occurrence[first]]
+        found = [removed_runs(least, begin, windows, fragment[part], ids[part], marks[part], starts[part])
+                 for part in chunks(windows[fragment])]
+        doc, mark, lo, hi = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((lo, mark, doc))
         doc, mark, lo, hi = doc[order], mark[order], lo[order], hi[order]
         first = runs(doc, mark)

@@ -8,12 +8,14 @@ that order whose common prefix is long enough are compared byte by byte before t
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nightframes.llm.buffers import BYTE_VALUES, Rolling, ranges
-from nightframes.llm.repeats import Kind, lengths, merged, repeated_spans, runs
+from nightframes.llm.buffers import BYTE_VALUES, Rolling, ranges, slices
+from nightframes.llm.repeats import Kind, chunks, lengths, merged, repeated_spans, runs
 
 LENGTH = 50
 # Bytes of an anchor. Shorter ones would be fewer, but many would recur by chance.
@@ -93,6 +95,20 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> n
     return same
 
 
+def smallest(data: np.ndarray, rolling: Rolling, start: np.ndarray, key: np.ndarray, own: np.ndarray, length: int) -> np.ndarray:
+    """For each window the least of ``own`` among the equal windows of its group."""
+    order = suffix_order(data, rolling, start, key, length)
+    start = start[order]
+    same = np.zeros(len(start), bool)
+    near = np.flatnonzero(key[1:] == key[:-1]) + 1
+    near = near[common_prefix(rolling, start[near - 1], start[near], length) == length]
+    same[near[same_bytes(data, start[near - 1], start[near], length)]] = True
+    first = np.flatnonzero(~same)
+    answer = np.empty_like(own)
+    answer[order] = np.repeat(np.minimum.reduceat(own[order], first), lengths(first, len(own)))
+    return answer
+
+
 def kind_of(length: int, anchor: int) -> Kind:
     def payload(data, rolling, first, last):
         nth, step = ranges(last - first + length)
@@ -117,27 +133,21 @@ def kind_of(length: int, anchor: int) -> Kind:
         # only windows with the anchor at the same place can be equal
         order = np.argsort(key, kind="stable")
         todo, start, key = todo[order], start[order], key[order]
-        order = suffix_order(data, rolling, start, key, length)
-        todo, start = todo[order], start[order]
-        same = np.zeros(len(todo), bool)
-        near = np.flatnonzero(key[1:] == key[:-1]) + 1
-        near = near[common_prefix(rolling, start[near - 1], start[near], length) == length]
-        same[near[same_bytes(data, start[near - 1], start[near], length)]] = True
-        first = np.flatnonzero(~same)
-        small = np.minimum.reduceat(answer[todo], first)
-        answer[todo] = np.repeat(small, lengths(first, len(todo)))
+        first = runs(key)
+        for groups in chunks(lengths(first, len(key))):
+            stop = first[groups.stop] if groups.stop < len(first) else len(key)
+            part = slice(first[groups.start], stop)
+            answer[todo[part]] = smallest(data, rolling, start[part], key[part], answer[todo[part]], length)
         return answer
 
     return Kind(length, anchor, "uint8", byte_units, payload, least)
 
 
 def kept_bytes(batches):
-    for batch in batches:
-        found, marks = batch.column("spans").to_pylist(), batch.column("mark").to_pylist()
-        texts = batch.column("text").cast(pa.binary())
+    for part in chain.from_iterable(map(slices, batches)):
+        found, marks = part.column("spans").to_pylist(), part.column("mark").to_pylist()
         sizes, spans, kept = [], [], []
-        for text, own, mark in zip(texts, found, marks):
-            data = text.as_py()
+        for data, own, mark in zip(part.column("text").cast(pa.binary()).to_pylist(), found, marks):
             pairs = merged(own, mark)
             sizes.append(len(data))
             spans.append([{"start": int(a), "end": int(b)} for a, b in pairs])
@@ -145,7 +155,7 @@ def kept_bytes(batches):
             kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                part.column("doc_id"),
                 pa.array(sizes, pa.int64()),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 pa.array(kept, pa.binary()),

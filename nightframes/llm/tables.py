@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import hashlib
+import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightframes.session import staged  # noqa: F401  re-exported for the operators
+from nightframes.session import shared_dir
 
 # Rows without doc_id come after all others wherever documents are put in order.
 NO_ID = (1 << 63) - 1
 
 
+def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: no lineage, and computed once."""
+    path = os.path.join(shared_dir(df.sparkSession), "staged", f"{name}-{uuid.uuid4().hex}")
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -42,10 +50,6 @@ def parts_for(docs: DataFrame, part_bytes: int, column: str = "text") -> int:
     return max(least, -(-total // part_bytes))
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def binary_column(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     """A binary array whose values are ``counts`` consecutive items of ``data``."""
     sizes = np.asarray(counts, np.int64) * data.dtype.itemsize
