@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframes.llm import seed_extend, suffix_dedup
+from nightframes.llm import best_two_fit, exact_dedup, seed_extend, suffix_dedup, token_store
 from nightframes.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,43 @@ def removed() -> Column:
     return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed")
 
 
+@query(
+    """
+    WITH keyed AS (
+        SELECT doc_id, length(coalesce(text, '')) AS chars,
+               sha256(translate(coalesce(text, ''), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))
+                   AS text_sha256
+        FROM documents
+    ), chosen AS (
+        SELECT doc_id, text_sha256, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id) AS keep_id
+        FROM keyed
+    )
+    SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, text_sha256 FROM chosen
+    """
+)
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which document of equal texts stays."""
+    return exact_dedup.mark_duplicates(documents(spark, sf_dir))
+
+
+@query()
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents as they are read back from the shards by key."""
+    docs = documents(spark, sf_dir)
+    found = token_store.read_keys(token_store.write_store(docs), docs)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    packed = best_two_fit.pack(documents(spark, sf_dir))
+    return packed.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 @query()
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat a 50-byte string of an earlier one."""

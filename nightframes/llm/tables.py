@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightframes.session import shared_dir
+from nightframes.session import shared_dir  # noqa: F401
 
 # Rows without doc_id come after all others wherever documents are put in order.
 NO_ID = (1 << 63) - 1
