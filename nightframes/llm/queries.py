@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframes.llm import best_two_fit, exact_dedup, seed_extend, suffix_dedup, token_store
+from nightframes.llm import best_two_fit, exact_dedup, secrets, seed_extend, suffix_dedup, token_store
 from nightframes.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,23 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op5_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by kind and place."""
+    found = secrets.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *[of(kind) for kind in secrets.BASE],
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 @query()
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""

@@ -4,17 +4,18 @@ Both substring operators share these steps; they differ in the unit (byte or wor
 equal windows are recognised inside a bucket, and in what is rebuilt at the end.
 
 1. *Anchors.* Every window's k-gram of least rank is its anchor. About one unit in fourteen
-   (bytes) or five (words) is one. Tasks send anchors to buckets as packed rows: 32 bits of
-   hash each, with ids run-length coded, so a map task sends one row to a bucket, not one
-   for each anchor.
-2. *Seeds.* A bucket finds the anchors that occur in documents with different ids and
-   answers each such document with its seeds. Everything else needs no further work.
-3. *Fragments.* Documents extend their seeds to the stretch of all windows of that anchor.
-   Equal fragments of one task travel once, with the places where they occur.
-4. *Windows.* A bucket finds equal windows of the same seed, and answers with the spans
-   that a smaller id has too.
-
-Documents are shuffled once, by id: both joins read the same exchange. The number of buckets
+   (bytes) or five (words) is one. The stretch of all windows of an anchor is its fragment.
+   Tasks send anchors to buckets as packed rows: 32 bits of the anchor's hash, 48 of its
+   fragment's, and ids run-length coded; a task sends few rows to a bucket, not one each.
+2. *Seeds.* A bucket finds the anchors that occur under different ids. Where the same
+   fragment has a smaller id too, its document is told that all of it repeats. The first
+   document of each fragment is told to look closer, if the anchor has other fragments.
+   Everything else needs no further work.
+3. *Fragments.* Those first documents send their fragments, each distinct one once.
+4. *Windows.* A bucket finds equal windows among the fragments of an anchor, and answers
+   with the spans that a smaller id has too.
+
+Documents are shuffled once, by id: all joins read the same exchange. The number of buckets
 follows the bytes of text, so a bucket holds about as much at any size.
 """
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nightframes.llm.buffers import Rolling, flat, minimizers, ranges, slices
+from nightframes.llm.buffers import Rolling, flat, minimizers, mix, ranges, slices
 from nightframes.llm.tables import binary_column, identified, parts_for, staged, unpacked
 
 BUCKET_BYTES = 12 << 20
@@ -84,64 +85,115 @@ def chunks(sizes: np.ndarray) -> list[slice]:
     return [slice(a, a + n) for a, n in zip(first.tolist(), lengths(first, len(part)).tolist())]
 
 
+def anchors_of(kind: Kind, part: pa.RecordBatch):
+    """Units, text bounds, and of each anchor: place, first and last window, hash, print."""
+    values, bounds, raw = kind.units(*flat(part.column("text")))
+    rolling = Rolling(values)
+    grams = rolling.grams(kind.k)
+    at, first, last = minimizers(grams, kind.k, kind.length, bounds)
+    key = grams[at]
+    prints = mix(rolling.of(first, last + kind.length) ^ mix(key + (at - first).astype(np.uint64)))
+    return (raw, rolling, bounds), at, first, last, key, prints
+
+
 def anchor_rows(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def flush(keys: list, ids: list) -> pa.RecordBatch:
-        key, owner = np.concatenate(keys), np.concatenate(ids)
+    def flush(held: list) -> pa.RecordBatch:
+        key, prints, owner = (np.concatenate(x) for x in zip(*held))
         bucket = bucket_of(key, buckets)
         order = by_bucket(bucket, buckets)
-        key, owner, bucket = key[order].astype(np.uint32), owner[order], bucket[order]
+        key, prints, owner, bucket = key[order].astype(np.uint32), prints[order], owner[order], bucket[order]
         rows, spans = runs(bucket), runs(bucket, owner)
+        each, of_row = lengths(rows, len(key)), lengths(np.searchsorted(spans, rows), len(spans))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(bucket[rows]),
-                binary_column(key, lengths(rows, len(key))),
-                binary_column(owner[spans], lengths(np.searchsorted(spans, rows), len(spans))),
-                binary_column(
-                    lengths(spans, len(key)).astype(np.uint32), lengths(np.searchsorted(spans, rows), len(spans))
-                ),
+                binary_column(key, each),
+                binary_column((prints >> np.uint64(32)).astype(np.uint32), each),
+                binary_column((prints >> np.uint64(16)).astype(np.uint16), each),
+                binary_column(owner[spans], of_row),
+                binary_column(lengths(spans, len(key)).astype(np.uint32), of_row),
             ],
-            ["bucket", "keys", "ids", "counts"],
+            ["bucket", "keys", "high", "low", "ids", "counts"],
         )
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        held, n = [], 0
         for batch in batches:
             for part in slices(batch):
                 owner = np.asarray(part.column("id"), np.int64)
-                values, bounds, _ = kind.units(*flat(part.column("text")))
-                grams = Rolling(values).grams(kind.k)
-                at, _, _ = minimizers(grams, kind.k, kind.length, bounds)
-                keys.append(grams[at])
-                ids.append(owner[np.searchsorted(bounds, at, side="right") - 1])
-                held += len(at)
-                if held > FLUSH_ANCHORS:
-                    yield flush(keys, ids)
-                    keys, ids, held = [], [], 0
-        if held:
-            yield flush(keys, ids)
+                (_, _, bounds), at, _, _, key, prints = anchors_of(kind, part)
+                held.append((key, prints, owner[np.searchsorted(bounds, at, side="right") - 1]))
+                n += len(at)
+                if n > FLUSH_ANCHORS:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
 
     return anchors
 
 
 def seed_rows(group: pa.Table) -> pa.Table:
-    """The anchors of a bucket that occur under different ids, for each of these ids."""
+    """What the documents of a bucket's anchors have to know: seeds that repeat as a whole, seeds to extend."""
     bucket = group.column("bucket")[0].as_py()
     keys, _ = unpacked(group.column("keys"), np.uint32)
+    prints = unpacked(group.column("high"), np.uint32)[0].astype(np.int64) << 16
+    prints |= unpacked(group.column("low"), np.uint16)[0]
     ids, _ = unpacked(group.column("ids"), np.int64)
     counts, _ = unpacked(group.column("counts"), np.uint32)
     owner = np.repeat(ids, counts)
     order = np.argsort(keys)
-    keys, owner = keys[order], owner[order]
+    keys, prints, owner = keys[order], prints[order], owner[order]
     first = runs(keys)
     size = lengths(first, len(keys))
     warm = np.repeat(np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first), size)
-    keys, owner = keys[warm], owner[warm]
-    order = np.lexsort((keys, owner))
-    keys, owner = keys[order], owner[order]
-    once = runs(owner, keys)
-    keys, owner = keys[once].astype(np.uint64) | np.uint64(bucket << 32), owner[once]
+    keys, prints, owner = keys[warm], prints[warm], owner[warm]
+    order = np.lexsort((owner, prints, keys))
+    keys, prints, owner = keys[order], prints[order], owner[order]
+    once = runs(keys, prints, owner)
+    keys, prints, owner = keys[once], prints[once], owner[once]
+    same = runs(keys, prints)  # each fragment under its smallest id
+    whole = np.ones(len(keys), bool)
+    whole[same] = False
+    first = runs(keys)
+    mixed = np.repeat(lengths(np.searchsorted(same, first), len(same)) > 1, lengths(first, len(keys)))
+    keep = whole | mixed
+    names = seed_names(keys[keep].astype(np.uint64) | np.uint64(bucket << 32), prints[keep].astype(np.uint64))
+    owner, whole = owner[keep], whole[keep]
+    order = np.lexsort((~whole, owner))
+    keys, owner, whole = names[order], owner[order], whole[order]
     first = runs(owner)
-    return pa.table({"id": pa.array(owner[first]), "seeds": binary_column(keys, lengths(first, len(keys)))})
+    size = lengths(first, len(owner))
+    full = np.add.reduceat(whole.astype(np.int64), first) if len(first) else size
+    return pa.table(
+        {
+            "id": pa.array(owner[first]),
+            "whole": binary_column(keys[whole], full),
+            "extend": binary_column(keys[~whole], size - full),
+        }
+    )
+
+
+def seed_names(full: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """64 bits that stand for an anchor's bucket and hash and its fragment's print of 48 bits."""
+    return mix(full + mix(prints))
+
+
+def asked(part: pa.RecordBatch, field: str, text: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Which anchors (``text`` and seed name) are among the packed names in ``replies.field``."""
+    replies = part.column("replies")
+    keys, per_value = unpacked(replies.flatten().field(field), np.uint64)
+    if not len(keys):
+        return np.zeros(len(text), bool)
+    many = np.asarray(replies.value_lengths().fill_null(0), np.int64)
+    owner = np.repeat(np.repeat(np.arange(len(many)), many), per_value).astype(np.uint64)
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    return np.isin(names + text.astype(np.uint64) * salt, keys + owner * salt)
+
+
+def own_names(key: np.ndarray, prints: np.ndarray, buckets: int) -> np.ndarray:
+    full = (key & np.uint64(0xFFFFFFFF)) | (bucket_of(key, buckets).astype(np.uint64) << np.uint64(32))
+    return seed_names(full, prints >> np.uint64(16))
 
 
 def fragment_rows(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -185,32 +237,17 @@ def fragment_rows(kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch
         held, n, payloads = {f: [] for f in (*fields, "payload", "sizes")}, 0, 0
         for batch in batches:
             for part in slices(batch):
-                seeds, per_value = unpacked(part.column("seeds").flatten(), np.uint64)
-                if not len(seeds):
-                    continue
-                lists = part.column("seeds")
-                offsets = np.asarray(lists.value_lengths().fill_null(0), np.int64)
-                per_text = np.add.reduceat(np.append(per_value, 0), np.minimum(np.cumsum(offsets) - offsets, len(per_value)))
-                per_text[offsets == 0] = 0
-                values, bounds, raw = kind.units(*flat(part.column("text")))
-                rolling = Rolling(values)
-                grams = rolling.grams(kind.k)
-                at, first, last = minimizers(grams, kind.k, kind.length, bounds)
-                key = grams[at]
+                (raw, rolling, bounds), at, first, last, key, prints = anchors_of(kind, part)
                 text = np.searchsorted(bounds, at, side="right") - 1
-                bucket = bucket_of(key, buckets)
-                whole = (key & np.uint64(0xFFFFFFFF)) | (bucket.astype(np.uint64) << np.uint64(32))
-                salt = np.uint64(0x9E3779B97F4A7C15)
-                asked = seeds + np.repeat(np.arange(len(per_text)), per_text).astype(np.uint64) * salt
-                hit = np.isin(whole + text.astype(np.uint64) * salt, asked)
-                at, first, last, key, text, bucket = (x[hit] for x in (at, first, last, key, text, bucket))
+                hit = asked(part, "extend", text, own_names(key, prints, buckets))
+                at, first, last, key, text, prints = (x[hit] for x in (at, first, last, key, text, prints))
                 if not len(at):
                     continue
                 data, sizes = kind.payload(raw, rolling, first, last)
                 found = {
-                    "bucket": bucket,
+                    "bucket": bucket_of(key, buckets),
                     "key": key,
-                    "print": rolling.of(first, last + kind.length) ^ (key * np.uint64(3)) ^ (at - first).astype(np.uint64),
+                    "print": prints,
                     "nth": payloads + np.arange(len(at)),
                     "id": np.asarray(part.column("id"), np.int64)[text],
                     "mark": np.asarray(part.column("mark"), np.int64)[text],
@@ -279,33 +316,53 @@ def span_rows(kind: Kind) -> Callable[[pa.Table], pa.Table]:
     return spans
 
 
-def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
-    """doc_id, text, and spans (array of mark and packed unit spans) of every document."""
+def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
+    """doc_id, id, mark, text, and what text_spans makes the removed spans of; number of buckets."""
     known = identified(docs)
     buckets = parts_for(known, BUCKET_BYTES)
     anchors = known.select("id", "text").mapInArrow(
-        anchor_rows(kind, buckets), "bucket bigint, keys binary, ids binary, counts binary"
+        anchor_rows(kind, buckets),
+        "bucket bigint, keys binary, high binary, low binary, ids binary, counts binary",
     )
-    seeds = staged(anchors.groupBy("bucket").applyInArrow(seed_rows, "id bigint, seeds binary"), "seeds")
+    seeds = anchors.groupBy("bucket").applyInArrow(seed_rows, "id bigint, whole binary, extend binary")
+    seeds = staged(seeds, "seeds")
     placed = known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    per_id = seeds.groupBy("id").agg(F.collect_list("seeds").alias("seeds"))
-    fragments = placed.join(per_id.hint("shuffle_hash"), "id").mapInArrow(
+    replies = seeds.groupBy("id").agg(F.collect_list(F.struct("whole", "extend")).alias("replies"))
+    told = placed.join(replies, "id", "left")
+    fragments = told.mapInArrow(
         fragment_rows(kind, buckets),
         "bucket bigint, keys binary, windows binary, places binary, prints binary, payload binary, fragment binary,"
         " ids binary, marks binary, starts binary",
     )
     spans = fragments.groupBy("bucket").applyInArrow(span_rows(kind), "id bigint, mark bigint, spans binary")
-    per_id = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("spans"))
-    return placed.join(per_id, "id", "left").select("doc_id", "mark", "text", "spans")
-
-
-def merged(found: list[dict] | None, mark: int) -> np.ndarray:
-    """The spans of one text, put in order and joined where they touch; shape (n, 2)."""
-    own = [np.frombuffer(x["spans"], np.int64) for x in found or () if x["mark"] == mark]
-    if not own:
-        return np.zeros((0, 2), np.int64)
-    pairs = np.concatenate(own).reshape(-1, 2)
+    found = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("spans"))
+    return told.join(found, "id", "left").select("doc_id", "mark", "text", "replies", "spans"), buckets
+
+
+def text_spans(kind: Kind, buckets: int, part: pa.RecordBatch) -> list[np.ndarray]:
+    """For each text the removed runs of units, in order and joined where they touch; shape (n, 2)."""
+    (_, _, bounds), at, first, last, key, prints = anchors_of(kind, part)
+    text = np.searchsorted(bounds, at, side="right") - 1
+    hit = asked(part, "whole", text, own_names(key, prints, buckets))
+    whole = np.stack([first - bounds[text], last - bounds[text] + kind.length], 1)[hit]
+    begin = np.searchsorted(text[hit], np.arange(part.num_rows + 1))
+    found, marks = part.column("spans").to_pylist(), part.column("mark").to_pylist()
+    out = []
+    for i, (more, mark) in enumerate(zip(found, marks)):
+        own = [np.frombuffer(x["spans"], np.int64).reshape(-1, 2) for x in more or () if x["mark"] == mark]
+        out.append(merged(np.concatenate([whole[begin[i] : begin[i + 1]], *own])))
+    return out
+
+
+def merged(pairs: np.ndarray) -> np.ndarray:
+    if not len(pairs):
+        return pairs
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(pairs[:, 1])
     new = np.flatnonzero(np.append(True, pairs[1:, 0] > reach[:-1]))
     return np.stack([pairs[new, 0], reach[np.append(new[1:], len(pairs)) - 1]], 1)
+
+
+def span_lists(spans: list[np.ndarray]) -> pa.Array:
+    items = [[{"start": int(a), "end": int(b)} for a, b in pairs] for pairs in spans]
+    return pa.array(items, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))

@@ -7,12 +7,14 @@ threshold are the matches, and what they cover is joined to maximal repeats.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nightframes.llm.buffers import flat, mix, ranges, slices, word_hashes, words
-from nightframes.llm.repeats import Kind, lengths, merged, repeated_spans, runs
+from nightframes.llm.repeats import Kind, lengths, repeated_spans, runs, span_lists, text_spans
 
 LENGTH = 13
 ANCHOR = 6
@@ -42,29 +44,23 @@ def kind_of(length: int, anchor: int) -> Kind:
     return Kind(length, anchor, "uint64", word_units, payload, least)
 
 
-def kept_words(batches):
-    for batch in batches:
-        for part in slices(batch):
+def kept_rows(kind: Kind, buckets: int):
+    def kept(batches):
+        for part in chain.from_iterable(map(slices, batches)):
             data, bounds = flat(part.column("text"))
             starts, ends, first = words(data, bounds)
-            found, marks = part.column("spans").to_pylist(), part.column("mark").to_pylist()
-            raw, spans, kept = data.tobytes(), [], []
-            for own, mark, lo, hi in zip(found, marks, first[:-1].tolist(), first[1:].tolist()):
-                pairs = merged(own, mark)
-                spans.append([{"start": int(a), "end": int(b)} for a, b in pairs])
+            spans, raw, stays = text_spans(kind, buckets, part), data.tobytes(), []
+            for pairs, lo, hi in zip(spans, first[:-1].tolist(), first[1:].tolist()):
                 cuts = [lo, *(pairs.reshape(-1) + lo).tolist(), hi]
-                stays = [raw[starts[a] : ends[b - 1]] for a, b in zip(cuts[::2], cuts[1::2]) if a < b]
-                kept.append(b" ".join(w for s in stays for w in s.split()).decode())
+                runs_kept = [raw[starts[a] : ends[b - 1]] for a, b in zip(cuts[::2], cuts[1::2]) if a < b]
+                stays.append(b" ".join(w for x in runs_kept for w in x.split()).decode())
             yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(kept, pa.string()),
-                ],
+                [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), span_lists(spans), pa.array(stays, pa.string())],
                 ["doc_id", "n_words", "spans", "kept"],
             )
 
+    return kept
+
 
 def dedup_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """Remove words covered by ``length`` words in a row that also start in a smaller doc_id.
@@ -77,7 +73,9 @@ def dedup_passages(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     others; rows that share a doc_id do not remove each other's words. An empty table gives
     none; other columns are ignored.
     """
-    spans = repeated_spans(docs, kind_of(length, anchor))
-    return spans.mapInArrow(
-        kept_words, "doc_id bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, kept string"
+    kind = kind_of(length, anchor)
+    told, buckets = repeated_spans(docs, kind)
+    return told.mapInArrow(
+        kept_rows(kind, buckets),
+        "doc_id bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, kept string",
     )

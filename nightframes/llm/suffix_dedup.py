@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from nightframes.llm.buffers import BYTE_VALUES, Rolling, ranges, slices
-from nightframes.llm.repeats import Kind, chunks, lengths, merged, repeated_spans, runs
+from nightframes.llm.repeats import Kind, chunks, lengths, repeated_spans, runs, span_lists, text_spans
 
 LENGTH = 50
 # Bytes of an anchor. Shorter ones would be fewer, but many would recur by chance.
@@ -143,25 +143,20 @@ def kind_of(length: int, anchor: int) -> Kind:
     return Kind(length, anchor, "uint8", byte_units, payload, least)
 
 
-def kept_bytes(batches):
-    for part in chain.from_iterable(map(slices, batches)):
-        found, marks = part.column("spans").to_pylist(), part.column("mark").to_pylist()
-        sizes, spans, kept = [], [], []
-        for data, own, mark in zip(part.column("text").cast(pa.binary()).to_pylist(), found, marks):
-            pairs = merged(own, mark)
-            sizes.append(len(data))
-            spans.append([{"start": int(a), "end": int(b)} for a, b in pairs])
-            cuts = [0, *pairs.reshape(-1).tolist(), len(data)]
-            kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
-        yield pa.RecordBatch.from_arrays(
-            [
-                part.column("doc_id"),
-                pa.array(sizes, pa.int64()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                pa.array(kept, pa.binary()),
-            ],
-            ["doc_id", "n_bytes", "spans", "kept"],
-        )
+def kept_rows(kind: Kind, buckets: int):
+    def kept(batches):
+        for part in chain.from_iterable(map(slices, batches)):
+            spans, stays, sizes = text_spans(kind, buckets, part), [], []
+            for data, pairs in zip(part.column("text").cast(pa.binary()).to_pylist(), spans):
+                sizes.append(len(data))
+                cuts = [0, *pairs.reshape(-1).tolist(), len(data)]
+                stays.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2])))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), span_lists(spans), pa.array(stays, pa.binary())],
+                ["doc_id", "n_bytes", "spans", "kept"],
+            )
+
+    return kept
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -174,7 +169,9 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     after all others; rows that share a doc_id do not remove each other's bytes. An empty
     table gives none; other columns are ignored.
     """
-    spans = repeated_spans(docs, kind_of(length, anchor))
-    return spans.mapInArrow(
-        kept_bytes, "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary"
+    kind = kind_of(length, anchor)
+    told, buckets = repeated_spans(docs, kind)
+    return told.mapInArrow(
+        kept_rows(kind, buckets),
+        "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary",
     )
