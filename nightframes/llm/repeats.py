@@ -159,17 +159,44 @@ def seed_rows(group: pa.Table) -> pa.Table:
     mixed = np.repeat(lengths(np.searchsorted(same, first), len(same)) > 1, lengths(first, len(keys)))
     keep = whole | mixed
     names = seed_names(keys[keep].astype(np.uint64) | np.uint64(bucket << 32), prints[keep].astype(np.uint64))
-    owner, whole = owner[keep], whole[keep]
+    return packed_seeds(group.column("parts")[0].as_py(), names, owner[keep], whole[keep])
+
+
+def packed_seeds(parts: int, names: np.ndarray, owner: np.ndarray, whole: np.ndarray) -> pa.Table:
+    """Seeds by part of the ids, with ids run-length coded."""
+    part = (mix(owner.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((~whole, owner, part))
+    part, names, owner, whole = part[order], names[order], owner[order], whole[order]
+    rows, each = runs(part), runs(owner)
+    many = lengths(np.searchsorted(each, rows), len(each))
+    full = np.add.reduceat(whole.astype(np.int64), each) if len(each) else each
+    return pa.table(
+        {
+            "part": pa.array(part[rows]),
+            "ids": binary_column(owner[each], many),
+            "full": binary_column(full, many),
+            "rest": binary_column(lengths(each, len(owner)) - full, many),
+            "names": binary_column(names, lengths(rows, len(names))),
+        }
+    )
+
+
+def seeds_by_id(group: pa.Table) -> pa.Table:
+    """One row per id of a part: the seeds that repeat as a whole, and those to extend."""
+    ids, full, rest = (unpacked(group.column(c), np.int64)[0] for c in ("ids", "full", "rest"))
+    names = unpacked(group.column("names"), np.uint64)[0]
+    owner = np.repeat(ids, full + rest)
+    whole = np.repeat(np.tile([True, False], len(ids)), np.stack([full, rest], 1).reshape(-1))
     order = np.lexsort((~whole, owner))
-    keys, owner, whole = names[order], owner[order], whole[order]
+    names, owner, whole = names[order], owner[order], whole[order]
     first = runs(owner)
     size = lengths(first, len(owner))
     full = np.add.reduceat(whole.astype(np.int64), first) if len(first) else size
     return pa.table(
         {
             "id": pa.array(owner[first]),
-            "whole": binary_column(keys[whole], full),
-            "extend": binary_column(keys[~whole], size - full),
+            "whole": binary_column(names[whole], full),
+            "extend": binary_column(names[~whole], size - full),
         }
     )
 
@@ -180,13 +207,9 @@ def seed_names(full: np.ndarray, prints: np.ndarray) -> np.ndarray:
 
 
 def asked(part: pa.RecordBatch, field: str, text: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """Which anchors (``text`` and seed name) are among the packed names in ``replies.field``."""
-    replies = part.column("replies")
-    keys, per_value = unpacked(replies.flatten().field(field), np.uint64)
-    if not len(keys):
-        return np.zeros(len(text), bool)
-    many = np.asarray(replies.value_lengths().fill_null(0), np.int64)
-    owner = np.repeat(np.repeat(np.arange(len(many)), many), per_value).astype(np.uint64)
+    """Which anchors (``text`` and seed name) are among the packed names in column ``field``."""
+    keys, per_text = unpacked(part.column(field), np.uint64)
+    owner = np.repeat(np.arange(len(per_text)), per_text).astype(np.uint64)
     salt = np.uint64(0x9E3779B97F4A7C15)
     return np.isin(names + text.astype(np.uint64) * salt, keys + owner * salt)
 
@@ -324,11 +347,13 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
         anchor_rows(kind, buckets),
         "bucket bigint, keys binary, high binary, low binary, ids binary, counts binary",
     )
-    seeds = anchors.groupBy("bucket").applyInArrow(seed_rows, "id bigint, whole binary, extend binary")
+    packed = anchors.withColumn("parts", F.lit(max(8, buckets // 8))).groupBy("bucket").applyInArrow(
+        seed_rows, "part bigint, ids binary, full binary, rest binary, names binary"
+    )
+    seeds = packed.groupBy("part").applyInArrow(seeds_by_id, "id bigint, whole binary, extend binary")
     seeds = staged(seeds, "seeds")
     placed = known.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    replies = seeds.groupBy("id").agg(F.collect_list(F.struct("whole", "extend")).alias("replies"))
-    told = placed.join(replies, "id", "left")
+    told = placed.join(seeds, "id", "left")
     fragments = told.mapInArrow(
         fragment_rows(kind, buckets),
         "bucket bigint, keys binary, windows binary, places binary, prints binary, payload binary, fragment binary,"
@@ -336,7 +361,7 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, int]:
     )
     spans = fragments.groupBy("bucket").applyInArrow(span_rows(kind), "id bigint, mark bigint, spans binary")
     found = spans.groupBy("id").agg(F.collect_list(F.struct("mark", "spans")).alias("spans"))
-    return told.join(found, "id", "left").select("doc_id", "mark", "text", "replies", "spans"), buckets
+    return told.join(found, "id", "left").select("doc_id", "mark", "text", "whole", "spans"), buckets
 
 
 def text_spans(kind: Kind, buckets: int, part: pa.RecordBatch) -> list[np.ndarray]:
