@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframes.llm import best_two_fit, exact_dedup, secrets, seed_extend, suffix_dedup, token_store
+from nightframes.llm import best_two_fit, exact_dedup, secrets, seed_extend, suffix_dedup, token_store, toxicity
 from nightframes.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,13 @@ def op5_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_documents(documents(spark, sf_dir), labels)
+
+
 @query()
 def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
