@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframes.llm import best_two_fit, exact_dedup, secrets, seed_extend, suffix_dedup, token_store, toxicity
+from nightframes.llm import best_two_fit, exact_dedup, jaccard_join, secrets, seed_extend, suffix_dedup, token_store, toxicity
 from nightframes.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,13 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree to nine tenths."""
+    found = jaccard_join.linked_documents(documents(spark, sf_dir), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query()
 def op5_secret_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, by kind and place."""
