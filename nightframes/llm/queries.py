@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightframes.llm import best_two_fit, exact_dedup, jaccard_join, secrets, seed_extend, suffix_dedup, token_store, toxicity
+from nightframes.llm import (
+    best_two_fit,
+    exact_dedup,
+    jaccard_join,
+    search,
+    secrets,
+    seed_extend,
+    sentence_pieces,
+    suffix_dedup,
+    token_store,
+    toxicity,
+)
 from nightframes.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +59,38 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(documents(spark, sf_dir))
 
 
+@query(
+    """
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\\x20\\x09-\\x0D]+')) AS term
+        FROM documents
+    ), tf AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    sizes AS (
+        SELECT d.doc_id, coalesce(s.n, 0) AS n, avg(coalesce(s.n, 0)) OVER () AS mean, count(*) OVER () AS documents
+        FROM documents d LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id) s USING (doc_id)
+    ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    scored AS (
+        SELECT q.doc_id AS query_id, t.doc_id,
+               round(sum(ln(1 + (s.documents - f.df + 0.5) / (f.df + 0.5)) * t.tf * 2.2
+                         / (t.tf + 1.2 * (0.25 + 0.75 * s.n / s.mean))), 6) AS score
+        FROM tf q JOIN tf t USING (term) JOIN df f USING (term) JOIN sizes s ON s.doc_id = t.doc_id
+        WHERE q.doc_id % 100 = 0 GROUP BY ALL
+    ), ranked AS (
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+               doc_id, score
+        FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 10
+    """
+)
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    docs = documents(spark, sf_dir)
+    return search.search(docs, docs.filter("doc_id % 100 = 0"))
+
+
 @query()
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents as they are read back from the shards by key."""
@@ -109,6 +152,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and what they decode to."""
+    ids = sentence_pieces.encoded(documents(spark, sf_dir))
+    return sentence_pieces.decoded(ids).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @query()
 def op10_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat a 13-word passage of an earlier one."""
