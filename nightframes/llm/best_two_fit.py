@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from nightframes.llm.buffers import slices
 from nightframes.llm.encoder import WordEncoder, default_path
-from nightframes.llm.tables import identified, staged
+from nightframes.llm.tables import identified, kept, staged
 
 SIZE = 2048
 END = 0
@@ -105,7 +105,7 @@ def piece_rows(path: str, size: int, end: int):
     """Cut documents into pieces; number each piece among those of its length in the task."""
 
     def pieces(batches):
-        encoder = WordEncoder(path)
+        encoder = kept(("words", path), lambda: WordEncoder(path))
         close = np.array([end], encoder.dtype).tobytes()
         width = np.dtype(encoder.dtype).itemsize
         met = np.zeros(size + 1, np.int64)

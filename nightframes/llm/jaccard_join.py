@@ -22,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightframes.llm.buffers import Rolling, flat, mix, ranges, slices, word_hashes, words
@@ -397,3 +397,20 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         F.col("n").alias("n_shingles"),
         F.nullif("component", F.lit(NO_ID)).alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, with all columns: the smallest doc_id, and of its rows one.
+
+    Rows without shingles stay all. Links are those of linked_documents.
+    """
+    found = linked_documents(docs, width, percent)
+    own, to = F.coalesce("doc_id", F.lit(NO_ID)), F.coalesce("component_id", F.lit(NO_ID))
+    first = found.filter((own == to) & (F.col("n_shingles") > 0)).groupBy(own.alias("_id")).agg(F.min("mark").alias("_mark"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_mark": F.xxhash64(text)})
+    told = marked.join(first.withColumn("_stays", F.lit(True)), ["_id", "_mark"], "left")
+    nth = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_stays"))
+    blank = F.translate(text, " \t\n\x0b\x0c\r", "") == ""
+    kept = told.withColumn("_nth", nth).filter(blank | (F.col("_stays") & (F.col("_nth") == 1)))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

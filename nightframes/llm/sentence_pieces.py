@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightframes.llm.buffers import slices
+from nightframes.llm.tables import kept
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -133,7 +134,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def encode(batches):
-        pieces = Pieces(path)
+        pieces = kept(("pieces", path), lambda: Pieces(path))
         for part in chain.from_iterable(map(slices, batches)):
             ids = pieces.encode([t or "" for t in part.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
@@ -147,7 +148,7 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
 
     def decode(batches):
-        pieces = Pieces(path)
+        pieces = kept(("pieces", path), lambda: Pieces(path))
         for batch in batches:
             texts = [pieces.decode(x or b"") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "ids"]).columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "text"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 
 import numpy as np
@@ -23,6 +24,14 @@ def staged(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key, make):
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    store = vars(sys).setdefault("_nightframes_kept", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

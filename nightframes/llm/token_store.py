@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from nightframes.llm.buffers import mix, ranges, slices
 from nightframes.llm.encoder import WordEncoder, default_path
 from nightframes.llm.perfect_hash import PerfectHash
-from nightframes.llm.tables import NO_ID, binary_column, identified, parts_for, shared_dir, staged
+from nightframes.llm.tables import NO_ID, binary_column, identified, kept, parts_for, shared_dir, staged
 
 END = 2
 SHARD_BYTES = 24 << 20
@@ -74,7 +74,7 @@ class ShardIndex:
 
 def write_rows(path: str, folder: str, end: int):
     def write(batches):
-        encoder = WordEncoder(path)
+        encoder = kept(("words", path), lambda: WordEncoder(path))
         close = np.array([end], encoder.dtype).tobytes()
         store, base = filesystem(folder)
         shard = TaskContext.get().partitionId()
