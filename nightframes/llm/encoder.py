@@ -1,19 +1,30 @@
 """Token ids of texts, word by word, with a tokenizers file whose pre-tokenizer drops white space.
 
 Such a tokenizer never joins characters across white space, so the ids of a text are those
-of its words, one after the other. Each distinct word is encoded once by the library and
-kept; the rest is looking up. Only ASCII blanks part words here, a subset of white space.
+of its words, one after the other. Each distinct word is encoded once and kept; the rest is
+looking up. Only ASCII blanks part words here, a subset of white space.
+
+A new word goes through the library as a whole, or, where the file's steps before the model
+are the plain ones this module knows, straight to the library's model in its pre-tokens. That
+skips the offsets and masks the library makes up for every text, and gives the same ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
 
-# Words a task keeps, about 80 MB; the store starts anew beyond that, which changes no result.
-KEPT_WORDS = 300_000
+# Words a worker keeps, about 110 MB; the store starts anew beyond that, which changes no result.
+KEPT_WORDS = 600_000
+# Below this character lower case is one character for one, whatever stands around it.
+PLAIN_LIMIT = "İ"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 
 
 def default_path() -> str:
@@ -22,6 +33,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -29,18 +47,56 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        self.width = np.dtype(self.dtype).itemsize
         self.known: dict[bytes, bytes] = {}
+        self.pattern = self.plain_steps(path)
+        self.model = self.tokenizer.model
+        self.letters = {b: c for b, c in byte_letters().items()}
+        self.ascii = re.compile(rb"[!-~]+")
+
+    @staticmethod
+    def plain_steps(path: str):
+        """The file's pre-token pattern if its other steps are the known ones."""
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        before, split = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        known = before.get("normalizers") == NORMALIZERS and split[1:] == [BYTE_LEVEL]
+        known = known and (split[0].get("behavior"), split[0].get("invert")) == ("Removed", True)
+        # added tokens are found before all this; words that may hold one take the long way
+        known = known and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        return regex.compile(split[0]["pattern"]["Regex"]) if known else None
+
+    def plain(self, word: bytes) -> list[int] | None:
+        """Ids of a word by its pre-tokens, or None where that might differ from the whole way."""
+        if b"<|" in word:
+            return None
+        text = word.decode().lower()
+        if self.ascii.fullmatch(word):
+            parts = self.pattern.findall(text)
+        else:
+            if max(text) >= PLAIN_LIMIT or min(text) < "!" or not unicodedata.is_normalized("NFC", text):
+                return None
+            parts = ["".join([self.letters[b] for b in p.encode()]) for p in self.pattern.findall(text)]
+        return [t.id for p in parts for t in self.model.tokenize(p)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
         parted = [t.split() for t in texts]
-        new = list(set(chain.from_iterable(parted)).difference(self.known))
+        new = set(chain.from_iterable(parted)).difference(self.known)
         if len(self.known) + len(new) > KEPT_WORDS:
             self.known.clear()
-            new = list(set(chain.from_iterable(parted)))
-        if new:
-            found = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-            for word, x in zip(new, found):
+            new = set(chain.from_iterable(parted))
+        late = []
+        for word in new:
+            ids = self.plain(word) if self.pattern else None
+            if ids is None:
+                late.append(word)
+            else:
+                self.known[word] = b"".join([i.to_bytes(self.width, "little") for i in ids])
+        if late:
+            for word, x in zip(late, self.tokenizer.encode_batch([w.decode() for w in late], add_special_tokens=False)):
                 self.known[word] = np.array(x.ids, self.dtype).tobytes()
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in parted]
