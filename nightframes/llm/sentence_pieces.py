@@ -25,10 +25,11 @@ from nightframes.llm.buffers import slices
 from nightframes.llm.tables import kept
 
 MARK = "▁"
-WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-# Words and pairs of pieces a task keeps; the store starts anew beyond that.
-KEPT_WORDS = 250_000
-KEPT_PAIRS = 400_000
+# A line end that is in no piece becomes a byte, so words part there too.
+WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+# Words and pairs of pieces a worker keeps; the store starts anew beyond that.
+KEPT_WORDS = 450_000
+KEPT_PAIRS = 500_000
 
 
 def default_path() -> str:
@@ -48,12 +49,19 @@ class Pieces:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(n)]
         self.ids = {model.id_to_piece(i): i for i in range(n) if not special[i]}
         self.scores = {p: model.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
+            raise ValueError("pieces that go on across a word mark or line end are not supported")
+        # lengths of the pieces that end with the same two letters, longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.texts = [b"" if special[i] else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.bytes):
             self.texts[i] = bytes([b])
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.held_pairs = 0
         self.known: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -71,33 +79,45 @@ class Pieces:
 
     def follows(self, before: str, piece: str) -> bool:
         """Whether ``piece`` may come after ``before`` (empty at the beginning)."""
-        key = (before, piece)
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > KEPT_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        if self.held_pairs > KEPT_PAIRS:
+            for x in self.pairs.values():
+                x.clear()
+            self.held_pairs = 0
+        self.held_pairs += 1
+        found = self.merged(before + piece) == ([before, piece] if before else [piece])
+        self.pairs[before][piece] = found
         return found
 
     def encode_sorted(self, words: list[str]) -> None:
         """Encode sorted distinct words, keeping the forward table of the common prefix."""
         last: list[str] = []  # the last piece of each prefix of the current word
         previous = ""
-        ids, longest, follows = self.ids, self.longest, self.follows
+        ids, ends, pairs, follows, none = self.ids, self.ends, self.pairs, self.follows, ()
         for word in words:
             shared, most = 0, min(len(word), len(previous))
             while shared < most and word[shared] == previous[shared]:
                 shared += 1
             del last[shared:]
             for end in range(shared + 1, len(word) + 1):
-                if word[end - 1] not in ids:
-                    last.append(word[end - 1])
+                letter = word[end - 1]
+                if letter not in ids:
+                    last.append(letter)
                     continue
-                for begin in range(max(0, end - longest), end):
-                    piece = word[begin:end]
-                    if piece in ids and follows(last[begin - 1] if begin else "", piece):
-                        last.append(piece)
-                        break
+                for n in ends.get(word[end - 2 : end], none) if end > 1 else none:
+                    if n > end:
+                        continue
+                    piece = word[end - n : end]
+                    if piece in ids:
+                        before = last[end - n - 1] if end > n else ""
+                        known = pairs.get(before)
+                        if known is None:
+                            known = pairs[before] = {}
+                        fits = known.get(piece)
+                        if fits or (fits is None and follows(before, piece)):
+                            last.append(piece)
+                            break
+                else:
+                    last.append(letter)  # the letter alone is what is left
             out, end = [], len(word)
             while end:
                 piece = last[end - 1]
