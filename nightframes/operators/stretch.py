@@ -70,8 +70,10 @@ def auto_stretch(
 ) -> DataFrame:
     """Stretched RGB pixels with 16-bit samples; other columns are kept.
 
-    The parameters are a few numbers per frame, staged once and joined back.
+    The pixels are staged, as both the parameters and the transfer need them; the parameters
+    are a few numbers per frame, staged once and joined back.
     """
+    rgb = staged(rgb, "rgb")
     params = stretch_params(rgb, linked, brightness)
     wide = staged(
         params.groupBy("frame_id").agg(

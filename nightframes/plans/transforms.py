@@ -72,8 +72,12 @@ rgb as (
  union all select frame_id, y, x, s, s, s, 'AlreadyDebayeredMono' from display where frame_id >= {MONO_BASE})"""
 
 
-def stretch_sql(source: str, linked: bool, brightness: float = 0.25) -> str:
-    """CTEs ending in ``stretched`` over ``source`` (frame_id, y, x, r, g, b), 16-bit samples."""
+def stretch_sql(source: str, linked: bool, brightness: float = 0.25, carried: str = "") -> str:
+    """CTEs ending in ``stretched`` over ``source`` (frame_id, y, x, r, g, b), 16-bit samples.
+
+    Every pixel row is joined once with its frame's row of parameters; ``carried`` names
+    columns to keep.
+    """
 
     def mtf(m: str, x: str) -> str:
         return (
@@ -81,23 +85,30 @@ def stretch_sql(source: str, linked: bool, brightness: float = 0.25) -> str:
             f" else (({m} - 1) * {x}) / ((2 * {m} - 1) * {x} - {m}) end"
         )
 
-    def channel(c: str) -> str:
-        key = -1 if linked else "rgb".index(c)
-        return f"""{c}_out as (select s.frame_id, y, x, {_U16.format(v=mtf('midtones', 'v') + ' * 65535.0::double')} as {c} from (
- select s.frame_id, s.y, s.x, p.midtones, case when 1 - shadows > 0 then least(greatest((s.{c} / 65535.0::double - shadows) / (1 - shadows), 0), 1) else 0 end as v
- from {source} s join params p on p.frame_id = s.frame_id and p.channel = {key}) s)"""
-
-    return f"""samples as (
- select frame_id, {-1 if linked else 0} as channel, r / 65535.0::double as v from {source}
- union all select frame_id, {-1 if linked else 1}, g / 65535.0::double from {source}
- union all select frame_id, {-1 if linked else 2}, b / 65535.0::double from {source}),
-meds as (select frame_id, channel, quantile_cont(v, 0.5) as median from samples group by frame_id, channel),
-mads as (select frame_id, channel, median, 1.4826 * quantile_cont(abs(v - median), 0.5) as mad from samples join meds using (frame_id, channel) group by frame_id, channel, median),
+    keys = {c: -1 if linked else i for i, c in enumerate("rgb")}
+    wide = ", ".join(
+        f"max({v}) filter (channel = {k}) as {c}_{v}" for c, k in keys.items() for v in ("shadows", "midtones")
+    )
+    above = ", ".join(
+        f"case when 1 - {c}_shadows > 0 then least(greatest(({c} / 65535.0::double - {c}_shadows) / (1 - {c}_shadows), 0), 1)"
+        f" else 0 end as {c}_v"
+        for c in "rgb"
+    )
+    out = ", ".join(f"{_U16.format(v=mtf(f'{c}_midtones', f'{c}_v') + ' * 65535.0::double')} as {c}" for c in "rgb")
+    carried = f", {carried}" if carried else ""
+    return f"""pixels as materialized (select frame_id, y, x, r, g, b{carried} from {source}),
+samples as materialized (
+ select frame_id, {keys['r']} as channel, r / 65535.0::double as v from pixels
+ union all select frame_id, {keys['g']}, g / 65535.0::double from pixels
+ union all select frame_id, {keys['b']}, b / 65535.0::double from pixels),
+meds as materialized (select frame_id, channel, quantile_cont(v, 0.5) as median from samples group by frame_id, channel),
+mads as materialized (select frame_id, channel, median, 1.4826 * quantile_cont(abs(v - median), 0.5) as mad from samples join meds using (frame_id, channel) group by frame_id, channel, median),
 shadow as (select *, least(greatest(median - 2.8 * mad, 0), 1) as shadows, {brightness}::double as t from mads),
 lifted as (select *, median - shadows as d from shadow),
-params as (select frame_id, channel, median, mad, shadows, least(greatest({mtf('t', 'd')}, pow(2, -23)), 1 - pow(2, -23)) as midtones from lifted),
-{channel('r')}, {channel('g')}, {channel('b')},
-stretched as (select frame_id, y, x, r, g, b from r_out join g_out using (frame_id, y, x) join b_out using (frame_id, y, x))"""
+params as materialized (select frame_id, channel, median, mad, shadows, least(greatest({mtf('t', 'd')}, pow(2, -23)), 1 - pow(2, -23)) as midtones from lifted),
+wide as materialized (select frame_id, {wide} from params group by frame_id),
+scaled as (select pixels.*, wide.* exclude (frame_id), {above} from pixels join wide using (frame_id)),
+stretched as (select frame_id, y, x, {out}{carried} from scaled)"""
 
 
 # --- planes -------------------------------------------------------------------------
@@ -293,8 +304,8 @@ def midtones_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {RGB_SQL}, raw_rgb as (select frame_id, y, x, raw as r, raw as g, raw as b, 'RawMono' as source from mosaic
- union all select frame_id, y, x, r, g, b, notice from rgb where frame_id >= {CUBE_BASE}), {stretch_sql('raw_rgb', False)}
- select s.frame_id, s.y, s.x, s.r, s.g, s.b, source from stretched s join raw_rgb using (frame_id, y, x)"""
+ union all select frame_id, y, x, r, g, b, notice from rgb where frame_id >= {CUBE_BASE}), {stretch_sql('raw_rgb', False, carried='source')}
+ select * from stretched"""
 )
 def rendered_without_debayer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rgb = T.render(all_lines(spark, sf_dir), debayer=False, stretch=True)
