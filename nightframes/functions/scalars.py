@@ -87,19 +87,24 @@ def format_star(v: Column) -> Column:
 
 
 def shortest_float(v: Column) -> Column:
-    """Shortest decimal text that reads back as ``v``, never in exponent form."""
-
-    def plain(precision: int, scale: int) -> Column:
-        text = v.cast(f"decimal({precision},{scale})").cast("string")
-        return F.regexp_replace(text, "\\.?0+$", "") if scale else text
-
+    """Shortest decimal text that reads back as ``v``, never in exponent form; inf, -inf, NaN by name."""
     a = F.abs(v)
-    return (
-        F.when(v == 0, F.lit("0"))
-        .when(a < 1e7, plain(38, 30))
-        .when(a < 1e20, plain(38, 17))
-        .otherwise(plain(38, 0))
+    brief = F.format_string("%.15e", a)  # where 16 digits do, the plain cast may give 17
+    # the smallest numbers have fewer digits than the cast writes
+    tiny = F.coalesce(*[F.when(t.cast("double") == a, t) for t in (F.format_string(f"%.{n}e", a) for n in range(16))])
+    text = F.when(a < 2.3e-308, tiny).when(brief.cast("double") == a, brief).otherwise(a.cast("string"))
+    parts = [F.regexp_extract(text, r"^(\d+)(?:\.(\d*))?(?:[eE]\+?(-?\d+))?$", i) for i in (1, 2, 3)]
+    whole, fraction = parts[0], F.regexp_replace(parts[1], "0+$", "")
+    digits = F.concat(whole, fraction)
+    point = F.length(whole) + F.coalesce(F.nullif(parts[2], F.lit("")).cast("int"), F.lit(0))
+    size = F.length(digits)
+    plain = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
     )
+    named = F.when(F.isnan(v), "NaN").when(a == float("inf"), "inf").when(v == 0, "0").otherwise(plain)
+    return F.concat(F.when((v < 0) & ~F.isnan(v), "-").otherwise(""), named)
 
 
 # --- coordinates --------------------------------------------------------------------

@@ -51,11 +51,10 @@ def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {_SERIES} select session_id, metric, path, time_str as time_iso,
- rtrim(rtrim(printf('%.6f', time), '0'), '.') as epoch_seconds, rtrim(rtrim(printf('%.4f', value), '0'), '.') as csv_value from series where metric in ('max', 'star_count')"""
+ rtrim(rtrim(printf('%.6f', time), '0'), '.') as epoch_seconds, regexp_replace(cast(value as varchar), '\\.0$', '') as csv_value from series"""
 )
 def series_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = session_values(spark, sf_dir).filter(F.col("metric").isin("max", "star_count"))
-    return T.csv_rows(T.build_series(values)).drop("time")
+    return T.csv_rows(T.build_series(session_values(spark, sf_dir))).drop("time")
 
 
 _NICE = "case when {r} <= 1 then 1 when {r} <= 2 then 2 when {r} <= 5 then 5 else 10 end"

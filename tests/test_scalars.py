@@ -71,6 +71,13 @@ def test_trim_float(value, v, text):
         (1e21, "1000000000000000000000"),
         (-3.25, "-3.25"),
         (0.0, "0"),
+        (1e39, "1" + "0" * 39),
+        (1e-31, "0." + "0" * 30 + "1"),
+        (5e-324, "0." + "0" * 323 + "5"),
+        (0.1 + 0.2, "0.30000000000000004"),
+        (float("inf"), "inf"),
+        (float("-inf"), "-inf"),
+        (float("nan"), "NaN"),
     ],
 )
 def test_shortest_float(value, v, text):
