@@ -167,11 +167,11 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rules as in mark_duplicates."""
-    winners = decide(keyed(docs)).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"))
+    winners = decide(keyed(docs)).select(F.col("id").alias("__nf_id"), F.col("digest").alias("__nf_digest"))
     marked = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_digest": digest(F.col("text"))}
+        {"__nf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__nf_digest": digest(F.col("text"))}
     )
-    marked = marked.withColumn("_chars", -F.char_length(F.coalesce("text", F.lit(""))))
-    stays = marked.join(winners.hint("shuffle_hash"), ["_id", "_digest"], "left_semi")
-    once = Window.partitionBy("_id", "_digest").orderBy("_chars")
-    return stays.withColumn("_nth", F.row_number().over(once)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = marked.withColumn("__nf_chars", -F.char_length(F.coalesce("text", F.lit(""))))
+    stays = marked.join(winners.hint("shuffle_hash"), ["__nf_id", "__nf_digest"], "left_semi")
+    once = Window.partitionBy("__nf_id", "__nf_digest").orderBy("__nf_chars")
+    return stays.withColumn("__nf_nth", F.row_number().over(once)).filter("__nf_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

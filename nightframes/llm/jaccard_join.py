@@ -33,6 +33,10 @@ from nightframes.llm.tables import NO_ID, binary_column, identified, staged, unp
 SKETCH = 1 << 21
 SKETCH_BLOCK = 1 << 16
 BITS = 512
+# Bits of the filter for texts to look up, 8 MB whatever the size of the table, and bytes of
+# a block of it.
+FILTER_BITS = 1 << 26
+FILTER_BLOCK = 1 << 16
 # Subsets of one set up to which enumerating them is considered at all.
 MOST_SUBSETS = 600
 # Members of a list that are compared within one task.
@@ -66,7 +70,7 @@ def sketch_rows(width: int):
             for part in slices(batch):
                 grams, _ = shingle_sets(*flat(part.column("text")), width)
                 met += np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        blocks = met.astype(np.uint32).reshape(-1, SKETCH_BLOCK)
+        blocks = np.minimum(met, 65535).astype(np.uint16).reshape(-1, SKETCH_BLOCK)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(blocks))), binary_column(blocks.reshape(-1), np.full(len(blocks), SKETCH_BLOCK))],
             ["block", "counts"],
@@ -78,7 +82,7 @@ def sketch_rows(width: int):
 def summed(group: pa.Table) -> pa.Table:
     total = np.zeros(SKETCH_BLOCK, np.int64)
     for one in group.column("counts"):
-        total += np.frombuffer(one.as_py(), np.uint32)
+        total += np.frombuffer(one.as_py(), np.uint16)
     ranks = np.round(8 * np.log2(1.0 + total)).astype(np.uint16)
     return pa.table({"block": group.column("block").slice(0, 1), "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
@@ -280,13 +284,48 @@ def close_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap").mapInArrow(allowed, "a bigint, b bigint")
 
 
+def bit_rows(batches):
+    """The bits of a task's marks, in blocks."""
+    met = np.zeros(FILTER_BITS, bool)
+    for batch in batches:
+        met[np.asarray(batch.column("mark"), np.int64) % FILTER_BITS] = True
+    blocks = np.packbits(met).reshape(-1, FILTER_BLOCK)
+    some = np.flatnonzero(blocks.any(axis=1))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(some), binary_column(blocks[some].reshape(-1), np.full(len(some), FILTER_BLOCK))], ["block", "bits"]
+    )
+
+
+def joined_bits(group: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in group.column("bits")])
+    return pa.table({"block": group.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def marked_texts(known: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows that may be needed: a filter of fixed size keeps most other texts out of the shuffle."""
+    found = needed.select("mark").mapInArrow(bit_rows, "block bigint, bits binary")
+    found = found.groupBy("block").applyInArrow(joined_bits, "block bigint, bits binary").collect()
+    packed = np.zeros((FILTER_BITS // 8 // FILTER_BLOCK, FILTER_BLOCK), np.uint8)
+    for r in found:
+        packed[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = known.sparkSession.sparkContext.broadcast(packed.reshape(-1))
+
+    def kept(batches):
+        bits = shared.value
+        for batch in batches:
+            at = np.asarray(batch.column("mark"), np.int64) % FILTER_BITS
+            yield batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return known.select("id", "mark", "text").mapInArrow(kept, "id bigint, mark bigint, text string")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, known: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """The links among candidate pairs; only the texts that occur in a pair are looked up."""
     pairs = staged(close_pairs(pairs, nodes, percent), f"{name}-pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = needed.join(nodes.select("node", "id", "mark"), "node")
-    texts = known.select("id", "mark", "text").join(needed, ["id", "mark"]).select("node", "text")
-    sets = staged(texts.mapInArrow(set_rows(width), "node bigint, grams binary").dropDuplicates(["node"]), f"{name}-sets")
+    needed = staged(needed.join(nodes.select("node", "id", "mark"), "node"), f"{name}-needed")
+    texts = marked_texts(known, needed).join(needed, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    sets = staged(texts.select("node", "text").mapInArrow(set_rows(width), "node bigint, grams binary"), f"{name}-sets")
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_set"))
     b = sets.select(F.col("node").alias("b"), F.col("grams").alias("b_set"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set")
@@ -406,11 +445,11 @@ def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     found = linked_documents(docs, width, percent)
     own, to = F.coalesce("doc_id", F.lit(NO_ID)), F.coalesce("component_id", F.lit(NO_ID))
-    first = found.filter((own == to) & (F.col("n_shingles") > 0)).groupBy(own.alias("_id")).agg(F.min("mark").alias("_mark"))
+    first = found.filter((own == to) & (F.col("n_shingles") > 0)).groupBy(own.alias("__nf_id")).agg(F.min("mark").alias("__nf_mark"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "_mark": F.xxhash64(text)})
-    told = marked.join(first.withColumn("_stays", F.lit(True)), ["_id", "_mark"], "left")
-    nth = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_stays"))
+    marked = docs.withColumns({"__nf_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__nf_mark": F.xxhash64(text)})
+    told = marked.join(first.withColumn("__nf_stays", F.lit(True)), ["__nf_id", "__nf_mark"], "left")
+    nth = F.row_number().over(Window.partitionBy("__nf_id", "__nf_mark").orderBy("__nf_stays"))
     blank = F.translate(text, " \t\n\x0b\x0c\r", "") == ""
-    kept = told.withColumn("_nth", nth).filter(blank | (F.col("_stays") & (F.col("_nth") == 1)))
+    kept = told.withColumn("__nf_nth", nth).filter(blank | (F.col("__nf_stays") & (F.col("__nf_nth") == 1)))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

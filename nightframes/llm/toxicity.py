@@ -271,8 +271,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return w
 
 
-def scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns, then score and predicted, of every row of ``docs`` (which has a text)."""
+def scores(docs: DataFrame, model: Model, columns: list[str], names=("score", "predicted")) -> DataFrame:
+    """The named columns, then score and predicted as ``names``, of every row of ``docs`` (which has a text)."""
     weights = np.array(model.weights)
 
     def rows(batches):
@@ -285,11 +285,11 @@ def scores(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
                 predicted = (score >= THRESHOLD).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in columns), pa.array(score), pa.array(predicted)],
-                    [*columns, "score", "predicted"],
+                    [*columns, *names],
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.mapInArrow(rows, f"{kinds}, score double, predicted int")
+    return docs.mapInArrow(rows, f"{kinds}, {names[0]} double, {names[1]} int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -308,5 +308,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    kept = scores(docs, fit(docs, labels), docs.columns)
-    return kept.filter("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = scores(docs, fit(docs, labels), docs.columns, ("__nf_score", "__nf_predicted"))
+    return kept.filter("__nf_predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
