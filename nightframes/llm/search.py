@@ -21,15 +21,15 @@ from nightframes.llm.repeats import lengths, runs
 from nightframes.llm.tables import binary_column, staged, unpacked
 
 K1, B = 1.2, 0.75
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 12 << 20
 # Documents in a block with a bound of its own.
 BLOCK = 32
 # A term in more than one of so many documents of a shard is frequent there.
 FREQUENT = 16
 # Terms of the queries that are handled together.
-QUERY_TERMS = 400_000
+QUERY_TERMS = 800_000
 # Queries whose partial results travel as one row.
-GROUP = 64
+GROUP = 128
 DIGITS = 6
 INDEX = "docs binary, sizes binary, terms binary, counts binary, posting binary, tf binary"
 
@@ -212,7 +212,11 @@ def scan(shard: Shard, queries, idf, top, k: int) -> None:
             continue
         docs = (used[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
         docs = docs[docs < shard.n]
-        scores = np.round(rare[:, docs] + weights @ shard.dense[:, docs], DIGITS)
+        # most blocks alive: no copy of what is scored
+        whole = 2 * len(docs) > shard.n
+        scores = rare + weights @ shard.dense if whole else rare[:, docs] + weights @ shard.dense[:, docs]
+        docs = np.arange(shard.n) if whole else docs
+        scores = np.round(scores[:, : len(docs)], DIGITS)
         for j in range(len(part)):
             hit = np.flatnonzero((scores[j] >= least[j]) & (scores[j] > 0))
             if not len(hit):
