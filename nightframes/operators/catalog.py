@@ -45,21 +45,23 @@ def header_values(cards: DataFrame) -> DataFrame:
 
     The keyword list is fixed, so no job is needed to find the names; frames without any of
     the cards are absent. Repeated cards are reduced to the first on the map side, then a
-    frame has at most one row per keyword and type. With a ``vtype`` column text fields take
-    quoted values only and number fields unquoted ones.
+    frame has at most one row per keyword. With a ``vtype`` column text fields take quoted
+    values only and number fields unquoted ones: a first card of the other type gives NULL,
+    whatever follows it.
     """
     typed = "vtype" in cards.columns
-    key = F.concat_ws(" ", F.col("name"), F.col("vtype")) if typed else F.col("name")
     wanted = cards.filter(F.col("name").isin(*CATALOG_KEYWORDS) & F.col("value").isNotNull())
-    first = wanted.groupBy("frame_id", key.alias("key")).agg(
-        F.min_by("value", "ord").alias("value")
+    kind = F.col("vtype") if typed else F.lit(None).cast("string")
+    first = wanted.groupBy("frame_id", "name").agg(
+        F.min_by(F.struct("value", kind.alias("vtype")), "ord").alias("card")
     )
-    entries = F.map_from_entries(F.collect_list(F.struct("key", "value")))
+    entries = F.map_from_entries(F.collect_list(F.struct("name", "card")))
     by_name = first.groupBy("frame_id").agg(entries.alias("values"))
 
     def field(keyword: str, kind: str) -> Column:
-        suffix = (" string" if kind == "string" else " number") if typed else ""
-        return F.try_element_at("values", F.lit(keyword + suffix))
+        card = F.try_element_at("values", F.lit(keyword))
+        fits = card["vtype"] == ("string" if kind == "string" else "number")
+        return F.when(fits, card["value"]) if typed else card["value"]
 
     return by_name.select(
         "frame_id", *[field(keyword, kind).alias(column) for column, keyword, kind in CATALOG_FIELDS]

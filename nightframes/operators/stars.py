@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from nightframes.functions import scalars as S
 from nightframes.operators import planes as P
 from nightframes.operators.stats import (
-    GROUP_ROWS,
     MAD_TO_SIGMA,
     frame_medians,
     is_finite,
@@ -37,6 +36,11 @@ FWHM_PER_SIGMA = 2.3548
 
 # Scanlines per band. A band's runs are one group of the local labelling.
 BAND_ROWS = 128
+# A run: its pixels in the scanline, their sums above the background, and the frame's numbers.
+RUNS = (
+    "frame_id {frame_id}, y int, x0 int, x1 int, n bigint, peak double, flux double, fx double, background double,"
+    " width int, height int, saturation double, values array<double>"
+)
 # Slices of y a component's runs are spread over when joined with its accepted label.
 SPREAD = 32
 
@@ -44,16 +48,17 @@ SPREAD = 32
 # --- background ---------------------------------------------------------------------
 
 
-def plane_background(plane_rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def plane_background(plane_rows: DataFrame) -> DataFrame:
     """``median, mad`` of every detection plane.
 
     A plane whose source has a ceiling has a bounded number of values and is counted;
-    others are ranked.
+    others are narrowed down by counting.
     """
     bounded = F.col("bounded")
 
     def pixels(rows: DataFrame) -> DataFrame:
-        return rows.select("frame_id", F.explode("values").alias("v")).filter(is_finite(F.col("v")))
+        found = rows.select("frame_id", "y", F.posexplode("values").alias("x", "v"))
+        return found.filter(is_finite(F.col("v")))
 
     counts = pixels(plane_rows.filter(bounded)).groupBy("frame_id", "v")
     counted = median_and_mad(counts.agg(F.count(F.lit(1)).alias("n")))
@@ -61,11 +66,11 @@ def plane_background(plane_rows: DataFrame, group_rows: int = GROUP_ROWS) -> Dat
     if free_rows.isEmpty():
         return counted
     free = pixels(free_rows)
-    medians = staged(frame_medians(free, group_rows=group_rows), "medians")
-    dev = attach(free, medians, ["frame_id"], F.col("v")).withColumn(
+    medians = staged(frame_medians(free), "medians")
+    dev = attach(free, medians, ["frame_id"], F.col("y")).withColumn(
         "dev", F.abs(F.col("v") - F.col("median"))
     )
-    mads = frame_medians(dev, value="dev", group_rows=group_rows).select(
+    mads = frame_medians(dev, value="dev").select(
         "frame_id", (F.col("median") * MAD_TO_SIGMA).alias("mad")
     )
     return counted.unionByName(medians.join(mads, "frame_id"))
@@ -82,38 +87,51 @@ def runs_above(plane_rows: DataFrame, background: DataFrame, sigma_k: float = SI
     """
     rows = attach(plane_rows, background.select("frame_id", "median", "mad"), ["frame_id"], F.col("y"))
     threshold = F.col("median") + sigma_k * F.col("mad")
-    lit = (
-        rows.select(
-            "frame_id",
-            "y",
-            "width",
-            "height",
-            "saturation",
-            "median",
-            threshold.alias("threshold"),
-            F.posexplode("values").alias("x", "v"),
-        )
-        .filter((F.col("v") > F.col("threshold")) & ~F.isnan("v"))
+    lines = rows.select(
+        "frame_id", "y", "width", "height", "saturation", F.col("median").alias("background"), threshold.alias("threshold"), "values"
     )
-    # Pixels of a run share x minus their rank in the scanline.
-    rank = F.row_number().over(Window.partitionBy("frame_id", "y").orderBy("x"))
-    grouped = lit.withColumn("island", F.col("x") - rank).groupBy("frame_id", "y", "island")
-    flux = F.col("v") - F.col("median")
-    return grouped.agg(
-        F.min("x").alias("x0"),
-        F.max("x").alias("x1"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("v").alias("peak"),
-        F.sum(flux).alias("flux"),
-        F.sum(flux * F.col("x")).alias("fx"),
-        F.first("median").alias("background"),
-        F.first("width").alias("width"),
-        F.first("height").alias("height"),
-        F.first("saturation").alias("saturation"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("x", "v"))), lambda p: p["v"]
-        ).alias("values"),
-    ).drop("island")
+    key = lines.schema["frame_id"].dataType.simpleString()
+    return lines.mapInArrow(_line_runs, RUNS.format(frame_id=key))
+
+
+def _line_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of all scanlines of a batch at once; a scanline is a row, so nothing is shuffled."""
+    for batch in batches:
+        lines = batch.column("values").fill_null([])
+        size = np.asarray(lines.value_lengths(), np.int64)
+        v = np.asarray(lines.flatten().fill_null(np.nan), np.float64)
+        row = np.repeat(np.arange(len(size)), size)
+        x = np.arange(len(v)) - np.repeat(np.cumsum(size) - size, size)
+        level, base = (np.asarray(batch.column(c).fill_null(np.nan), np.float64) for c in ("threshold", "background"))
+        at = np.flatnonzero(v > level[row])
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
+        first = np.flatnonzero(new)
+        if not len(first):
+            continue
+        many = np.diff(np.append(first, len(at)))
+        flux = v[at] - base[row[at]]
+        begin = at[first]
+        taken = batch.take(pa.array(row[begin]))
+        offsets = pa.array(np.append(0, np.cumsum(many)).astype(np.int32))
+        columns = {
+            "x0": x[begin].astype(np.int32),
+            "x1": (x[begin] + many - 1).astype(np.int32),
+            "n": many,
+            "peak": np.maximum.reduceat(v[at], first),
+            "flux": np.add.reduceat(flux, first),
+            "fx": np.add.reduceat(flux * x[at], first),
+        }
+        yield pa.RecordBatch.from_arrays(
+            [
+                taken.column("frame_id"),
+                taken.column("y"),
+                *map(pa.array, columns.values()),
+                *(taken.column(c) for c in ("background", "width", "height", "saturation")),
+                pa.ListArray.from_arrays(offsets, pa.array(v[at])),
+            ],
+            ["frame_id", "y", *columns, "background", "width", "height", "saturation", "values"],
+        )
 
 
 def run_id(y: Column, x0: Column) -> Column:
@@ -392,23 +410,19 @@ def find_stars(
     return measure(labelled, accepted_components(labelled, min_pixels, max_pixels))
 
 
-def star_stats(stars: DataFrame, frames: DataFrame, group_rows: int = 1_000_000) -> DataFrame:
-    """Star count and median shape per frame; count 0 and NULL shapes without a star.
-
-    Frames up to ``group_rows`` stars use one grouping, larger ones the exact ranked median.
-    """
+def star_stats(stars: DataFrame, frames: DataFrame) -> DataFrame:
+    """Star count and median shape per frame; count 0 and NULL shapes without a star."""
     stars = staged(stars.select("frame_id", "hfr", "fwhm", "eccentricity"), "stars")
-    largest = stars.groupBy("frame_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        shapes = stars.groupBy("frame_id").agg(
-            F.count(F.lit(1)).alias("star_count"),
-            *[F.percentile(c, 0.5).alias(c) for c in ("hfr", "fwhm", "eccentricity")],
-        )
-    else:
-        shapes = stars.groupBy("frame_id").agg(F.count(F.lit(1)).alias("star_count"))
-        for c in ("hfr", "fwhm", "eccentricity"):
-            medians = frame_medians(stars, value=c, group_rows=group_rows)
-            shapes = shapes.join(medians.withColumnRenamed("median", c), "frame_id")
+    names = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("hfr", "fwhm", "eccentricity")])
+    long = stars.select("frame_id", F.explode(names).alias("m")).select("frame_id", "m.name", "m.v").filter("v is not null")
+    medians = frame_medians(long, ["frame_id", "name"])
+    shapes = stars.groupBy("frame_id").agg(F.count(F.lit(1)).alias("star_count")).join(
+        medians.groupBy("frame_id").agg(
+            *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in ("hfr", "fwhm", "eccentricity")]
+        ),
+        "frame_id",
+        "left",
+    )
     return (
         frames.select("frame_id")
         .join(shapes, "frame_id", "left")

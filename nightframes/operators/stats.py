@@ -7,8 +7,8 @@ pixel-sized join is needed to scale or route them.
 
 8- and 16-bit samples are first reduced to value counts, at most 65 536 rows per frame
 whatever its size; everything else is derived from those. Float and wide-integer samples
-take the general path, which sorts one frame per task up to ``GROUP_ROWS`` samples and
-narrows the median by counting beyond that.
+take the general path: their medians are narrowed down by counting, whatever a frame's size,
+and everything else is an aggregate that combines on the map side.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from nightframes.session import attach, staged
 
 HISTOGRAM_BINS = 256
 MAD_TO_SIGMA = 1.4826
-# A frame with more samples than this is not sorted in one task.
-GROUP_ROWS = 50_000_000
-# Bins per frame and round when a median is narrowed down.
+# Bins per frame and round when a median is narrowed down, and the values left in the
+# central bins that are put in order.
 NARROW_BINS = 4096
+ORDERED_VALUES = 4096
 COUNTED_TYPES = ("U8", "I16")
 
 STAT_COLUMNS = (
@@ -256,59 +256,33 @@ def is_finite(v: Column) -> Column:
     return ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
 
 
-def frame_medians(
-    values: DataFrame,
-    keys: list[str] = ["frame_id"],
-    value: str = "v",
-    group_rows: int = GROUP_ROWS,
-) -> DataFrame:
-    """Exact median per key, the mean of the two central values.
-
-    Groups up to ``group_rows`` are ranked with a spilling sort. Larger ones are counted
-    into bins round by round until the bin around the median is small enough to sort.
-    """
-    values = values.select(*keys, F.col(value).alias("v"))
-    sizes = staged(
-        values.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        ),
-        "sizes",
-    )
-    large = sizes.filter(F.col("total") > group_rows)
-    if large.isEmpty():
-        return _ranked_median(values, keys)
-    small_keys = sizes.filter(F.col("total") <= group_rows).select(*keys)
-    small = _ranked_median(attach(values, staged(small_keys, "small"), keys, F.col("v")), keys)
-    return small.unionByName(_narrowed_median(values, large, keys, group_rows))
+def position(rows: DataFrame, value: str) -> Column:
+    """What a frame's rows are spread by: their place, or the value where there is none."""
+    place = [c for c in ("plane", "y", "x") if c in rows.columns]
+    return F.xxhash64(*(place or [value]))
 
 
-def _ranked_median(values: DataFrame, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    rank = F.row_number().over(w.orderBy("v"))
-    total = F.count(F.lit(1)).over(w)
-    central = values.select(*keys, "v", rank.alias("rank"), total.alias("total")).filter(
-        (F.col("rank") == F.floor((F.col("total") + 1) / 2))
-        | (F.col("rank") == F.floor(F.col("total") / 2) + 1)
-    )
-    return central.groupBy(*keys).agg(((F.min("v") + F.max("v")) / 2).alias("median"))
-
-
-def _narrowed_median(
-    values: DataFrame, large: DataFrame, keys: list[str], group_rows: int
-) -> DataFrame:
-    """Medians of groups too large for one task.
+def frame_medians(values: DataFrame, keys: list[str] = ["frame_id"], value: str = "v") -> DataFrame:
+    """Exact median per key, the mean of the two central values.
 
     A round counts the values of every open group inside [lo, hi] into bins, keeping each
-    bin's extremes, and keeps the bin with the two central ranks. The ends of [lo, hi] fall in
-    different bins, so every round gets closer.
+    bin's extremes, and keeps the bins with the two central ranks. The ends of [lo, hi] fall
+    in different bins, so every round gets closer; few values are put in order at the end.
+    The steps are the same for every size of group.
     """
+    at = F.col("_at") if "_at" in values.columns else position(values, value)
+    values = values.select(*keys, F.col(value).alias("v"), at.alias("_at"))
+    low_rank, high_rank = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    w = Window.partitionBy(*keys)
     open_groups = staged(
-        large.select(*keys, "lo", "hi", "total", F.lit(0).cast("bigint").alias("below")), "open"
+        values.groupBy(*keys)
+        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total"))
+        .withColumn("below", F.lit(0).cast("bigint")),
+        "open",
     )
-    low_rank, high_rank = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     done: DataFrame | None = None
     while True:
-        inside = attach(values, open_groups, keys, F.col("v")).filter(
+        inside = attach(values, open_groups, keys, F.col("_at")).filter(
             F.col("v").between(F.col("lo"), F.col("hi"))
         )
         binned = inside.groupBy(
@@ -320,7 +294,6 @@ def _narrowed_median(
             F.first("total").alias("total"),
             F.first("below").alias("below"),
         )
-        w = Window.partitionBy(*keys)
         cum = F.col("below") + F.sum("n").over(_running(w, "bin"))
         central = (
             binned.withColumn("cum", cum)
@@ -346,78 +319,25 @@ def _narrowed_median(
             .otherwise(F.col("lo"))
             .alias("median"),
         )
-        sortable = central.filter(~split & (F.col("n") <= group_rows))
-        candidates = attach(values, staged(sortable, "sortable"), keys, F.col("v")).filter(
+        few = central.filter(~split & (F.col("n") <= ORDERED_VALUES))
+        candidates = attach(values, few, keys, F.col("_at")).filter(
             F.col("v").between(F.col("lo"), F.col("hi"))
         )
-        rank = F.col("below") + F.row_number().over(Window.partitionBy(*keys).orderBy("v")) - 1
-        sorted_out = (
+        rank = F.col("below") + F.row_number().over(w.orderBy("v")) - 1
+        ordered = (
             candidates.withColumn("rank", rank)
             .filter((F.col("rank") == low_rank) | (F.col("rank") == high_rank))
             .groupBy(*keys)
             .agg(((F.min("v") + F.max("v")) / 2).alias("median"))
         )
-        closed = closed.unionByName(sorted_out)
+        closed = closed.unionByName(ordered)
         done = closed if done is None else done.unionByName(closed)
-        rest = central.filter(~split & (F.col("n") > group_rows))
+        rest = central.filter(~split & (F.col("n") > ORDERED_VALUES))
         if rest.isEmpty():
             return done
         open_groups = staged(rest.select(*keys, "lo", "hi", "total", "below"), "open")
 
 
-_VALUE_FIELDS = "frame_id lo hi mean median zeros count sigma mad min_count max_count peak histogram".split()
-
-
-def _sorted_stats(finite: DataFrame) -> DataFrame:
-    """One shuffle by frame; ranks, moments and bins all reuse it."""
-    w = Window.partitionBy("frame_id")
-    by_value = w.orderBy("v")
-    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    v, lo, hi, mean, dev = (F.col(c) for c in ("v", "lo", "hi", "mean", "dev"))
-    low, high = _mid_ranks(F.col("total"))
-    rank = F.col("rank") - 1
-
-    rows = (
-        finite.withColumns(
-            {
-                "rank": F.row_number().over(by_value),
-                "total": F.count(F.lit(1)).over(whole),
-                "lo": F.min("v").over(whole),
-                "hi": F.max("v").over(whole),
-                "mean": F.avg("v").over(whole),
-            }
-        )
-        .withColumn(
-            "median",
-            (
-                F.max(F.when(rank <= low, v)).over(whole)
-                + F.max(F.when(rank <= high, v)).over(whole)
-            )
-            / 2,
-        )
-        .withColumn("dev", F.abs(v - F.col("median")))
-        .withColumn("rank", F.row_number().over(w.orderBy("dev")))
-    )
-    per_bin = rows.groupBy("frame_id", bin_index(v, lo, hi).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(v == lo).alias("at_min"),
-        F.count_if(v == hi).alias("at_max"),
-        F.count_if(v == 0).alias("zeros"),
-        F.sum((v - mean) * (v - mean)).alias("sq"),
-        F.max(F.when(rank <= low, dev)).alias("dev_low"),
-        F.max(F.when(rank <= high, dev)).alias("dev_high"),
-        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median", "total")],
-    )
-    return per_bin.groupBy("frame_id").agg(
-        *[F.first(c).alias(c) for c in ("lo", "hi", "mean", "median")],
-        (MAD_TO_SIGMA * ((F.max("dev_low") + F.max("dev_high")) / 2)).alias("mad"),
-        F.sum("zeros").alias("zeros"),
-        F.first("total").alias("count"),
-        F.sqrt(F.sum("sq") / F.first("total")).alias("sigma"),
-        *_bin_summary(),
-    )
-
-
 def _bin_summary() -> list[Column]:
     return [
         F.sum("at_min").alias("min_count"),
@@ -427,14 +347,12 @@ def _bin_summary() -> list[Column]:
     ]
 
 
-def _spread_stats(finite: DataFrame, group_rows: int) -> DataFrame:
-    """The same fields for frames too large for one task: a pass per step, never a sort."""
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    medians = staged(frame_medians(finite, group_rows=group_rows), "medians")
-    around = attach(finite, medians, ["frame_id"], v)
-    mads = frame_medians(
-        around.withColumn("dev", F.abs(v - F.col("median"))), value="dev", group_rows=group_rows
-    ).select("frame_id", (F.col("median") * MAD_TO_SIGMA).alias("mad"))
+def _value_fields(finite: DataFrame) -> DataFrame:
+    """The fields of finite values, a pass per step and never a sort of a whole frame."""
+    v, lo, hi, at = F.col("v"), F.col("lo"), F.col("hi"), F.col("_at")
+    medians = staged(frame_medians(finite), "medians")
+    dev = attach(finite, medians, ["frame_id"], at).withColumn("dev", F.abs(v - F.col("median")))
+    mads = frame_medians(dev, value="dev").select("frame_id", (F.col("median") * MAD_TO_SIGMA).alias("mad"))
     base = staged(
         finite.groupBy("frame_id")
         .agg(
@@ -450,7 +368,7 @@ def _spread_stats(finite: DataFrame, group_rows: int) -> DataFrame:
         "base",
     )
     bins = (
-        attach(finite, base.select("frame_id", "lo", "hi"), ["frame_id"], v)
+        attach(finite, base.select("frame_id", "lo", "hi"), ["frame_id"], at)
         .groupBy("frame_id", bin_index(v, lo, hi).alias("bin"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -463,34 +381,17 @@ def _spread_stats(finite: DataFrame, group_rows: int) -> DataFrame:
     return base.join(bins, "frame_id")
 
 
-def stats_from_values(values: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def stats_from_values(values: DataFrame) -> DataFrame:
     """All statistics fields per frame from ``frame_id, v`` rows of any distribution.
 
     NaN and infinite samples are left out and counted in ``nonfinite``. The mode is the
-    centre of the fullest bin; saturation is the observed maximum.
+    centre of the fullest bin; saturation is the observed maximum. ``plane, y, x``, where
+    there are such columns, spread a large frame's rows.
     """
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    finite = values.filter(is_finite(v)).select("frame_id", "v")
-    sizes = staged(
-        values.groupBy("frame_id").agg(
-            F.count_if(is_finite(v)).alias("n_finite"), F.count_if(~is_finite(v)).alias("nonfinite")
-        ),
-        "sizes",
-    )
-    is_large = F.col("n_finite") > group_rows
-    if sizes.filter(is_large).isEmpty():
-        fields = _sorted_stats(finite)
-    else:
-
-        def part(condition: Column) -> DataFrame:
-            keys = staged(sizes.filter(condition).select("frame_id"), "keys")
-            return attach(finite, keys, ["frame_id"], v)
-
-        fields = (
-            _sorted_stats(part(~is_large))
-            .select(_VALUE_FIELDS)
-            .unionByName(_spread_stats(part(is_large), group_rows).select(_VALUE_FIELDS))
-        )
+    values = values.select("frame_id", "v", position(values, "v").alias("_at"))
+    sizes = values.groupBy("frame_id").agg(F.count_if(~is_finite(v)).alias("nonfinite"))
+    fields = _value_fields(values.filter(is_finite(v)))
     zero = F.lit(0).cast("bigint")
     centre = lo + (0.5 - F.col("peak")["neg"]) * (hi - lo) / HISTOGRAM_BINS
     return sizes.join(fields, "frame_id", "left").select(
@@ -513,16 +414,13 @@ def stats_from_values(values: DataFrame, group_rows: int = GROUP_ROWS) -> DataFr
     )
 
 
-def general_stats(samples: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def general_stats(samples: DataFrame) -> DataFrame:
     """Statistics of float and wide-integer frames."""
     raw = F.col("raw").cast("double")
-    scaled = samples.select(
-        "frame_id", S.physical(raw, F.col("bscale"), F.col("bzero")).alias("v")
-    )
-    return stats_from_values(scaled, group_rows)
+    return stats_from_values(samples.withColumn("v", S.physical(raw, F.col("bscale"), F.col("bzero"))))
 
 
-def green_stats(green: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def green_stats(green: DataFrame) -> DataFrame:
     """Statistics of cubes' green planes, rows ``frame_id, v, saturation``.
 
     With a known ceiling the values are rounded into [0, ceiling] and counted; a plane
@@ -536,11 +434,11 @@ def green_stats(green: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         .groupBy("frame_id", whole.alias("v"))
         .agg(F.count(F.lit(1)).alias("n"), F.first(top).alias("saturation"))
     )
-    unbounded = stats_from_values(green.filter(~bounded).select("frame_id", "v"), group_rows)
+    unbounded = stats_from_values(green.filter(~bounded))
     return stats_from_counts(counts).unionByName(unbounded)
 
 
-def pixel_stats(samples: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pixel_stats(samples: DataFrame) -> DataFrame:
     """Statistics of any mix of frames: cubes on green, 8/16-bit by counts, others in general."""
     from nightframes.operators.planes import green_value
 
@@ -550,9 +448,9 @@ def pixel_stats(samples: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         "frame_id", *green_value(F.col("raw"), F.col("sample_type"), F.col("bscale"), F.col("bzero"))
     )
     return (
-        green_stats(green, group_rows)
+        green_stats(green)
         .unionByName(integer_stats(samples.filter(counted)))
-        .unionByName(general_stats(samples.filter(~cube & ~counted), group_rows))
+        .unionByName(general_stats(samples.filter(~cube & ~counted)))
     )
 
 

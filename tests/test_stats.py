@@ -62,8 +62,8 @@ def test_both_paths_agree(spark, n):
 
 
 @pytest.mark.parametrize("seed, kind", [(1, "normal"), (2, "ties"), (3, "outlier"), (4, "even"), (5, "constant")])
-def test_large_frames_are_narrowed_to_the_same_result(spark, seed, kind):
-    """A frame over the limit takes the counting rounds, next to one that is sorted."""
+def test_more_rounds_of_counting_give_the_same_result(spark, monkeypatch, seed, kind):
+    """Few bins and few ordered values take more rounds than the usual settings."""
     rng = np.random.default_rng(seed)
     n = 1000 if kind == "even" else 1001
     values = rng.normal(size=n)
@@ -75,7 +75,10 @@ def test_large_frames_are_narrowed_to_the_same_result(spark, seed, kind):
         values = np.full(n, 2.5)
     small = rng.normal(size=20)
     df = samples(spark, values.tolist(), "F64").unionByName(samples(spark, small.tolist(), "F64", frame_id=2))
-    narrowed = {r["frame_id"]: r for r in A.general_stats(df, group_rows=40).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(A, "NARROW_BINS", 16)
+        m.setattr(A, "ORDERED_VALUES", 10)
+        narrowed = {r["frame_id"]: r for r in A.general_stats(df).collect()}
     sorted_ = {r["frame_id"]: r for r in A.general_stats(df).collect()}
     assert narrowed.keys() == sorted_.keys()
     for frame_id, want in sorted_.items():
@@ -87,9 +90,10 @@ def test_large_frames_are_narrowed_to_the_same_result(spark, seed, kind):
 
 def test_narrowing_takes_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(A, "NARROW_BINS", 3)
+    monkeypatch.setattr(A, "ORDERED_VALUES", 5)
     values = np.exp(np.random.default_rng(9).normal(size=801) * 4)
     df = spark.createDataFrame([(1, float(v)) for v in values], "frame_id bigint, v double")
-    assert only(A.frame_medians(df, group_rows=5))["median"] == np.median(values)
+    assert only(A.frame_medians(df))["median"] == np.median(values)
 
 
 def test_nonfinite_samples_are_counted_apart(spark):
