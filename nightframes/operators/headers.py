@@ -107,33 +107,33 @@ def missing_cards(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     the target is a cube; a name the target has is kept; of a name repeated in the source
     only the first valued card is new to the target; commentary is always taken.
     """
-    name = F.col("name")
-    candidates = (
+    key, name = ["source_id", "frame_id", "name"], F.col("name")
+    cubes = cube_targets(cards).withColumn("_cube", F.lit(True))
+    routed = pairs.withColumnRenamed("target_id", "frame_id")
+    offered = (
         cards.filter(~is_reserved(name))
         .withColumnRenamed("frame_id", "source_id")
-        .join(pairs.withColumnRenamed("target_id", "frame_id"), "source_id")
+        .join(routed.join(cubes, "frame_id", "left"), "source_id")
+        .filter(~name.isin(*CFA_KEYWORDS) | F.col("_cube").isNull())
     )
-    cubes = cube_targets(cards)
-    cfa = name.isin(*CFA_KEYWORDS)
-    kept = candidates.filter(~cfa).unionByName(
-        candidates.filter(cfa).join(cubes, "frame_id", "left_anti")
-    )
-    valued = kept.filter(F.col("value").isNotNull()).join(
-        cards.select("frame_id", "name").distinct(), ["frame_id", "name"], "left_anti"
+    fields = [c for c in cards.columns if c not in ("frame_id", "name")]
+    card = F.struct(*fields)
+    offered = offered.select(*key, F.lit(False).alias("_has"), card.alias("_card"))
+    held = cards.select("frame_id", "name").join(routed, "frame_id")
+    held = held.select(*key, F.lit(True).alias("_has"), F.lit(None).cast(offered.schema["_card"].dataType).alias("_card"))
+    # One grouping tells what the target has, the first valued card and all commentary.
+    order, valued = F.col("_card.ord"), F.col("_card.value").isNotNull()
+    said = ~valued & F.col("_card").isNotNull()
+    merged = offered.unionByName(held).groupBy(*key).agg(
+        F.max("_has").alias("_has"),
+        F.min_by("_card", F.when(valued, order)).alias("_first"),
+        F.min(F.when(said, order)).alias("_said"),
+        F.collect_list(F.when(said, F.col("_card"))).alias("_commentary"),
     )
     # A commentary card of the same name further up already gives the target that name.
-    w = Window.partitionBy("source_id", "frame_id", "name").orderBy("ord")
-    commentary = kept.filter(F.col("value").isNull())
-    first = (
-        valued.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
-    )
-    earlier = commentary.groupBy("source_id", "frame_id", "name").agg(F.min("ord").alias("_ord"))
-    first = (
-        first.join(earlier, ["source_id", "frame_id", "name"], "left")
-        .filter("_ord is null or ord < _ord")
-        .drop("_ord")
-    )
-    return first.unionByName(commentary)
+    new = ~F.col("_has") & F.col("_first").isNotNull() & (F.col("_said").isNull() | (F.col("_first.ord") < F.col("_said")))
+    taken = F.concat("_commentary", F.when(new, F.array("_first")).otherwise(F.slice("_commentary", 1, 0)))
+    return merged.select(*key, F.explode(taken).alias("_card")).select(*key, "_card.*")
 
 
 def copy_header(cards: DataFrame, pairs: DataFrame) -> DataFrame:
