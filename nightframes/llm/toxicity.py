@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ STEMS = range(4, 10)
 # being in a toxic rather than a clean document reach this weight.
 LEAST_SHARE = 0.01
 LEAST_WEIGHT = 2.0
-# Shorter terms have too many neighbours to count misspellings of.
+# Misspellings are looked for of words, not stems, that are in this share of toxic
+# documents; shorter ones have too many neighbours.
+FUZZY_SHARE = 0.1
 FUZZY_LENGTH = 5
 # Words to each side of a hit that are its context.
 CONTEXT = 4
@@ -53,7 +56,11 @@ class Trie:
 
     def __init__(self, terms):
         self.root: dict = {}
+        # one edit or swap leaves the first two or the last two letters as they are
+        self.heads, self.tails = set(), set()
         for term in terms:
+            self.heads.add(term[:2])
+            self.tails.add(term[-2:])
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
@@ -65,6 +72,8 @@ class Trie:
         The automaton of ``word`` is held in bits: bit i of ``exact`` and ``once`` says that
         i letters are read with no edit or one; ``swap`` waits for the first of two swapped.
         """
+        if word[:2] not in self.heads and word[-2:] not in self.tails:
+            return False
         letters: dict[str, int] = {}
         for i, c in enumerate(word):
             letters[c] = letters.get(c, 0) | 1 << i
@@ -88,19 +97,21 @@ class Trie:
 
 @dataclass
 class Model:
-    """Weights of words, of stems (with a star), words that are no misspellings, feature weights."""
+    """Weights of words and of stems (with a star), words to find misspelled, words that are none, feature weights."""
 
     terms: dict[str, float]
+    fuzzy: frozenset
     ordinary: frozenset
     weights: tuple
 
     def matcher(self) -> dict:
         """Maps a word as it stands in a text (bytes) to the weight of a hit, to MISSPELLED, REPORTS or 0."""
         terms, ordinary = self.terms, self.ordinary
-        trie = fuzzy_trie(terms)
+        trie = Trie(self.fuzzy)
+        lengths = sorted({len(t) - 1 for t in terms if t.endswith("*")})
 
         def known(word: str) -> float:
-            return max([terms.get(word, 0.0), *(terms.get(f"{word[:k]}*", 0.0) for k in STEMS if k <= len(word))])
+            return max([terms.get(word, 0.0), *(terms.get(word[:k] + "*", 0.0) for k in lengths if k <= len(word))])
 
         def misspelled(word: str) -> bool:
             return FUZZY_LENGTH - 1 <= len(word) <= 30 and word not in ordinary and trie.near(word)
@@ -125,10 +136,6 @@ class Model:
         return Known()
 
 
-def fuzzy_trie(terms: dict[str, float]) -> Trie:
-    return Trie(t for t in terms if len(t) >= FUZZY_LENGTH and not t.endswith("*"))
-
-
 def features(text: bytes, known: dict) -> list[float]:
     """FEATURES of one text: logarithms of summed weights and of counts, weight per hundred words."""
     words = text.split()
@@ -149,21 +156,34 @@ def texts_of(part: pa.RecordBatch) -> list[bytes]:
     return [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
-def terms_of(text: bytes) -> set[str]:
-    """Words, and stems with a star."""
-    words = set(LETTERS.findall(text.decode(errors="replace").lower()))
-    return words | {f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k}
+class Terms(dict):
+    """The terms of a word, itself and its stems with a star; only ``wanted`` ones if these are given."""
+
+    def __init__(self, wanted: set[str] | None):
+        super().__init__()
+        self.wanted = wanted
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        found = (word, *(f"{word[:k]}*" for k in STEMS if len(word) >= k))
+        self[word] = found if self.wanted is None else tuple(t for t in found if t in self.wanted)
+        return self[word]
+
+    def of(self, text: bytes) -> set[str]:
+        words = set(LETTERS.findall(text.decode(errors="replace").lower()))
+        return set(chain.from_iterable(map(self.__getitem__, words)))
 
 
 def counted(wanted: set[str] | None):
     """Documents of each class per term, summed over a task."""
 
     def count(batches):
-        met = {0: Counter(), 1: Counter()}
+        met, terms_of = {0: Counter(), 1: Counter()}, Terms(wanted)
         for batch in batches:
             for text, toxic in zip(texts_of(batch), batch.column("toxic").to_pylist()):
                 if wanted is not None or toxic:
-                    met[toxic].update(terms_of(text) & wanted if wanted is not None else terms_of(text))
+                    met[toxic].update(terms_of.of(text))
         terms = sorted(met[0].keys() | met[1].keys())
         for lo in range(0, len(terms), 10_000):
             some = terms[lo : lo + 10_000]
@@ -189,7 +209,8 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+def learn_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], frozenset]:
+    """Weights of the terms, and those to find misspelled."""
     schema = "term string, toxic bigint, clean bigint"
     sums = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
     least = max(2, math.ceil(LEAST_SHARE * toxic))
@@ -201,8 +222,9 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     def weight(r) -> float:
         return math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 1.5) / (clean + 3))
 
-    good = sorted(((weight(r) * r["toxic"], r["term"], weight(r)) for r in found), key=lambda x: (-x[0], x[1]))
-    return {term: w for _, term, w in [x for x in good if x[2] >= LEAST_WEIGHT][:MAX_TERMS]}
+    good = sorted(((-weight(r) * r["toxic"], r["term"], r["toxic"]) for r in found if weight(r) >= LEAST_WEIGHT))[:MAX_TERMS]
+    fuzzy = (t for _, t, n in good if len(t) >= FUZZY_LENGTH and not t.endswith("*") and n >= FUZZY_SHARE * toxic)
+    return {term: -strength / n for strength, term, n in good}, frozenset(fuzzy)
 
 
 def feature_rows(model: Model, columns: dict[str, pa.DataType]):
@@ -218,9 +240,9 @@ def feature_rows(model: Model, columns: dict[str, pa.DataType]):
     return rows
 
 
-def ordinary_words(sample: DataFrame, terms: dict[str, float]) -> frozenset:
+def ordinary_words(sample: DataFrame, fuzzy: frozenset) -> frozenset:
     """Words of clean documents that are one edit away from a term: they are words of their own."""
-    trie = fuzzy_trie(terms)
+    trie = Trie(fuzzy)
 
     def near(batches):
         seen: set = set()
@@ -230,7 +252,7 @@ def ordinary_words(sample: DataFrame, terms: dict[str, float]) -> frozenset:
         yield pa.RecordBatch.from_pydict({"word": sorted(w for w in seen if trie.near(w))}, schema=pa.schema([("word", pa.string())]))
 
     found = sample.filter("toxic = 0").mapInArrow(near, "word string").distinct().collect()  # of the bounded sample
-    return frozenset(r["word"] for r in found) - terms.keys()
+    return frozenset(r["word"] for r in found) - fuzzy
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -238,13 +260,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled(docs, labels)
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
-        return Model({}, frozenset(), (-50.0, *[0.0] * len(FEATURES)))
-    terms = learn_terms(sample, counts[1], counts[0])
-    model = Model(terms, ordinary_words(sample, terms), ())
+        return Model({}, frozenset(), frozenset(), (-50.0, *[0.0] * len(FEATURES)))
+    terms, fuzzy = learn_terms(sample, counts[1], counts[0])
+    model = Model(terms, fuzzy, ordinary_words(sample, fuzzy), ())
     rows = sample.mapInArrow(feature_rows(model, {"toxic": pa.int32()}), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     table = rows.toArrow()  # at most SAMPLE_ROWS rows of numbers
     x = np.column_stack([table.column(f).to_numpy() for f in FEATURES])
-    model.weights = tuple(logistic(x, table.column("toxic").to_numpy().astype(float)))
+    weights = logistic(x, table.column("toxic").to_numpy().astype(float))
+    # labelled samples hold few misspellings or none: one weighs at least half of a hit
+    weights[2], weights[4] = max(weights[2], weights[1] / 2), max(weights[4], weights[3] / 2)
+    model.weights = tuple(weights)
     return model
 
 
