@@ -323,7 +323,7 @@ def high_byte(sample: Column) -> Column:
 def to_output_depth(sample: Column, depth: Column, bpp: int) -> Column:
     """Bring an 8- or 16-bit sample to ``bpp`` bits; 0 and the top value stay at the ends."""
     if bpp not in (8, 16, 32):
-        raise ValueError("bpp must be one of: 8, 16, 32")
+        raise ValueError("bits per pixel: 8, 16 or 32")
     wide = sample.cast("bigint")
     from8 = {8: wide, 16: wide * 257, 32: wide * 16843009}[bpp]
     from16 = {8: F.shiftright(wide, 8), 16: wide, 32: wide * 65537}[bpp]
@@ -352,7 +352,7 @@ def encode_channel(value: Column, fmt: str) -> tuple[Column, float]:
         return value.cast("float").cast("double"), 0.0
     if fmt == "f64":
         return value, 0.0
-    raise ValueError("format must be one of: i8, i16, i32, f32, f64")
+    raise ValueError("sample formats are i8, i16, i32, f32 and f64")
 
 
 def export_sample(value16: Column, target: str) -> tuple[Column, float]:
@@ -363,7 +363,7 @@ def export_sample(value16: Column, target: str) -> tuple[Column, float]:
         return value16.cast("double") - 32768.0, 32768.0
     if target == "f32":
         return value16.cast("double"), 0.0
-    raise ValueError("target must be one of: i8, i16, f32")
+    raise ValueError("export formats are i8, i16 and f32")
 
 
 # --- checked parameters -------------------------------------------------------------
@@ -371,13 +371,13 @@ def export_sample(value16: Column, target: str) -> tuple[Column, float]:
 
 def check_brightness(value: float) -> float:
     if not 0.0 < float(value) < 1.0:
-        raise ValueError("brightness must be strictly between 0 and 1")
+        raise ValueError("brightness lies between 0 and 1, both excluded")
     return float(value)
 
 
 def check_bpp(value: int) -> int:
     if int(value) not in (8, 16, 32):
-        raise ValueError("bpp must be one of: 8, 16, 32")
+        raise ValueError("bits per pixel: 8, 16 or 32")
     return int(value)
 
 

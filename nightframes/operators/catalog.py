@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
+from nightframes.session import staged
 
 # Catalog column, header keyword and type.
 CATALOG_FIELDS = (
@@ -213,18 +214,29 @@ def header_cards(raw: DataFrame) -> DataFrame:
 
 
 def add_paths(working: DataFrame, new: DataFrame) -> DataFrame:
-    """Append unseen paths of ``new`` (path, ord) behind ``working`` (path, ord).
+    """Append unseen paths of ``new`` (path, ord) behind ``working`` (path, ord), without gaps.
 
-    Repeats in ``new`` count once, at their first place; ``added`` marks the new rows. Places
-    keep the order of ``new`` but may leave gaps, so no task has to number the whole set.
+    Repeats in ``new`` count once, at their first place; ``added`` marks the new rows and
+    ``first_added`` the first of them. New paths are put in order by range partitions, each
+    numbered from the sizes of those before it, so no task has to number the whole set.
     """
-    unseen = new.groupBy("path").agg(F.min("ord").alias("ord")).join(
+    unseen = new.groupBy("path").agg(F.min("ord").alias("_ord")).join(
         working.select("path"), "path", "left_anti"
     )
+    ordered = unseen.repartitionByRange("_ord", "path").sortWithinPartitions("_ord", "path").select(
+        "path", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    )
+    ordered = staged(ordered, "unseen")
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_from"))
     last = working.agg(F.max("ord")).first()[0]
-    placed = unseen.withColumn("ord", F.col("ord") + (0 if last is None else last + 1))
-    return working.withColumn("added", F.lit(False)).unionByName(
-        placed.withColumn("added", F.lit(True))
+    start = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + (0 if last is None else last + 1)
+    # one row per shuffle partition
+    placed = ordered.join(F.broadcast(parts.select("_part", "_from", start.alias("_start"))), "_part")
+    first = 0 if last is None else last + 1
+    placed = placed.select("path", (F.col("_start") + F.col("_at") - F.col("_from")).alias("ord"))
+    return working.select("path", "ord").withColumns({"added": F.lit(False), "first_added": F.lit(False)}).unionByName(
+        placed.withColumns({"added": F.lit(True), "first_added": F.col("ord") == first})
     )
 
 

@@ -179,13 +179,13 @@ def detection_errors(frames: DataFrame) -> DataFrame:
     rows = with_shape(frames)
     bad_pattern = (F.col("shape") == "mosaic") & S.cfa_pattern(F.col("bayerpat")).isNull()
     message = (
-        F.when(bad_pattern, F.concat(F.lit("unrecognized BAYERPAT value "), F.col("bayerpat")))
+        F.when(bad_pattern, F.concat(F.lit("no mosaic layout is called "), F.col("bayerpat")))
         .when(
             F.col("shape") == "other",
             F.concat(
-                F.lit("star detection needs a single-plane image, not a "),
+                F.lit("no single plane to look for stars on: "),
                 F.col("axes").cast("string"),
-                F.lit("-axis one"),
+                F.lit(" axes"),
             ),
         )
     )
@@ -437,10 +437,8 @@ def rgb_errors(frames: DataFrame, pattern: str | None = None, force: bool = Fals
     no_pattern = S.cfa_pattern(F.col("bayerpat"), S.check_pattern(pattern)).isNull()
     message = F.when(
         needs_pattern & (F.col("axes") != 2),
-        F.concat(
-            F.lit("expected a 2D mosaic image, found "), F.col("axes").cast("string"), F.lit(" axes")
-        ),
-    ).when(needs_pattern & no_pattern, "cannot determine Bayer pattern")
+        F.concat(F.lit("a mosaic has 2 axes, this frame has "), F.col("axes").cast("string")),
+    ).when(needs_pattern & no_pattern, "the mosaic layout is not known")
     return rows.select("frame_id", message.alias("error")).filter("error is not null")
 
 
@@ -470,15 +468,14 @@ def split_errors(frames: DataFrame, pattern: str | None = None, force: bool = Fa
         F.when(
             demosaiced & (F.col("axes") != 2),
             F.concat(
-                F.lit("expected a 2D mosaic image, found "),
+                F.lit("a mosaic has 2 axes, this frame has "),
                 F.col("axes").cast("string"),
-                F.lit(" axes"),
             ),
         )
-        .when(demosaiced & no_pattern, "cannot determine Bayer pattern")
+        .when(demosaiced & no_pattern, "the mosaic layout is not known")
         .when(
             ~demosaiced & ~((F.col("axes") == 3) & (F.col("planes") == 3)),
-            "no BAYERPAT header and image is not a 3-plane RGB cube (NAXIS3=3)",
+            "neither a mosaic layout nor three planes to split",
         )
     )
     return frames.select("frame_id", message.alias("error")).filter("error is not null")

@@ -442,8 +442,8 @@ def written_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """with old as (select distinct o_custkey as c from orders where o_orderstatus = 'F'), o as (select c, row_number() over (order by c) - 1 as ord from old),
  fresh as (select o_custkey as c, min(o_orderkey) as first from orders where o_custkey not in (select c from old) group by o_custkey)
- select concat('f', c) as path, c as ord, false as added from old
- union all select concat('f', c), first + (select max(c) + 1 from old), true from fresh"""
+ select concat('f', c) as path, c as ord, false as added, false as first_added from old
+ union all select concat('f', c), row_number() over (order by first) - 1 + (select max(c) + 1 from old), true, row_number() over (order by first) = 1 from fresh"""
 )
 def extended_working_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = X.table(spark, sf_dir, "orders")

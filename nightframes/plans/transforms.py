@@ -136,8 +136,8 @@ def detection_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with {X.CUBE_SQL} select distinct {CUBE_BASE} + frame_id as frame_id,
- 'star detection needs a single-plane image, not a 3-axis one' as error from cube where planes <> 3
- union all select frame_id, error from (select distinct frame_id, 'unrecognized BAYERPAT value odd' as error from (select s_suppkey as frame_id from supplier) where frame_id % 4 = 3)"""
+ 'no single plane to look for stars on: 3 axes' as error from cube where planes <> 3
+ union all select frame_id, error from (select distinct frame_id, 'no mosaic layout is called odd' as error from (select s_suppkey as frame_id from supplier) where frame_id % 4 = 3)"""
 )
 def detection_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.when(F.col("bayerpat") == "GRBG", "odd").otherwise(F.col("bayerpat"))
@@ -174,8 +174,8 @@ def loaded_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {X.CUBE_SQL} select distinct {CUBE_BASE} + frame_id as frame_id, 'expected a 2D mosaic image, found 3 axes' as error from cube
- union all select distinct {MONO_BASE} + vec_id, 'cannot determine Bayer pattern' from embeddings"""
+    f"""with {X.CUBE_SQL} select distinct {CUBE_BASE} + frame_id as frame_id, 'a mosaic has 2 axes, this frame has 3' as error from cube
+ union all select distinct {MONO_BASE} + vec_id, 'the mosaic layout is not known' from embeddings"""
 )
 def forced_demosaic_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rgb_errors(all_frames(spark, sf_dir), force=True)
@@ -214,7 +214,7 @@ def split_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {X.CUBE_SQL}, bad as (select distinct {CUBE_BASE} + frame_id as frame_id from cube where planes <> 3
  union select {MONO_BASE} + vec_id from embeddings)
- select frame_id, 'no BAYERPAT header and image is not a 3-plane RGB cube (NAXIS3=3)' as error from bad"""
+ select frame_id, 'neither a mosaic layout nor three planes to split' as error from bad"""
 )
 def split_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.split_errors(all_frames(spark, sf_dir))

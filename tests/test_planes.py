@@ -87,7 +87,7 @@ def test_pattern_alone_does_not_demosaic(frame):
     mono = frame(POWERS)
     assert P.load_rgb(mono, pattern="RGGB").first()["notice"] == "AlreadyDebayeredMono"
     assert P.load_rgb(mono, pattern="RGGB", force=True).first()["notice"] == "Demosaiced"
-    assert P.rgb_errors(mono, force=True).first()["error"] == "cannot determine Bayer pattern"
+    assert P.rgb_errors(mono, force=True).first()["error"] == "the mosaic layout is not known"
     assert P.rgb_errors(mono).count() == 0
     assert "3-plane" in P.split_errors(mono).first()["error"]
 
