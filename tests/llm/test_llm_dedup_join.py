@@ -75,7 +75,7 @@ def components(rows, width, percent):
     return [(key(i), len(sets[x]), least[find(x)]) for x, (i, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (2, 60)])
+@pytest.mark.parametrize("width, percent", [(3, 90), (2, 60)])
 def test_jaccard_against_all_pairs(docs_of, odd_rows, width, percent):
     got = jaccard_join.linked_documents(docs_of(odd_rows), width, percent).collect()
     assert sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in got) == sorted(
