@@ -61,7 +61,7 @@ def test_both_paths_agree(spark, n):
         assert a[c] == pytest.approx(b[c], rel=1e-9, abs=1e-12), c
 
 
-@pytest.mark.parametrize("seed, kind", [(1, "normal"), (2, "ties"), (3, "outlier"), (4, "even"), (5, "constant")])
+@pytest.mark.parametrize("seed, kind", [(2, "ties"), (3, "outlier"), (4, "even")])
 def test_more_rounds_of_counting_give_the_same_result(spark, monkeypatch, seed, kind):
     """Few bins and few ordered values take more rounds than the usual settings."""
     rng = np.random.default_rng(seed)
@@ -71,9 +71,7 @@ def test_more_rounds_of_counting_give_the_same_result(spark, monkeypatch, seed,
         values = np.round(values, 1)
     if kind == "outlier":
         values[0] = 1e12
-    if kind == "constant":
-        values = np.full(n, 2.5)
-    small = rng.normal(size=20)
+    small = np.full(20, 2.5)
     df = samples(spark, values.tolist(), "F64").unionByName(samples(spark, small.tolist(), "F64", frame_id=2))
     with monkeypatch.context() as m:
         m.setattr(A, "NARROW_BINS", 16)
