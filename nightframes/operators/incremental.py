@@ -16,6 +16,7 @@ from nightframes.operators import catalog as C
 from nightframes.operators import planes as P
 from nightframes.operators import stars as D
 from nightframes.operators import stats as A
+from nightframes.session import attach, staged
 
 ANALYZED, SKIPPED, ERROR = "analyzed", "skipped_no_date", "error"
 
@@ -109,7 +110,8 @@ def analyze_frames(
         dict(zip(("time", "time_str"), C.acquisition_time(F.col("date_loc"), F.col("date_obs"))))
     )
     usable = timed.filter(F.col("time").isNotNull())
-    samples = scanlines.join(usable.select("frame_id"), "frame_id", "left_semi")
+    keys = staged(usable.select("frame_id"), "usable")
+    samples = attach(scanlines, keys, ["frame_id"], F.xxhash64("plane", "y"), "left_semi")
     measured = measure_frames(samples, usable, True, stars)
     if not stars:
         measured = measured.withColumn("star_error", F.lit(None).cast("string"))

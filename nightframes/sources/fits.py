@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
 from nightframes.operators import catalog as C
-from nightframes.session import ship
+from nightframes.session import attach, ship, staged
 
 ship(__name__)
 
@@ -167,20 +167,35 @@ def image_units(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _files(spark, paths).select("path", "content").mapInArrow(walk, _UNIT_SCHEMA)
 
 
+_CARD_ARROW = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("card", pa.string())])
+
+
 def raw_cards(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """80-column cards of each file's first image unit, right-trimmed: path, ord, card."""
-    units = C.first_image(
-        image_units(spark, paths).withColumn("is_image", F.col("is_image") | F.col("is_tiled"))
-    ).select("path", "header_at", "cards")
-    start = F.col("header_at") + F.col("ord") * CARD + 1
-    text = F.decode(F.substring(F.col("content"), start.cast("int"), F.lit(CARD)), "US-ASCII")
-    return (
-        _files(spark, paths)
-        .select("path", "content")
-        .join(units, "path")
-        .withColumn("ord", F.explode(F.sequence(F.lit(0), F.col("cards") - 1)))
-        .select("path", "ord", F.rtrim(text).alias("card"))
-    )
+    """80-column cards of each file's first image unit, right-trimmed: path, ord, card.
+
+    The walk that finds the unit gives its cards too, so contents are read once and never
+    shuffled.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                data = content.as_buffer().to_pybytes()
+                unit = next((u for u in _units(data) if u["is_image"] or u["is_tiled"]), None)
+                if unit is None or not unit["cards"]:
+                    continue
+                text = data[unit["header_at"] : unit["header_at"] + unit["cards"] * CARD].decode("ascii", "replace")
+                found = [text[i : i + CARD].rstrip(" ") for i in range(0, len(text), CARD)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([path.as_py()] * len(found)),
+                        pa.array(np.arange(len(found), dtype=np.int32)),
+                        pa.array(found),
+                    ],
+                    schema=_CARD_ARROW,
+                )
+
+    return _files(spark, paths).select("path", "content").mapInArrow(walk, "path string, ord int, card string")
 
 
 def cards(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -270,16 +285,15 @@ def frames(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def scanlines(lines: DataFrame, frames: DataFrame) -> DataFrame:
-    """Decoded lines with their frame's descriptor, ready to be written as a table."""
+    """Decoded lines with their frame's descriptor, ready to be written as a table.
+
+    The descriptor is a few numbers per frame: lines stay where they are while it is small.
+    """
     descriptor = frames.select(
         "frame_id", *"width height axes planes sample_type bscale bzero bayerpat".split()
     )
-    return (
-        lines.filter("error is null")
-        .drop("error")
-        .withColumnRenamed("path", "frame_id")
-        .join(descriptor, "frame_id")
-    )
+    found = lines.filter("error is null").drop("error").withColumnRenamed("path", "frame_id")
+    return attach(found, staged(descriptor, "descriptor"), ["frame_id"], F.xxhash64("plane", "y"))
 
 
 def read_errors(lines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nightframes.operators import headers as H
 from nightframes.operators import planes as P
+from nightframes.session import attach, staged
 
 
 def write_frames(
@@ -52,6 +53,7 @@ def write_rgb16(
     kept = H.output_cards(cards, 1.0, 32768.0, P.CFA_KEYWORDS)
     if history is not None:
         kept = H.add_history(kept, history)
+    rgb = staged(rgb, "rgb")
     lines = P.to_scanlines(export_planes(rgb, "i16"))
     sizes = rgb.groupBy("frame_id").agg(
         F.first("width").alias("width"), F.first("height").alias("height")
@@ -65,4 +67,6 @@ def write_rgb16(
         F.lit(32768.0).alias("bzero"),
         F.lit(None).cast("string").alias("bayerpat"),
     )
-    write_frames(path, described, kept, lines.join(described, "frame_id"), overwrite)
+    described = staged(described, "described")
+    lines = attach(lines, described, ["frame_id"], F.xxhash64("plane", "y"))
+    write_frames(path, described, kept, lines, overwrite)
