@@ -184,11 +184,13 @@ def list_rows(percent: int, light: int, buckets: int):
         bucket = (key % np.uint64(buckets)).astype(np.int64)
         order = by_bucket(bucket, buckets)
         key, node, size, bucket = key[order], node[order], size[order], bucket[order]
-        rows = runs(bucket)
-        each = lengths(rows, len(key))
+        # keys one by one, nodes and sizes once for the keys of a node in a bucket
+        rows, same = runs(bucket), runs(bucket, node)
+        many = lengths(np.searchsorted(same, rows), len(same))
+        columns = (node[same], size[same].astype(np.uint32), lengths(same, len(key)).astype(np.uint32))
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket[rows]), *(binary_column(x, each) for x in (key, node, size))],
-            ["bucket", "keys", "nodes", "sizes"],
+            [pa.array(bucket[rows]), binary_column(key, lengths(rows, len(key))), *(binary_column(x, many) for x in columns)],
+            ["bucket", "keys", "nodes", "sizes", "counts"],
         )
 
     def rows(batches):
@@ -218,7 +220,9 @@ def shared_lists(percent: int):
     """Members of the lists with more than one, with the list's first member."""
 
     def members(group: pa.Table) -> pa.Table:
-        key, node, size = (unpacked(group.column(c), t)[0] for c, t in (("keys", np.uint64), ("nodes", np.int64), ("sizes", np.int64)))
+        kinds = {"keys": np.uint64, "nodes": np.int64, "sizes": np.uint32, "counts": np.uint32}
+        key, node, size, count = (unpacked(group.column(c), t)[0] for c, t in kinds.items())
+        node, size = np.repeat(node, count), np.repeat(size.astype(np.int64), count)
         order = np.lexsort((node, key))
         key, node, size = key[order], node[order], size[order]
         once = runs(key, node)
@@ -412,7 +416,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
                    .select("high", "low", "n", "x.*"), "nodes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = nodes.select("node", "n", "keys", "small").mapInArrow(
-        list_rows(percent, light, buckets), "bucket bigint, keys binary, nodes binary, sizes binary"
+        list_rows(percent, light, buckets), "bucket bigint, keys binary, nodes binary, sizes binary, counts binary"
     )
     lists = packed.groupBy("bucket").applyInArrow(shared_lists(percent), "list bigint, node bigint, lead bigint")
     lists = staged(lists, "lists")
