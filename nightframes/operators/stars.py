@@ -65,7 +65,7 @@ def plane_background(plane_rows: DataFrame) -> DataFrame:
     free_rows = plane_rows.filter(~bounded)
     if free_rows.isEmpty():
         return counted
-    free = pixels(free_rows)
+    free = staged(pixels(free_rows), "free")
     medians = staged(frame_medians(free), "medians")
     dev = attach(free, medians, ["frame_id"], F.col("y")).withColumn(
         "dev", F.abs(F.col("v") - F.col("median"))

@@ -389,7 +389,8 @@ def stats_from_values(values: DataFrame) -> DataFrame:
     there are such columns, spread a large frame's rows.
     """
     v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    values = values.select("frame_id", "v", position(values, "v").alias("_at"))
+    # read by every round and pass, so computed once
+    values = staged(values.select("frame_id", "v", position(values, "v").alias("_at")), "values")
     sizes = values.groupBy("frame_id").agg(F.count_if(~is_finite(v)).alias("nonfinite"))
     fields = _value_fields(values.filter(is_finite(v)))
     zero = F.lit(0).cast("bigint")
