@@ -28,8 +28,8 @@ MARK = "▁"
 # A line end that is in no piece becomes a byte, so words part there too.
 WORDS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 # Words and pairs of pieces a worker keeps; the store starts anew beyond that.
-KEPT_WORDS = 450_000
-KEPT_PAIRS = 500_000
+KEPT_WORDS = 320_000
+KEPT_PAIRS = 350_000
 
 
 def default_path() -> str:
