@@ -28,10 +28,12 @@ SAMPLE_ROWS = 20_000
 # Terms a lexicon holds at most, by the number of toxic documents that have them.
 MAX_TERMS = 2_000
 STEMS = range(4, 10)
-# A term is taken if it occurs in this share of toxic documents, and if its log-odds of
-# being in a toxic rather than a clean document reach this weight.
+# A term is taken if it occurs in this share of toxic documents, if its log-odds of being in
+# a toxic rather than a clean document reach this weight, and also do so with less for one
+# standard error, which keeps chance finds of small samples out.
 LEAST_SHARE = 0.01
 LEAST_WEIGHT = 2.0
+LEAST_SURE_WEIGHT = 1.5
 # Misspellings are looked for of words, not stems, that are in this share of toxic
 # documents; shorter ones have too many neighbours.
 FUZZY_SHARE = 0.1
@@ -222,7 +224,11 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str, fl
     def weight(r) -> float:
         return math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 1.5) / (clean + 3))
 
-    good = sorted(((-weight(r) * r["toxic"], r["term"], r["toxic"]) for r in found if weight(r) >= LEAST_WEIGHT))[:MAX_TERMS]
+    def fits(r) -> bool:
+        error = math.sqrt(1 / (r["toxic"] + 0.5) + 1 / (r["clean"] + 1.5))
+        return weight(r) >= LEAST_WEIGHT and weight(r) - error >= LEAST_SURE_WEIGHT
+
+    good = sorted(((-weight(r) * r["toxic"], r["term"], r["toxic"]) for r in found if fits(r)))[:MAX_TERMS]
     fuzzy = (t for _, t, n in good if len(t) >= FUZZY_LENGTH and not t.endswith("*") and n >= FUZZY_SHARE * toxic)
     return {term: -strength / n for strength, term, n in good}, frozenset(fuzzy)
 
