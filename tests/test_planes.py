@@ -44,7 +44,7 @@ def test_detection_plane_of_other_shapes(frame):
     assert plane_values(P.detection_rows(floats)) == [32768.0, 65535.0]
     four = frame([[[1]], [[2]], [[3]], [[4]]])
     assert P.detection_rows(four).count() == 0
-    assert "3-axis" in P.detection_errors(four).first()["error"]
+    assert "3 axes" in P.detection_errors(four).first()["error"]
 
 
 def brute_demosaic(raw, pattern):
@@ -89,7 +89,7 @@ def test_pattern_alone_does_not_demosaic(frame):
     assert P.load_rgb(mono, pattern="RGGB", force=True).first()["notice"] == "Demosaiced"
     assert P.rgb_errors(mono, force=True).first()["error"] == "the mosaic layout is not known"
     assert P.rgb_errors(mono).count() == 0
-    assert "3-plane" in P.split_errors(mono).first()["error"]
+    assert "three planes" in P.split_errors(mono).first()["error"]
 
 
 def test_explicit_pattern_wins_over_the_header(frame):
