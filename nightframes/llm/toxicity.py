@@ -2,8 +2,8 @@
 
 The lexicon is learned from labelled documents: words and word stems that occur almost only
 in toxic ones. A word of a text is a hit if it is a term or begins with a stem, and a
-misspelled hit if its Levenshtein automaton (one edit or swap), run along the edges of the
-trie of terms, reaches one. Hits inside quotation marks or next to words of reporting are
+misspelled hit of the same weight if the Levenshtein automata (one edit or swap) of all terms
+and stems, run together along the edges of their trie, accept it. Hits inside quotation marks or next to words of reporting are
 counted apart, so that a quotation weighs as the labels say and not as abuse does.
 """
 
@@ -34,14 +34,17 @@ STEMS = range(4, 10)
 LEAST_SHARE = 0.01
 LEAST_WEIGHT = 2.0
 LEAST_SURE_WEIGHT = 1.5
-# Misspellings are looked for of words, not stems, that are in this share of toxic
-# documents; shorter ones have too many neighbours.
-FUZZY_SHARE = 0.1
+# Misspellings are looked for of all words and stems of this length; shorter ones have too
+# many neighbours.
 FUZZY_LENGTH = 5
+# A word near a term is one of its own if this many clean documents have it: one would let
+# the documents learned from excuse their own words, which new documents cannot.
+ORDINARY_DOCUMENTS = 2
 # Words to each side of a hit that are its context.
 CONTEXT = 4
 THRESHOLD = 0.7
 KEPT_WORDS = 400_000
+KEPT_STEPS = 200_000
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 QUOTES = re.compile("[\"“”„«»‹›]")
 # Words that announce a quotation; fixed values.
@@ -50,73 +53,132 @@ REPORTING = frozenset(
     " sagte schrieb nannte zitiert wort dit écrit appelé cité mot dijo escribió llamó citó palabra".split()
 )
 FEATURES = ("hits", "misspelled", "quoted", "quoted_misspelled", "density")
-MISSPELLED, REPORTS = -1.0, -2.0
+# Besides weights: a misspelled hit is the term's weight with a minus.
+REPORTS = -math.inf
+
+
+class Step(dict):
+    """A state of the automata run together: where it leads by letter, filled in as words need it.
+
+    ``at`` holds (node, kind): EXACT with no edit so far, EDITED with one, or the letter that
+    is to come second of two swapped. ``stems`` are those met so far, ``terms`` all that are
+    accepted if the word ends here, ``weight`` is the largest of theirs.
+    """
+
+    __slots__ = ("trie", "at", "stems", "terms", "weight")
+
+    def __init__(self, trie: Trie, at: frozenset, stems: frozenset):
+        super().__init__()
+        self.trie, self.at, self.stems = trie, at, stems
+        ends = {node for node, kind in at if kind in (EXACT, EDITED)}
+        # the last letter may be missing
+        ends.update(child for node, kind in at if kind == EXACT for child in trie.below[node].values())
+        self.terms = stems.union(trie.words[node] for node in ends if trie.words[node])
+        self.weight = max(map(trie.weights.__getitem__, self.terms), default=0.0)
+
+    def __missing__(self, c: str) -> Step:
+        below, at, read = self.trie.below, set(), set()  # nodes whose last letter is read just now
+        for node, kind in self.at:
+            child = below[node].get(c)
+            if kind == EXACT:
+                at.add((node, EDITED))  # c is one too many
+                for letter, other in below[node].items():
+                    after = below[other].get(c)
+                    if after is not None:
+                        at.add((after, EDITED))  # letter is missing
+                        read.add(after)
+                        if letter != c:
+                            at.add((after, letter))  # swapped: letter comes after c
+                    if letter != c:
+                        at.add((other, EDITED))  # c for letter
+                if child is not None:
+                    at.add((child, EXACT))
+                    read.add(child)
+            elif kind == EDITED:
+                if child is not None:
+                    at.add((child, EDITED))
+                    read.add(child)
+            elif kind == c:
+                at.add((node, EDITED))
+                read.add(node)
+        met = self.stems.union(self.trie.stems[node] for node in read if self.trie.stems[node])
+        self[c] = step = self.trie.step(frozenset(at), met)
+        return step
+
+
+EXACT, EDITED = 0, 1
 
 
 class Trie:
-    """Terms as nested dicts; the key '' marks an end."""
+    """Terms (stems with a star) and their weights as numbered nodes, for words one edit away.
+
+    A stem is met where its last letter is read: an edit of that letter would only make it a
+    shorter stem, which the lexicon has or has refused.
+    """
 
     def __init__(self, terms):
-        self.root: dict = {}
-        # one edit or swap leaves the first two or the last two letters as they are
-        self.heads, self.tails = set(), set()
-        for term in terms:
-            self.heads.add(term[:2])
-            self.tails.add(term[-2:])
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = True
+        self.weights = terms if isinstance(terms, dict) else dict.fromkeys(terms, 1.0)
+        self.below: list[dict[str, int]] = [{}]
+        self.words, self.stems = [""], [""]
+        for term in self.weights:
+            node = 0
+            for c in term.removesuffix("*"):
+                if c not in self.below[node]:
+                    self.below[node][c] = len(self.below)
+                    self.below.append({})
+                    self.words.append("")
+                    self.stems.append("")
+                node = self.below[node][c]
+            (self.stems if term.endswith("*") else self.words)[node] = term
+        self.restart()
+
+    def restart(self) -> None:
+        self.steps: dict = {}
+        self.made = 0
+        self.start = self.step(frozenset([(0, EXACT)]), frozenset())
+
+    def step(self, at: frozenset, stems: frozenset) -> Step:
+        self.made += 1
+        if (at, stems) not in self.steps:
+            self.steps[at, stems] = Step(self, at, stems)
+        return self.steps[at, stems]
+
+    def last(self, word: str) -> Step:
+        """Where the word ends: the terms no more than one insertion, deletion, substitution or swap away."""
+        if self.made > KEPT_STEPS:
+            self.restart()
+        step = self.start
+        for c in word:
+            step = step[c]
+            if not step.at:
+                break
+        return step
 
     def near(self, word: str) -> bool:
-        """Whether a term is one insertion, deletion, substitution or swap away.
-
-        The automaton of ``word`` is held in bits: bit i of ``exact`` and ``once`` says that
-        i letters are read with no edit or one; ``swap`` waits for the first of two swapped.
-        """
-        if word[:2] not in self.heads and word[-2:] not in self.tails:
-            return False
-        letters: dict[str, int] = {}
-        for i, c in enumerate(word):
-            letters[c] = letters.get(c, 0) | 1 << i
-        accept = 1 << len(word)
-        stack = [(self.root, 1, 2, 0)]
-        while stack:
-            node, exact, once, swap = stack.pop()
-            for c, below in node.items():
-                if not c:
-                    continue
-                here = letters.get(c, 0)
-                same = (exact & here) << 1
-                edited = (once & here) << 1 | exact | exact << 1 | same << 1 | (swap & here) << 2
-                if not same and not edited:
-                    continue
-                if "" in below and edited & accept:
-                    return True
-                stack.append((below, same, edited, exact & here >> 1))
-        return False
+        return bool(self.last(word).terms)
 
 
 @dataclass
 class Model:
-    """Weights of words and of stems (with a star), words to find misspelled, words that are none, feature weights."""
+    """Weights of words and of stems (with a star), those to find misspelled, words that are none, feature weights."""
 
     terms: dict[str, float]
-    fuzzy: frozenset
+    fuzzy: dict[str, float]
     ordinary: frozenset
     weights: tuple
 
-    def matcher(self) -> dict:
-        """Maps a word as it stands in a text (bytes) to the weight of a hit, to MISSPELLED, REPORTS or 0."""
-        terms, ordinary = self.terms, self.ordinary
-        trie = Trie(self.fuzzy)
+    def exact(self):
+        """Maps a word in small letters to the weight of the term it is or begins with, or 0."""
+        terms = self.terms
         lengths = sorted({len(t) - 1 for t in terms if t.endswith("*")})
+        return lambda word: max([terms.get(word, 0.0), *(terms.get(word[:k] + "*", 0.0) for k in lengths if k <= len(word))])
 
-        def known(word: str) -> float:
-            return max([terms.get(word, 0.0), *(terms.get(word[:k] + "*", 0.0) for k in lengths if k <= len(word))])
+    def matcher(self) -> dict:
+        """Maps a word as it stands in a text (bytes) to the weight of a hit, less than 0 if misspelled, to REPORTS or 0."""
+        known, ordinary, trie = self.exact(), self.ordinary, Trie(self.fuzzy)
 
-        def misspelled(word: str) -> bool:
-            return FUZZY_LENGTH - 1 <= len(word) <= 30 and word not in ordinary and trie.near(word)
+        def misspelled(word: str) -> float:
+            return trie.last(word).weight if len(word) >= FUZZY_LENGTH - 1 and word not in ordinary else 0.0
 
         class Known(dict):
             def __missing__(self, raw: bytes) -> float:
@@ -130,8 +192,8 @@ class Model:
                     whole = text.strip(".,;:!?()[]\"'“”«»")
                     if any(p in REPORTING for p in parts):
                         kind = REPORTS
-                    elif any(map(misspelled, {*parts, whole})):
-                        kind = MISSPELLED
+                    else:
+                        kind = -max(map(misspelled, {*parts, whole}))
                 self[raw] = kind
                 return kind
 
@@ -147,10 +209,10 @@ def features(text: bytes, known: dict) -> list[float]:
         marked = QUOTES.search(text.decode(errors="replace"))
         marks = [bool(QUOTES.search(w.decode(errors="replace"))) for w in words] if marked else None
         for i, kind in enumerate(kinds):
-            if kind > 0 or kind == MISSPELLED:
+            if kind and kind != REPORTS:
                 lo, hi = max(0, i - CONTEXT), i + CONTEXT + 1
                 quoted = REPORTS in kinds[lo:hi] or (marks is not None and any(marks[lo : i + 1]) and any(marks[i:hi]))
-                sums[2 * quoted + (kind < 0)] += max(kind, 1.0)
+                sums[2 * quoted + (kind < 0)] += abs(kind)
     return [*(math.log1p(c) for c in sums), 10 * (sums[0] + sums[1]) / (len(words) + 20)]
 
 
@@ -211,8 +273,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str, float], frozenset]:
-    """Weights of the terms, and those to find misspelled."""
+def log_odds(r, toxic: int, clean: int, errors: float) -> float:
+    """Of being in a toxic rather than a clean document, with so many standard errors added."""
+    odds = math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 1.5) / (clean + 3))
+    return odds + errors * math.sqrt(1 / (r["toxic"] + 0.5) + 1 / (r["clean"] + 1.5))
+
+
+def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     schema = "term string, toxic bigint, clean bigint"
     sums = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
     least = max(2, math.ceil(LEAST_SHARE * toxic))
@@ -221,16 +288,14 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> tuple[dict[str, fl
     wanted = {r["term"] for r in frequent.filter(F.col("toxic") >= least).select("term").collect()}
     found = sample.mapInArrow(counted(wanted), schema).groupBy("term").agg(*sums).collect()
 
-    def weight(r) -> float:
-        return math.log((r["toxic"] + 0.5) / (toxic + 1)) - math.log((r["clean"] + 1.5) / (clean + 3))
+    def weight(r, errors: float = 0.0) -> float:
+        return log_odds(r, toxic, clean, errors)
 
     def fits(r) -> bool:
-        error = math.sqrt(1 / (r["toxic"] + 0.5) + 1 / (r["clean"] + 1.5))
-        return weight(r) >= LEAST_WEIGHT and weight(r) - error >= LEAST_SURE_WEIGHT
+        return weight(r) >= LEAST_WEIGHT and weight(r, -1.0) >= LEAST_SURE_WEIGHT
 
     good = sorted(((-weight(r) * r["toxic"], r["term"], r["toxic"]) for r in found if fits(r)))[:MAX_TERMS]
-    fuzzy = (t for _, t, n in good if len(t) >= FUZZY_LENGTH and not t.endswith("*") and n >= FUZZY_SHARE * toxic)
-    return {term: -strength / n for strength, term, n in good}, frozenset(fuzzy)
+    return {term: -strength / n for strength, term, n in good}
 
 
 def feature_rows(model: Model, columns: dict[str, pa.DataType]):
@@ -246,19 +311,45 @@ def feature_rows(model: Model, columns: dict[str, pa.DataType]):
     return rows
 
 
-def ordinary_words(sample: DataFrame, fuzzy: frozenset) -> frozenset:
-    """Words of clean documents that are one edit away from a term: they are words of their own."""
-    trie = Trie(fuzzy)
+def ordinary_words(sample: DataFrame, fuzzy: dict[str, float]) -> frozenset:
+    """Words of ORDINARY_DOCUMENTS clean documents that are one edit away from a term: they are words of their own."""
 
     def near(batches):
-        seen: set = set()
+        trie, met = Trie(fuzzy), Counter()
         for batch in batches:
             for text in texts_of(batch):
-                seen.update(w for w in LETTERS.findall(text.decode(errors="replace").lower()) if FUZZY_LENGTH - 1 <= len(w) <= 30)
-        yield pa.RecordBatch.from_pydict({"word": sorted(w for w in seen if trie.near(w))}, schema=pa.schema([("word", pa.string())]))
+                met.update({w for w in LETTERS.findall(text.decode(errors="replace").lower()) if len(w) >= FUZZY_LENGTH - 1})
+        found = sorted(w for w in met if trie.near(w))
+        yield pa.RecordBatch.from_pydict(
+            {"word": found, "n": [met[w] for w in found]}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())])
+        )
+
+    found = sample.filter("toxic = 0").mapInArrow(near, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    own = found.filter(F.col("n") >= ORDINARY_DOCUMENTS).collect()  # of the bounded sample
+    return frozenset(r["word"] for r in own) - fuzzy.keys()
+
+
+def unsure(sample: DataFrame, model: Model, toxic: int, clean: int) -> set[str]:
+    """Terms whose misspellings are no sign: clean documents have so many that the log-odds of
+    these, with two standard errors more, stay below what a term needs."""
 
-    found = sample.filter("toxic = 0").mapInArrow(near, "word string").distinct().collect()  # of the bounded sample
-    return frozenset(r["word"] for r in found) - fuzzy
+    def count(batches):
+        trie, met = Trie(model.fuzzy), {0: Counter(), 1: Counter()}
+        exact = model.exact()
+        for batch in batches:
+            for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist()):
+                words = set(LETTERS.findall(text.decode(errors="replace").lower()))
+                near = (trie.last(w).terms for w in words if len(w) >= FUZZY_LENGTH - 1 and w not in model.ordinary and not exact(w))
+                met[label].update(set().union(*near))
+        terms = sorted(met[0].keys() | met[1].keys())
+        yield pa.RecordBatch.from_pydict(
+            {"term": terms, "toxic": [met[1][t] for t in terms], "clean": [met[0][t] for t in terms]},
+            schema=pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]),
+        )
+
+    sums = [F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")]
+    found = sample.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(*sums).collect()
+    return {r["term"] for r in found if log_odds(r, toxic, clean, 2.0) < LEAST_WEIGHT}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -266,9 +357,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = labelled(docs, labels)
     counts = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not counts.get(0) or not counts.get(1):
-        return Model({}, frozenset(), frozenset(), (-50.0, *[0.0] * len(FEATURES)))
-    terms, fuzzy = learn_terms(sample, counts[1], counts[0])
+        return Model({}, {}, frozenset(), (-50.0, *[0.0] * len(FEATURES)))
+    terms = learn_terms(sample, counts[1], counts[0])
+    fuzzy = {t: w for t, w in terms.items() if len(t.removesuffix("*")) >= FUZZY_LENGTH}
     model = Model(terms, fuzzy, ordinary_words(sample, fuzzy), ())
+    no_sign = unsure(sample, model, counts[1], counts[0])
+    model.fuzzy = {t: w for t, w in fuzzy.items() if t not in no_sign}
     rows = sample.mapInArrow(feature_rows(model, {"toxic": pa.int32()}), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES))
     table = rows.toArrow()  # at most SAMPLE_ROWS rows of numbers
     x = np.column_stack([table.column(f).to_numpy() for f in FEATURES])

@@ -102,6 +102,48 @@ def test_automaton_accepts_one_edit(word, near):
     assert toxicity.Trie(["grumblewort", "dolt"]).near(word) is (near or exact)
 
 
+def one_edit(a, b):
+    """Whether b is a or one insertion, deletion, substitution or swap of neighbours away from it."""
+    cuts = [(a[:i], a[i:]) for i in range(len(a) + 1)]
+    near = {a, *(x + y[1:] for x, y in cuts if y), *(x + y[1] + y[0] + y[2:] for x, y in cuts if len(y) > 1)}
+    near |= {x + c + y[k:] for x, y in cuts for c in set(b) for k in (0, 1)}
+    return b in near
+
+
+def test_automata_run_together_accept_what_each_does():
+    rnd = random.Random(9)
+    for _ in range(60):
+        terms = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(2, 6))) for _ in range(6)}
+        trie = toxicity.Trie(terms)
+        for _ in range(60):
+            word = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 8)))
+            assert trie.last(word).terms == {t for t in terms if one_edit(t, word)}, (word, terms)
+
+
+@pytest.mark.parametrize("word, met", [("grumbler", True), ("grumlbes", True), ("grmble", True), ("xgrumblex", True), ("grubmle", True),
+                                       ("grumbl", False), ("grumblx", False), ("grmlbe", False)])
+def test_stems_are_met_as_prefixes_with_one_edit(word, met):
+    assert toxicity.Trie({"grumble*": 3.0}).near(word) is met
+
+
+def test_misspellings_of_rare_terms_and_stems_weigh_as_the_terms(spark, docs_of):
+    rnd = random.Random(6)
+    plain = [f"{a}{b}" for a in ("ta", "re", "lo", "mi", "su") for b in ("ne", "ra", "do", "ki")]
+    rows, labels = [], []
+    for i in range(900):
+        words = [rnd.choice(plain) for _ in range(30)]
+        if i % 3 == 0:
+            words[3:6] = ["dolthead", rnd.choice(["snotface", "snotnose"]), "quibblesnark" if i % 45 == 0 else "ta"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    model = toxicity.fit(docs_of(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    known = model.matcher()
+    assert known[b"quibblesnark"] >= 2 and known[b"qiubblesnark"] == -known[b"quibblesnark"]  # 1 of 15 toxic documents has it
+    assert known[b"snotty"] == model.terms["snot*"] and known[b"sontty"] == 0  # shorter stems have too many neighbours
+    assert known[b"dolhteadish"] == -model.terms["dolthead*"]  # met by its stem
+    assert known[b"tane"] == 0
+
+
 def test_search_against_all_scores(docs_of, odd_rows):
     rows = [(i, t) for i, t in odd_rows if i is None or i != 22]
     got = search.search(docs_of(rows), docs_of(rows[:12] + [(7000, "nowhere")]), k=5).collect()
