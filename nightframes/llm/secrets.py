@@ -23,34 +23,47 @@ RULES = (
     ("access", r"AKIA[A-Z0-9]+", False, 20),
     ("hex", r"[0-9a-f]{24,}", False, 24),
     ("github", r"gh[pousr]_[A-Za-z0-9]+", False, 40),
-    ("private_key", r"-----BEGIN\x20([A-Z]+\x20)*PRIVATE\x20KEY-----", False, 27),
+    ("private_key", r"-----BEGIN\x20([A-Z0-9]+\x20)*PRIVATE\x20KEY(\x20BLOCK)?-----", False, 27),
 )
+# What a match goes on with after its pattern. A private key goes to its END line if no other
+# five dashes come first; else over header fields and all base64 that follows, if the first
+# run of that looks like no word (digits, signs, capitals inside). Words that follow a key
+# without END are taken for base64 up to the next sign that is none.
+KEY_TEXT, BASE64, BETWEEN = r"[\x09\x0a\x0d -,.-~\x80-ÿ]", "[A-Za-z0-9+/=]", r"[\x09\x0a\x0d\x20\x5c\"'>]"
+FIELD = r"[A-Za-z\-]+:([ -[\x5d-~\x80-ÿ]*(\x0d?\x0a|\x5cn)|\x20*[!-~]+(\x20[!-~]*[!-*,-.:-<>-@_][!-~]*)*\x20)"
+NO_WORD = rf"{BASE64}*([0-9+/=]|[a-z][A-Z]|[A-Z][A-Z][a-z]){BASE64}*"
+BODIES = {
+    "private_key": (
+        rf"(-?-?-?-?{KEY_TEXT})*-----END\x20([A-Z0-9]+\x20)*PRIVATE\x20KEY(\x20BLOCK)?-----",
+        rf"({BETWEEN}*{FIELD})*{BETWEEN}*{NO_WORD}({BETWEEN}*{BASE64}+)*",
+    )
+}
 BASE = ("assign", "access", "hex")
 SPANS = "spans array<struct<kind: string, start: bigint, end: bigint>>"
 SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 class Scanner:
-    """Compiled rules: a search automaton for all, and one matching automaton for each."""
+    """Compiled rules: a search automaton for all, and matching automata for each, without and with its bodies."""
 
     def __init__(self, rules=RULES):
         self.rules = rules
         self.all = Automaton([(pattern, fold) for _, pattern, fold, _ in rules])
-        self.each = [Automaton([(pattern, fold)], search=False) for _, pattern, fold, _ in rules]
-        self.tables = [(a.table.tolist(), a.accepts.tolist(), a.start) for a in self.each]
+        each = [[Automaton([(pattern + body, fold)], search=False) for body in ("", *BODIES.get(kind, ()))] for kind, pattern, fold, _ in rules]
+        self.tables = [[(a.table.tolist(), a.accepts.tolist(), a.start) for a in own] for own in each]
         # bytes with which a rule can begin
-        self.first = [frozenset(np.flatnonzero(a.table[a.start * 256 :][:256]).tolist()) for a in self.each]
+        self.first = [frozenset(np.flatnonzero(a.table[a.start * 256 :][:256]).tolist()) for a, *_ in each]
 
     def longest(self, rule: int, data: bytes, start: int, stop: int) -> int:
         """End of the longest match at ``start``, or -1."""
-        table, accepts, state = self.tables[rule]
         end = -1
-        for i in range(start, stop):
-            state = table[state * 256 + data[i]]
-            if not state:
-                break
-            if accepts[state]:
-                end = i + 1
+        for table, accepts, state in self.tables[rule]:
+            for i in range(start, stop):
+                state = table[state * 256 + data[i]]
+                if not state:
+                    break
+                if accepts[state]:
+                    end = max(end, i + 1)
         return end
 
     def spans(self, data: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
