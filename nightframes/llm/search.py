@@ -7,6 +7,9 @@ the postings of rare terms are added up; frequent terms are first bounded by the
 contribution in each block of documents, and a block is scored only if its bound reaches the
 query's k-th best score so far. The best of all shards are merged; no bound ever cuts a
 document that belongs to the result.
+
+This is not block-max WAND: there are no document cursors and no pivots, and no posting of a
+rare term is skipped. Whole blocks are dropped by bounds, the rest is a matrix product.
 """
 
 from __future__ import annotations
