@@ -1,8 +1,9 @@
 """Substring dedup by seed and extend: words covered by 13 words that an earlier document has too.
 
-Documents are joined on winnowed anchors of a few words (the seeds). Each seed is extended
-to both sides as far as it is the anchor of a window; extensions that agree over the length
-threshold are the matches, and what they cover is joined to maximal repeats.
+Documents are joined on winnowed anchors of a few words (the seeds). In place of an extension
+word by word, all windows of 13 words around a seed are hashed to 64 bits and equal hashes
+under one seed are grouped; no words are compared. What such windows cover is joined to
+maximal repeats where they touch. Only a collision of hashes could change the result.
 """
 
 from __future__ import annotations
