@@ -4,6 +4,8 @@ Suffixes are compared through prefix polynomial hashes: a binary search over the
 the common prefix finds where two suffixes part with a logarithmic number of probes, and
 mergesort puts the suffixes of each bucket in order with such comparisons. Neighbours in
 that order whose common prefix is long enough are compared byte by byte before they count.
+Fragments equal as a whole do not come that far: they are taken for equal by hashes
+(bucket and 32 bits of the anchor, 48 of the fragment), named by 64 bits, neither sorted nor compared.
 """
 
 from __future__ import annotations
