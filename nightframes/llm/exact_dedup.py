@@ -77,12 +77,15 @@ def build_shard(group: pa.Table) -> pa.Table:
     return pa.table({**head, "slots": pa.array([index.to_bytes()], pa.binary()), **packed})
 
 
-def build_index(history: DataFrame) -> DataFrame:
-    """The index of keyed rows: one row per shard, staged. ``history`` may be empty."""
-    found = groups(history)
-    n = history.agg(F.approx_count_distinct("digest")).first()[0]
-    shards = max(1, -(-n // SHARD_DIGESTS))
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
+def shards_of(history: DataFrame, arriving: DataFrame) -> int:
+    """Shards so that neither side has more digests in one than about SHARD_DIGESTS."""
+    n = max(side.agg(F.approx_count_distinct("digest")).first()[0] for side in (history, arriving))
+    return max(1, -(-n // SHARD_DIGESTS))
+
+
+def build_index(history: DataFrame, shards: int) -> DataFrame:
+    """The index of keyed rows: one row per shard that has any, staged. ``history`` may be empty."""
+    dealt = groups(history).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     return staged(
         dealt.groupBy("shard").applyInArrow(
             build_shard,
@@ -128,20 +131,19 @@ def looked_up(shard: pa.Table, arriving: pa.Table) -> pa.Table:
     )
 
 
-def look_up(index: DataFrame, arriving: DataFrame) -> DataFrame:
+def look_up(index: DataFrame, arriving: DataFrame, shards: int) -> DataFrame:
     """One row per digest of history and arrivals: digest, chars, id, row, size."""
-    shards = max(1, (index.agg(F.max("shard")).first()[0] or 0) + 1)
-    n = max(1, index.count())
-    dealt = groups(arriving).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(max(shards, n))))
+    dealt = groups(arriving).withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     return index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(looked_up, ENTRY)
 
 
 def decide(rows: DataFrame) -> DataFrame:
-    """Winner and size of each digest among keyed rows: the lower half of the ids is the history."""
-    middle = rows.filter(F.col("id") < NO_ID).agg(F.min("id"), F.max("id")).first()
-    split = (middle[0] + middle[1]) // 2 if middle[0] is not None else 0
-    index = build_index(rows.filter(F.col("id") <= split))
-    return staged(look_up(index, rows.filter(F.col("id") > split)), "decided")
+    """Winner and size of each digest among keyed rows: the rows up to the median id are the history."""
+    split = rows.agg(F.percentile_approx("id", 0.5)).first()[0]
+    split = 0 if split is None else split
+    history, arriving = rows.filter(F.col("id") <= split), rows.filter(F.col("id") > split)
+    shards = shards_of(history, arriving)
+    return staged(look_up(build_index(history, shards), arriving, shards), "decided")
 
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:

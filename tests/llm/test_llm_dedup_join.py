@@ -105,3 +105,15 @@ def test_representatives(docs_of, odd_rows):
     assert sorted(key(r.doc_id) for r in got if shingles(r.text, 5)) == want
     assert sorted(key(r.doc_id) for r in got if not shingles(r.text, 5)) == blank
     assert jaccard_join.representatives(docs_of([])).collect() == []
+
+
+def test_shards_follow_the_larger_side_of_uneven_ids(docs_of, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 20)
+    rows = [(0, "text 7"), *((10**12 + i, f"text {i % 150}") for i in range(300))]
+    keyed = exact_dedup.keyed(docs_of(rows))
+    first, rest = keyed.filter("id = 0"), keyed.filter("id > 0")
+    shards = exact_dedup.shards_of(first, rest)
+    assert 6 <= shards <= 10
+    # most shards of the index are empty
+    for found in (exact_dedup.look_up(exact_dedup.build_index(first, shards), rest, shards), exact_dedup.decide(keyed)):
+        assert sorted((r.id, r.size) for r in found.collect()) == sorted((0, 3) if i == 7 else (10**12 + i, 2) for i in range(150))
