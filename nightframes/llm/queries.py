@@ -11,6 +11,7 @@ from nightframes.llm import (
     best_two_fit,
     exact_dedup,
     jaccard_join,
+    line_dedup,
     search,
     secrets,
     seed_extend,
@@ -169,3 +170,29 @@ def op10_seed_extend_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that repeat a 13-word passage of an earlier one."""
     found = seed_extend.dedup_passages(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", removed(), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    """
+    WITH lines AS (
+        SELECT doc_id, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS line
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+    ), keyed AS (
+        SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines
+    ), shared AS (
+        SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+    ), judged AS (
+        SELECT k.doc_id, k.place, k.line, s.key IS NOT NULL AND k.doc_id <> s.holder AS gone
+        FROM keyed k LEFT JOIN shared s USING (key)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+    """
+)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that at least three documents share, and what stays."""
+    found = line_dedup.dedup_corpus(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
