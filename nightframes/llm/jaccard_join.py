@@ -124,7 +124,7 @@ def signature_rows(width: int, percent: int, ranks, most_small: int):
                 listed = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
                 nth, step = ranges(listed)
                 picked = order[first[nth] + step]
-                cost = np.bincount(nth, weights=2.0 ** (rank[picked] / 8.0), minlength=len(n))
+                cost = np.bincount(nth, weights=2.0 ** (rank[picked] / 8.0), minlength=len(n)).astype(np.float64)
                 bits = np.bincount(text * BITS + (grams >> np.uint64(40)).astype(np.int64) % BITS, minlength=len(n) * BITS)
                 packed = np.packbits((bits & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
                 whole = np.where(n <= most_small, n, 0)

@@ -205,7 +205,7 @@ def prefix_trie(conversations: DataFrame, rebuilt: bool = False) -> DataFrame:
     entering = spark.read.schema(entering.schema).parquet(f"{base}/entering")
     peel(entering, f"{base}/nodes")
     ended = entering.filter(~F.col("tail")).select(
-        F.coalesce(F.try_element_at("path", F.size("path"))["key"], F.lit(ROOT)).alias("key"), "conv_id"
+        F.coalesce(F.try_element_at("path", F.lit(-1))["key"], F.lit(ROOT)).alias("key"), "conv_id"
     )
     ends = ended.repartition("key").sortWithinPartitions("key", "conv_id").mapInArrow(ends_rows, "key binary, ends_sha256 string")
     node = (

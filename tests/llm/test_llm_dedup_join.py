@@ -107,6 +107,17 @@ def test_representatives(docs_of, odd_rows):
     assert jaccard_join.representatives(docs_of([])).collect() == []
 
 
+def test_slices_without_any_word(spark, docs_of):
+    """A partition of blanks beside others, and a table of blanks only."""
+    blanks, texts = [(i, t) for i, t in enumerate([None, "", " \n"])], [(i, f"words of the text {i // 2}") for i in range(10, 50)]
+    mixed = docs_of(blanks).coalesce(1).union(docs_of(texts).coalesce(1))
+    for rows, docs in ((blanks, docs_of(blanks)), (blanks + texts, mixed)):
+        got = jaccard_join.linked_documents(docs, 3, 90).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows, 3, 90))
+        stay = jaccard_join.representatives(docs).collect()
+        assert sorted(r.doc_id for r in stay) == sorted({c for _, n, c in components(rows, 5, 80)})
+
+
 def test_shards_follow_the_larger_side_of_uneven_ids(docs_of, monkeypatch):
     monkeypatch.setattr(exact_dedup, "SHARD_DIGESTS", 20)
     rows = [(0, "text 7"), *((10**12 + i, f"text {i % 150}") for i in range(300))]
