@@ -1,35 +1,23 @@
 """FITS files as tables: listing, header cards, image units, scanlines.
 
-Listing and cards use the binaryFile source; listing never reads file contents. The only
-Python step is the walk over a file's units and the reading of big-endian samples, in Arrow
-batches of scanlines.
+Listing uses the binaryFile source and never reads file contents; the rest is read by the
+data source of ``ranged``, headers and wanted lines only.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
 from nightframes.operators import catalog as C
-from nightframes.session import attach, ship, staged
+from nightframes.session import attach, staged
+from nightframes.sources.ranged import SPLIT_BYTES, read_source
 
-ship(__name__)
-
-# Extensions of FITS files, block and card size.
+# Extensions of FITS files.
 EXTENSIONS = ("fit", "fits", "fts", "fz")
-BLOCK = 2880
-CARD = 80
-# Numpy types of the sample types, as stored.
-_STORED = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
-# Samples per Arrow batch sent back to the JVM.
-BATCH_SAMPLES = 1 << 20
 
 
 # --- listing ------------------------------------------------------------------------
@@ -84,118 +72,20 @@ def file_hash(spark: SparkSession, paths: list[str]) -> DataFrame:
     return _files(spark, paths).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-# --- units --------------------------------------------------------------------------
-
-
-def _header(content: bytes, at: int) -> tuple[dict[str, str], int, int] | None:
-    """First value of each keyword, number of cards before END, and where data starts."""
-    values: dict[str, str] = {}
-    n = 0
-    while at + (n + 1) * CARD <= len(content):
-        card = content[at + n * CARD : at + (n + 1) * CARD].decode("ascii", "replace")
-        name = card[:8].rstrip()
-        if name == "END":
-            used = (n + 1) * CARD
-            return values, n, at + -(-used // BLOCK) * BLOCK
-        if card[8:10] == "= ":
-            values.setdefault(name, card[10:].split("/")[0].strip().strip("'").strip())
-        n += 1
-    return None
-
-
-def _number(values: dict[str, str], name: str, default: int) -> int:
-    return int(values[name]) if re.fullmatch(r"[+-]?\d+", values.get(name, "")) else default
-
-
-def _units(content: bytes) -> Iterator[dict]:
-    """Header and data position of every unit in a file."""
-    at, hdu = 0, 0
-    while at < len(content):
-        found = _header(content, at)
-        if found is None:
-            return
-        values, cards, data = found
-        bitpix = _number(values, "BITPIX", 8)
-        axes = [_number(values, f"NAXIS{i + 1}", 0) for i in range(_number(values, "NAXIS", 0))]
-        count = int(np.prod(axes, dtype=np.int64)) if axes else 0
-        size = abs(bitpix) // 8 * _number(values, "GCOUNT", 1) * (_number(values, "PCOUNT", 0) + count)
-        kind = values.get("XTENSION", "")
-        yield {
-            "hdu": hdu,
-            "header_at": at,
-            "cards": cards,
-            "data_at": data,
-            "bitpix": bitpix,
-            "axes": axes,
-            "is_image": count > 0 and kind in ("", "IMAGE") and bitpix in _STORED,
-            "is_tiled": values.get("ZIMAGE") == "T",
-            "complete": data + (abs(bitpix) // 8 * count) <= len(content),
-        }
-        at, hdu = data + -(-size // BLOCK) * BLOCK, hdu + 1
-
-
-_UNIT_SCHEMA = (
-    "path string, hdu int, header_at bigint, cards int, data_at bigint, bitpix int, "
-    "axes array<bigint>, is_image boolean, is_tiled boolean, complete boolean"
-)
-_UNIT_ARROW = pa.schema(
-    [
-        ("path", pa.string()),
-        ("hdu", pa.int32()),
-        ("header_at", pa.int64()),
-        ("cards", pa.int32()),
-        ("data_at", pa.int64()),
-        ("bitpix", pa.int32()),
-        ("axes", pa.list_(pa.int64())),
-        ("is_image", pa.bool_()),
-        ("is_tiled", pa.bool_()),
-        ("complete", pa.bool_()),
-    ]
-)
+# --- units and cards ----------------------------------------------------------------
 
 
 def image_units(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row per header/data unit of every file."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                rows = [{"path": path.as_py(), **u} for u in _units(content.as_buffer().to_pybytes())]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_UNIT_ARROW)
-
-    return _files(spark, paths).select("path", "content").mapInArrow(walk, _UNIT_SCHEMA)
-
-
-_CARD_ARROW = pa.schema([("path", pa.string()), ("ord", pa.int32()), ("card", pa.string())])
+    """One row per header/data unit of every file; only headers are read."""
+    return read_source(spark, "units", paths)
 
 
 def raw_cards(spark: SparkSession, paths: list[str]) -> DataFrame:
     """80-column cards of each file's first image unit, right-trimmed: path, ord, card.
 
-    The walk that finds the unit gives its cards too, so contents are read once and never
-    shuffled.
+    Only headers are read, whatever the size of the file.
     """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                data = content.as_buffer().to_pybytes()
-                unit = next((u for u in _units(data) if u["is_image"] or u["is_tiled"]), None)
-                if unit is None or not unit["cards"]:
-                    continue
-                text = data[unit["header_at"] : unit["header_at"] + unit["cards"] * CARD].decode("ascii", "replace")
-                found = [text[i : i + CARD].rstrip(" ") for i in range(0, len(text), CARD)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([path.as_py()] * len(found)),
-                        pa.array(np.arange(len(found), dtype=np.int32)),
-                        pa.array(found),
-                    ],
-                    schema=_CARD_ARROW,
-                )
-
-    return _files(spark, paths).select("path", "content").mapInArrow(walk, "path string, ord int, card string")
+    return read_source(spark, "cards", paths)
 
 
 def cards(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -205,62 +95,14 @@ def cards(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 # --- samples ------------------------------------------------------------------------
 
-_LINE_ARROW = pa.schema(
-    [
-        ("path", pa.string()),
-        ("plane", pa.int32()),
-        ("y", pa.int32()),
-        ("samples", pa.list_(pa.float64())),
-        ("error", pa.string()),
-    ]
-)
-_LINE_SCHEMA = "path string, plane int, y int, samples array<double>, error string"
-
-
-def _lines(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
-    unit = next((u for u in _units(content) if u["is_image"] or u["is_tiled"]), None)
-    error = None
-    if unit is None:
-        error = f"no image data found in {path}"
-    elif not unit["is_image"]:
-        error = "tile-compressed images are not supported"
-    elif not unit["complete"]:
-        error = "file ends before its image data"
-    if error:
-        yield pa.RecordBatch.from_pylist([{"path": path, "error": error}], schema=_LINE_ARROW)
-        return
-    width = unit["axes"][0]
-    height = unit["axes"][1] if len(unit["axes"]) > 1 else 1
-    total = int(np.prod(unit["axes"], dtype=np.int64)) // width
-    stored = np.dtype(_STORED[unit["bitpix"]])
-    step = max(1, BATCH_SAMPLES // width)
-    for first in range(0, total, step):
-        n = min(step, total - first)
-        at = unit["data_at"] + first * width * stored.itemsize
-        block = np.frombuffer(content, stored, n * width, at).astype(np.float64)
-        row = np.arange(first, first + n)
-        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([path] * n),
-                pa.array((row // height).astype(np.int32)),
-                pa.array((row % height).astype(np.int32)),
-                pa.ListArray.from_arrays(offsets, pa.array(block)),
-                pa.nulls(n, pa.string()),
-            ],
-            schema=_LINE_ARROW,
-        )
-
-
-def decoded_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Scanlines of every readable file; an unreadable one gives a single row with ``error``."""
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                yield from _lines(path.as_py(), content.as_buffer().to_pybytes())
-
-    return _files(spark, paths).select("path", "content").mapInArrow(decode, _LINE_SCHEMA)
+
+def decoded_lines(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Scanlines of every readable file; an unreadable one gives a single row with ``error``.
+
+    A file is cut into byte ranges of ``split_bytes``, each read by one task. Filters on
+    ``path``, ``plane`` and ``y`` reach the files: only the lines they leave are read.
+    """
+    return read_source(spark, "lines", paths, split_bytes)
 
 
 def frames(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nightframes.operators import incremental as N
 from nightframes.operators import planes as P
 from nightframes.operators import stats as A
-from nightframes.sources import fits, tables
+from nightframes.sources import fits, ranged, tables
 from nightframes.streaming import continuous as G
 
 BITPIX = {"u1": 8, "i2": 16, "i4": 32, "i8": 64, "f4": -32, "f8": -64}
@@ -105,7 +105,7 @@ def ingested(spark, folder):
 
 
 def test_samples_and_errors(spark, folder, monkeypatch):
-    monkeypatch.setattr(fits, "BATCH_SAMPLES", 8)
+    monkeypatch.setattr(ranged, "BATCH_SAMPLES", 8)
     lines, frames, scanlines = ingested(spark, folder)
     errors = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in fits.read_errors(lines).collect()}
     assert set(errors) == {"tiled.fz", "cut.fits"} and "ends before" in errors["cut.fits"]
