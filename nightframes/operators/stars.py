@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from nightframes.functions import scalars as S
 from nightframes.operators import planes as P
 from nightframes.operators.stats import (
-    MAD_TO_SIGMA,
     frame_medians,
+    in_order,
     is_finite,
     median_and_mad,
+    order_statistics,
 )
 from nightframes.session import attach, ship, staged
 
@@ -52,7 +53,7 @@ def plane_background(plane_rows: DataFrame) -> DataFrame:
     """``median, mad`` of every detection plane.
 
     A plane whose source has a ceiling has a bounded number of values and is counted;
-    others are narrowed down by counting.
+    others are sorted by range.
     """
     bounded = F.col("bounded")
 
@@ -65,15 +66,7 @@ def plane_background(plane_rows: DataFrame) -> DataFrame:
     free_rows = plane_rows.filter(~bounded)
     if free_rows.isEmpty():
         return counted
-    free = staged(pixels(free_rows), "free")
-    medians = staged(frame_medians(free), "medians")
-    dev = attach(free, medians, ["frame_id"], F.col("y")).withColumn(
-        "dev", F.abs(F.col("v") - F.col("median"))
-    )
-    mads = frame_medians(dev, value="dev").select(
-        "frame_id", (F.col("median") * MAD_TO_SIGMA).alias("mad")
-    )
-    return counted.unionByName(medians.join(mads, "frame_id"))
+    return counted.unionByName(order_statistics(in_order(pixels(free_rows)))[1])
 
 
 # --- runs ---------------------------------------------------------------------------

@@ -7,8 +7,9 @@ pixel-sized join is needed to scale or route them.
 
 8- and 16-bit samples are first reduced to value counts, at most 65 536 rows per frame
 whatever its size; everything else is derived from those. Float and wide-integer samples
-take the general path: their medians are narrowed down by counting, whatever a frame's size,
-and everything else is an aggregate that combines on the map side.
+take the general path: they are sorted once by range, over all frames, and median and MAD
+are found by rank in that table; everything else is an aggregate that combines on the map
+side.
 """
 
 from __future__ import annotations
@@ -23,10 +24,9 @@ from nightframes.session import attach, staged
 
 HISTOGRAM_BINS = 256
 MAD_TO_SIGMA = 1.4826
-# Bins per frame and round when a median is narrowed down, and the values left in the
-# central bins that are put in order.
-NARROW_BINS = 4096
-ORDERED_VALUES = 4096
+# Neighbouring samples in order that make a block, as a power of two. A task sees a row per
+# block of its frames, and the samples of the few blocks that hold a central deviation.
+BLOCK_BITS = 12
 COUNTED_TYPES = ("U8", "I16")
 
 STAT_COLUMNS = (
@@ -262,80 +262,130 @@ def position(rows: DataFrame, value: str) -> Column:
     return F.xxhash64(*(place or [value]))
 
 
-def frame_medians(values: DataFrame, keys: list[str] = ["frame_id"], value: str = "v") -> DataFrame:
-    """Exact median per key, the mean of the two central values.
+def in_order(values: DataFrame, keys: list[str] = ["frame_id"], value: str = "v") -> DataFrame:
+    """``values`` in one sort by range, staged: keys, ``v, _part, _at``.
 
-    A round counts the values of every open group inside [lo, hi] into bins, keeping each
-    bin's extremes, and keeps the bins with the two central ranks. The ends of [lo, hi] fall
-    in different bins, so every round gets closer; few values are put in order at the end.
-    The steps are the same for every size of group.
+    Ranges are of (key, value, place), so a frame holding a large part of all samples, even
+    of one value, is spread over many tasks. ``_at`` rises with the value inside a part.
     """
     at = F.col("_at") if "_at" in values.columns else position(values, value)
-    values = values.select(*keys, F.col(value).alias("v"), at.alias("_at"))
-    low_rank, high_rank = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    rows = values.select(*keys, F.col(value).alias("v"), at.alias("_tie"))
+    dealt = rows.repartitionByRange(*keys, "v", "_tie").sortWithinPartitions(*keys, "v")
+    return staged(
+        dealt.select(
+            *keys, "v", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+        ),
+        "ordered",
+    )
+
+
+def blocks_of(ordered: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of neighbouring rows of one key, staged: where they begin, their ends and moments.
+
+    NaN and infinite values lie at both ends of a key's rows; they are only counted.
+    """
+    v = F.col("v")
+    usable = F.when(is_finite(v), v)
+    # ``_at`` numbers the rows of a part without gaps, so its quotient is a block of a part
+    block = F.shiftright("_at", BLOCK_BITS).alias("block")
+    return staged(
+        ordered.groupBy(*keys, block).agg(
+            F.count(usable).alias("n"),
+            F.min(F.when(is_finite(v), F.col("_at"))).alias("first"),
+            F.min(usable).alias("lo"),
+            F.max(usable).alias("hi"),
+            F.avg(usable).alias("mean"),
+            F.var_pop(usable).alias("spread"),
+            F.count_if(v == 0).alias("zeros"),
+            F.count_if(~is_finite(v)).alias("nonfinite"),
+        ),
+        "blocks",
+    )
+
+
+def order_statistics(ordered: DataFrame, keys: list[str] = ["frame_id"]) -> tuple[DataFrame, DataFrame]:
+    """Moments (staged; ``total, lo, hi, mean, sigma, zeros, nonfinite``) and ``median, mad`` per key.
+
+    ``ordered`` are rows put ``in_order``; all but ``nonfinite`` are of finite values. A fixed number of passes for every size: from the blocks' counts follow the places of the
+    two central values, and from the blocks' ends and the median two bounds between which the
+    central deviations lie. Deviations below are counted; those between, of a few blocks, are
+    put in order.
+    """
+    blocks = blocks_of(ordered, keys)
+    v, n, total = F.col("v"), F.col("n"), F.col("total")
+    low, high = _mid_ranks(total)
+    # a row per block from here on
     w = Window.partitionBy(*keys)
-    open_groups = staged(
-        values.groupBy(*keys)
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("total"))
-        .withColumn("below", F.lit(0).cast("bigint")),
-        "open",
+    placed = (
+        blocks.withColumn("cum", F.sum("n").over(_running(w, "block")))
+        .withColumn("total", F.sum("n").over(w))
+        .withColumn("centre", F.sum(n * F.col("mean")).over(w) / F.sum("n").over(w))
     )
-    done: DataFrame | None = None
-    while True:
-        inside = attach(values, open_groups, keys, F.col("_at")).filter(
-            F.col("v").between(F.col("lo"), F.col("hi"))
-        )
-        binned = inside.groupBy(
-            *keys, bin_index(F.col("v"), F.col("lo"), F.col("hi"), NARROW_BINS).alias("bin")
-        ).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("bin_lo"),
-            F.max("v").alias("bin_hi"),
+
+    def place(rank: Column) -> Column:
+        inside = (F.col("cum") - n <= rank) & (rank < F.col("cum"))
+        return F.max(F.when(inside, F.col("first") + rank - (F.col("cum") - n)))
+
+    centre = staged(
+        placed.groupBy(*keys).agg(
+            place(low).alias("low_at"),
+            place(high).alias("high_at"),
             F.first("total").alias("total"),
-            F.first("below").alias("below"),
-        )
-        cum = F.col("below") + F.sum("n").over(_running(w, "bin"))
-        central = (
-            binned.withColumn("cum", cum)
-            .filter((F.col("cum") > low_rank) & (F.col("cum") - F.col("n") <= high_rank))
-            .groupBy(*keys)
-            .agg(
-                F.count(F.lit(1)).alias("bins"),
-                F.min("bin_lo").alias("lo"),
-                F.max("bin_hi").alias("hi"),
-                F.max_by("bin_lo", "bin").alias("upper_lo"),
-                F.min_by("bin_hi", "bin").alias("lower_hi"),
-                F.sum("n").alias("n"),
-                F.first("total").alias("total"),
-                F.min(F.col("cum") - F.col("n")).alias("below"),
-            )
-        )
-        central = staged(central, "central")
-        # Ranks in two bins: the last value of one and the first of the next.
-        split = (F.col("bins") == 2) | (F.col("lo") == F.col("hi"))
-        closed = central.filter(split).select(
-            *keys,
-            F.when(F.col("bins") == 2, (F.col("lower_hi") + F.col("upper_lo")) / 2)
-            .otherwise(F.col("lo"))
-            .alias("median"),
-        )
-        few = central.filter(~split & (F.col("n") <= ORDERED_VALUES))
-        candidates = attach(values, few, keys, F.col("_at")).filter(
-            F.col("v").between(F.col("lo"), F.col("hi"))
-        )
-        rank = F.col("below") + F.row_number().over(w.orderBy("v")) - 1
-        ordered = (
-            candidates.withColumn("rank", rank)
-            .filter((F.col("rank") == low_rank) | (F.col("rank") == high_rank))
-            .groupBy(*keys)
-            .agg(((F.min("v") + F.max("v")) / 2).alias("median"))
-        )
-        closed = closed.unionByName(ordered)
-        done = closed if done is None else done.unionByName(closed)
-        rest = central.filter(~split & (F.col("n") > ORDERED_VALUES))
-        if rest.isEmpty():
-            return done
-        open_groups = staged(rest.select(*keys, "lo", "hi", "total", "below"), "open")
+            F.min("lo").alias("lo"),
+            F.max("hi").alias("hi"),
+            F.first("centre").alias("mean"),
+            F.sqrt(
+                F.sum(n * (F.col("spread") + (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre"))))
+                / F.first("total")
+            ).alias("sigma"),
+            F.sum("zeros").alias("zeros"),
+            F.sum("nonfinite").alias("nonfinite"),
+        ),
+        "centre",
+    )
+    groups = centre.count()
+    central = attach(ordered, centre.select(*keys, "low_at", "high_at"), keys, F.col("_at"), count=groups)
+    medians = (
+        central.filter((F.col("_at") == F.col("low_at")) | (F.col("_at") == F.col("high_at")))
+        .groupBy(*keys)
+        .agg(((F.min(v) + F.max(v)) / 2).alias("median"))
+    )
+    least = F.when(F.col("lo") >= F.col("median"), F.col("lo") - F.col("median")).when(
+        F.col("hi") <= F.col("median"), F.col("median") - F.col("hi")
+    )
+    most = F.greatest(F.abs(F.col("lo") - F.col("median")), F.abs(F.col("hi") - F.col("median")))
+    spans = (
+        blocks.select(*keys, "n", "lo", "hi")
+        .filter("n > 0")
+        .join(medians, keys)
+        .withColumns({"least": F.coalesce(least, F.lit(0.0)), "most": most})
+        .withColumn("total", F.sum("n").over(w))
+        .withColumn("surely", F.sum("n").over(_running(w, "most")))
+        .withColumn("maybe", F.sum("n").over(_running(w, "least")) - n)
+    )
+    bounds = spans.groupBy(*keys).agg(
+        F.first("median").alias("median"),
+        F.first("total").alias("total"),
+        F.max(F.when(F.col("maybe") <= low, F.col("least"))).alias("dev_lo"),
+        F.min(F.when(F.col("surely") > high, F.col("most"))).alias("dev_hi"),
+    )
+    dev = F.abs(v - F.col("median"))
+    near = attach(ordered, bounds, keys, F.col("_at"), count=groups).filter(dev <= F.col("dev_hi"))
+    # one row for all deviations below the bounds, one for each value between them
+    counted = near.groupBy(*keys, F.when(dev >= F.col("dev_lo"), dev).alias("dev")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("total").alias("total"), F.first("median").alias("median")
+    )
+    cum = counted.withColumn("cum_dev", F.sum("n").over(_running(w, F.col("dev").asc_nulls_first())))
+    found = cum.groupBy(*keys).agg(
+        F.first("median").alias("median"),
+        (MAD_TO_SIGMA * ((_deviation_at(low) + _deviation_at(high)) / 2)).alias("mad"),
+    )
+    return centre.drop("low_at", "high_at"), found
+
+
+def frame_medians(values: DataFrame, keys: list[str] = ["frame_id"], value: str = "v") -> DataFrame:
+    """Exact median per key, the mean of the two central values."""
+    return order_statistics(in_order(values, keys, value), keys)[1].select(*keys, "median")
 
 
 def _bin_summary() -> list[Column]:
@@ -347,28 +397,21 @@ def _bin_summary() -> list[Column]:
     ]
 
 
-def _value_fields(finite: DataFrame) -> DataFrame:
-    """The fields of finite values, a pass per step and never a sort of a whole frame."""
-    v, lo, hi, at = F.col("v"), F.col("lo"), F.col("hi"), F.col("_at")
-    medians = staged(frame_medians(finite), "medians")
-    dev = attach(finite, medians, ["frame_id"], at).withColumn("dev", F.abs(v - F.col("median")))
-    mads = frame_medians(dev, value="dev").select("frame_id", (F.col("median") * MAD_TO_SIGMA).alias("mad"))
-    base = staged(
-        finite.groupBy("frame_id")
-        .agg(
-            F.min(v).alias("lo"),
-            F.max(v).alias("hi"),
-            F.avg(v).alias("mean"),
-            F.stddev_pop(v).alias("sigma"),
-            F.count_if(v == 0).alias("zeros"),
-            F.count(F.lit(1)).alias("count"),
-        )
-        .join(medians, "frame_id")
-        .join(mads, "frame_id"),
-        "base",
-    )
+def stats_from_values(values: DataFrame) -> DataFrame:
+    """All statistics fields per frame from ``frame_id, v`` rows of any distribution.
+
+    NaN and infinite samples are left out and counted in ``nonfinite``. The mode is the
+    centre of the fullest bin; saturation is the observed maximum. ``plane, y, x``, where
+    there are such columns, spread a large frame's rows.
+
+    Samples are sorted once, by range; every other pass reads that table and combines on the
+    map side.
+    """
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    ordered = in_order(values)
+    base, central = order_statistics(ordered)
     bins = (
-        attach(finite, base.select("frame_id", "lo", "hi"), ["frame_id"], at)
+        attach(ordered.filter(is_finite(v)), base.select("frame_id", "lo", "hi"), ["frame_id"], F.col("_at"))
         .groupBy("frame_id", bin_index(v, lo, hi).alias("bin"))
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -378,24 +421,9 @@ def _value_fields(finite: DataFrame) -> DataFrame:
         .groupBy("frame_id")
         .agg(*_bin_summary())
     )
-    return base.join(bins, "frame_id")
-
-
-def stats_from_values(values: DataFrame) -> DataFrame:
-    """All statistics fields per frame from ``frame_id, v`` rows of any distribution.
-
-    NaN and infinite samples are left out and counted in ``nonfinite``. The mode is the
-    centre of the fullest bin; saturation is the observed maximum. ``plane, y, x``, where
-    there are such columns, spread a large frame's rows.
-    """
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    # read by every round and pass, so computed once
-    values = staged(values.select("frame_id", "v", position(values, "v").alias("_at")), "values")
-    sizes = values.groupBy("frame_id").agg(F.count_if(~is_finite(v)).alias("nonfinite"))
-    fields = _value_fields(values.filter(is_finite(v)))
     zero = F.lit(0).cast("bigint")
     centre = lo + (0.5 - F.col("peak")["neg"]) * (hi - lo) / HISTOGRAM_BINS
-    return sizes.join(fields, "frame_id", "left").select(
+    return base.join(central, "frame_id", "left").join(bins, "frame_id", "left").select(
         "frame_id",
         F.coalesce(lo, F.lit(float("inf"))).alias("min"),
         F.coalesce(hi, F.lit(float("-inf"))).alias("max"),
@@ -404,7 +432,7 @@ def stats_from_values(values: DataFrame) -> DataFrame:
         F.coalesce("zeros", zero).alias("zeros"),
         F.coalesce("min_count", zero).alias("min_count"),
         F.coalesce("max_count", zero).alias("max_count"),
-        F.coalesce("count", zero).alias("count"),
+        F.coalesce("total", zero).alias("count"),
         F.coalesce("sigma", F.lit(0.0)).alias("sigma"),
         F.coalesce("mad", F.lit(0.0)).alias("mad"),
         F.when(hi > lo, centre).otherwise(F.coalesce(lo, F.lit(float("inf")))).alias("mode"),

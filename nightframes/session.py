@@ -79,15 +79,16 @@ def attach(
     spread: Column,
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
+    count: int | None = None,
 ) -> DataFrame:
     """Join pixel-sized ``rows`` with a small table that has one row per key.
 
-    ``per_frame`` must be a staged table: counting it reads footers only. Up to
+    ``per_frame`` must be a staged table, counted by its footers, or ``count`` is given. Up to
     ``broadcast_rows`` it is broadcast and ``rows`` stay where they are. Beyond that both
     sides are shuffled on (key, slice of ``spread``), so that a frame holding a large part
     of all rows is cut into ``SALTS`` pieces instead of landing in one task.
     """
-    if per_frame.count() <= broadcast_rows:
+    if (per_frame.count() if count is None else count) <= broadcast_rows:
         return rows.join(F.broadcast(per_frame), on, how)
     salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
     salted_frames = per_frame.withColumn(

@@ -62,8 +62,8 @@ def test_both_paths_agree(spark, n):
 
 
 @pytest.mark.parametrize("seed, kind", [(2, "ties"), (3, "outlier"), (4, "even")])
-def test_more_rounds_of_counting_give_the_same_result(spark, monkeypatch, seed, kind):
-    """Few bins and few ordered values take more rounds than the usual settings."""
+def test_blocks_of_any_size_give_the_same_result(spark, monkeypatch, seed, kind):
+    """Small blocks bound the deviations more closely than the usual setting."""
     rng = np.random.default_rng(seed)
     n = 1000 if kind == "even" else 1001
     values = rng.normal(size=n)
@@ -74,8 +74,7 @@ def test_more_rounds_of_counting_give_the_same_result(spark, monkeypatch, seed,
     small = np.full(20, 2.5)
     df = samples(spark, values.tolist(), "F64").unionByName(samples(spark, small.tolist(), "F64", frame_id=2))
     with monkeypatch.context() as m:
-        m.setattr(A, "NARROW_BINS", 16)
-        m.setattr(A, "ORDERED_VALUES", 10)
+        m.setattr(A, "BLOCK_BITS", 4)
         narrowed = {r["frame_id"]: r for r in A.general_stats(df).collect()}
     sorted_ = {r["frame_id"]: r for r in A.general_stats(df).collect()}
     assert narrowed.keys() == sorted_.keys()
@@ -86,12 +85,48 @@ def test_more_rounds_of_counting_give_the_same_result(spark, monkeypatch, seed,
     assert sorted_[1]["mad"] == pytest.approx(1.4826 * np.median(np.abs(values - np.median(values))))
 
 
-def test_narrowing_takes_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(A, "NARROW_BINS", 3)
-    monkeypatch.setattr(A, "ORDERED_VALUES", 5)
-    values = np.exp(np.random.default_rng(9).normal(size=801) * 4)
-    df = spark.createDataFrame([(1, float(v)) for v in values], "frame_id bigint, v double")
-    assert only(A.frame_medians(df))["median"] == np.median(values)
+@pytest.mark.parametrize("bits", [0, 2, 12])
+def test_median_and_deviation_by_rank(spark, monkeypatch, bits):
+    monkeypatch.setattr(A, "BLOCK_BITS", bits)
+    rng = np.random.default_rng(9)
+    frames = {
+        1: np.exp(rng.normal(size=801) * 4), 2: rng.normal(size=500), 3: np.full(64, 2.5), 4: np.array([7.0]),
+        5: np.array([1.0, 1.0, 5.0, 9.0]), 6: np.round(rng.normal(size=300), 1), 7: np.repeat([0.0, 1e300], 40),
+    }
+    rows = [(k, float(v)) for k, values in frames.items() for v in values]
+    df = spark.createDataFrame(rows, "frame_id bigint, v double").repartition(5)
+    got = {r["frame_id"]: r for r in A.order_statistics(A.in_order(df))[1].collect()}
+    assert got.keys() == frames.keys()
+    for k, values in frames.items():
+        median = np.median(values)
+        assert got[k]["median"] == median
+        assert got[k]["mad"] == pytest.approx(1.4826 * np.median(np.abs(values - median)), rel=1e-12)
+    assert {r["frame_id"]: r["median"] for r in A.frame_medians(df).collect()} == {k: r["median"] for k, r in got.items()}
+
+
+def test_one_value_does_not_land_in_one_task(spark):
+    """A constant frame that holds all rows is dealt by place."""
+    rows = spark.range(20_000).selectExpr("1L as frame_id", "2.5D as v", "0 as plane", "cast(id div 100 as int) as y", "cast(id % 100 as int) as x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in A.in_order(rows).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 12_000
+    moments, found = map(only, A.order_statistics(A.in_order(rows)))
+    assert (found["median"], found["mad"], moments["total"], moments["sigma"]) == (2.5, 0, 20_000, 0)
+
+
+def test_ranks_take_a_fixed_number_of_jobs(spark):
+    def jobs(n):
+        df = spark.createDataFrame([(i % 3, float(i * i % 1009)) for i in range(n)], "frame_id bigint, raw double")
+        df = staged(df.selectExpr("*", "1.0D as bscale", "0.0D as bzero"), "samples")
+        spark.sparkContext.setJobGroup(f"ranks-{n}", "")
+        A.general_stats(df).collect()
+        spark.sparkContext.setJobGroup("rest", "")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ranks-{n}"))
+
+    assert 0 < jobs(50_000) <= jobs(30) + 2
 
 
 def test_nonfinite_samples_are_counted_apart(spark):
