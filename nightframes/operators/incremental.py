@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nightframes.operators import catalog as C
+from nightframes.operators import measure as M
 from nightframes.operators import planes as P
 from nightframes.operators import stars as D
 from nightframes.operators import stats as A
@@ -82,14 +83,19 @@ def measure_frames(
 ) -> DataFrame:
     """Requested measurements per frame: statistics, star metrics, or both.
 
-    Branches not asked for are not planned. A frame stars cannot be detected on keeps its
-    statistics and gets ``star_error``.
+    Asked for together they share the samples' counts: stars of mono frames and cubes are
+    looked for above the median and MAD of their statistics, and mosaics' planes are counted
+    along with the frames. Branches not asked for are not planned. A frame stars cannot be
+    detected on keeps its statistics and gets ``star_error``.
     """
     out = frames.select("frame_id")
+    background = None
     if pixel_stats:
-        out = out.join(A.pixel_stats(P.explode_samples(scanlines)), "frame_id", "left")
+        stats, background = M.shared_statistics(scanlines, planes=stars)
+        out = out.join(stats, "frame_id", "left")
     if stars:
-        out = out.join(D.detect_stars(scanlines, frames), "frame_id", "left").join(
+        found = D.detect_stars(scanlines, frames, background=background)
+        out = out.join(found, "frame_id", "left").join(
             P.detection_errors(frames).withColumnRenamed("error", "star_error"), "frame_id", "left"
         )
     return out
@@ -150,14 +156,33 @@ def result_view(results: DataFrame, summary: DataFrame) -> DataFrame:
     return counts.join(summary, "session_id", "left")
 
 
-def document_bundle(frames: DataFrame, stats: DataFrame, stars: DataFrame) -> DataFrame:
-    """Everything shown for a frame: statistics, histogram heights, stars and channel tag."""
-    parts = [P.with_shape(frames).select("frame_id", "shape"), stats, stars]
+def document_bundle(frames: DataFrame, cards: DataFrame, measured: DataFrame) -> DataFrame:
+    """Everything shown for a frame, one row each: cards, summary, statistics, heights, stars, channel tag.
+
+    ``frames`` holds the descriptor, ``cards`` (frame_id, ord, name, value, comment) the
+    headers, ``measured`` what ``measure_frames`` gives for both families. ``cards`` is an
+    array in header order, ``summary`` an array of label and value in the summary's order;
+    both are as long as one header. A frame without cards has empty ones.
+    """
+    card = F.struct("ord", "name", F.coalesce("value", F.lit("")).alias("value"), "comment")
+    headers = cards.groupBy("frame_id").agg(F.array_sort(F.collect_list(card)).alias("cards"))
+    headers = headers.withColumn(
+        "cards", F.transform("cards", lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"), c["comment"].alias("comment")))
+    )
+    lines = C.summary(C.catalog(cards)).groupBy("frame_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "label", "value"))).alias("summary")
+    )
+    lines = lines.withColumn(
+        "summary", F.transform("summary", lambda f: F.struct(f["label"].alias("label"), f["value"].alias("value")))
+    )
+    parts = [P.with_shape(frames).select("frame_id", "shape"), headers, lines, measured]
     joined = reduce(lambda a, b: a.join(b, "frame_id", "left"), parts)
     return joined.select(
         "frame_id",
         F.when(F.col("shape") == "rgb_cube", "G").alias("channel"),
+        F.coalesce("cards", F.array().cast(headers.schema["cards"].dataType)).alias("cards"),
+        F.coalesce("summary", F.array().cast(lines.schema["summary"].dataType)).alias("summary"),
         *"min max mean median sigma mad zeros".split(),
         A.histogram_heights(F.col("histogram")).alias("heights"),
-        *"star_count hfr fwhm eccentricity".split(),
+        *"star_count hfr fwhm eccentricity star_error".split(),
     )

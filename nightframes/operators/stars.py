@@ -423,10 +423,15 @@ def star_stats(stars: DataFrame, frames: DataFrame) -> DataFrame:
     )
 
 
-def detect_stars(scanlines: DataFrame, frames: DataFrame, sigma_k: float = SIGMA_K) -> DataFrame:
-    """Star statistics and plane size of every frame a detection plane exists for."""
+def detect_stars(
+    scanlines: DataFrame, frames: DataFrame, sigma_k: float = SIGMA_K, background: DataFrame | None = None
+) -> DataFrame:
+    """Star statistics and plane size of every frame a detection plane exists for.
+
+    ``background`` (frame_id, median, mad), if it is known already, saves a pass over the planes.
+    """
     rows = P.detection_rows(scanlines)
-    stars = find_stars(rows, sigma_k=sigma_k)
+    stars = find_stars(rows, background, sigma_k=sigma_k)
     described = P.with_shape(frames)
     mosaic = F.col("shape") == "mosaic"
     usable = described.filter(

@@ -407,9 +407,13 @@ def stats_from_values(values: DataFrame) -> DataFrame:
     Samples are sorted once, by range; every other pass reads that table and combines on the
     map side.
     """
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     ordered = in_order(values)
-    base, central = order_statistics(ordered)
+    return fields_in_order(ordered, *order_statistics(ordered))
+
+
+def fields_in_order(ordered: DataFrame, base: DataFrame, central: DataFrame) -> DataFrame:
+    """All statistics fields from sorted rows, their moments and their median and MAD."""
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
     bins = (
         attach(ordered.filter(is_finite(v)), base.select("frame_id", "lo", "hi"), ["frame_id"], F.col("_at"))
         .groupBy("frame_id", bin_index(v, lo, hi).alias("bin"))

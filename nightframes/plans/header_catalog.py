@@ -97,8 +97,7 @@ def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.catalog(X.header_cards(spark, sf_dir)).select(_CATALOG)
 
 
-@query(
-    f"""with {CATALOG_SQL}, fields as (
+SUMMARY_SQL = f"""{CATALOG_SQL}, fields as (
  select frame_id, unnest([
   {{'ord': 0, 'label': 'Resolution', 'value': '0 x 0'}},
   {{'ord': 1, 'label': 'Bit depth', 'value': case when is_unsigned16 then '16-bit unsigned integer' else '16-bit integer' end}},
@@ -109,9 +108,12 @@ def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
   {{'ord': 12, 'label': 'Filter', 'value': trim(filter)}},
   {{'ord': 14, 'label': 'Telescope', 'value': case when telescope is not null and focal_len_mm is not null then concat(trim(telescope), ' (', {trim('focal_len_mm')}, 'mm)')
     when telescope is not null then trim(telescope) else {trim('focal_len_mm')} || 'mm' end}},
-  {{'ord': 15, 'label': 'Date-obs', 'value': trim(date_obs)}}]) as f from catalog)
- select frame_id, f.ord as ord, f.label as label, f.value as value from fields where f.value is not null and f.value <> ''"""
-)
+  {{'ord': 15, 'label': 'Date-obs', 'value': trim(date_obs)}}]) as f from catalog),
+summary as (
+ select frame_id, f.ord as ord, f.label as label, f.value as value from fields where f.value is not null and f.value <> '')"""
+
+
+@query(f"with {SUMMARY_SQL} select * from summary")
 def frame_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.summary(C.catalog(X.header_cards(spark, sf_dir)))
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
 from nightframes.operators import incremental as N
-from nightframes.operators import planes as P
 from nightframes.operators import series as T
-from nightframes.operators import stars as D
-from nightframes.operators import stats as A
 from nightframes.plans import fixtures as X
-from nightframes.plans.registry import query, six
-from nightframes.plans.star_fields import components_sql, star_stats_sql
-from nightframes.plans.statistics import star_frames
+from nightframes.plans.header_catalog import SUMMARY_SQL
+from nightframes.plans.registry import listed, query, six
+from nightframes.plans.star_fields import CUBES, MIXED_SQL, MOSAICS, mixed_frames, mixed_lines
 from nightframes.session import shared_dir, staged
 from nightframes.streaming import continuous as G
 
@@ -210,26 +207,44 @@ def result_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.result_view(frames, T.series_summary(values))
 
 
+_HEIGHTS = """list_transform(string_split(histogram, ','), lambda c: cast(round(
+  case when top > 0 then ln(c::bigint + 1) / ln(top + 1) else 0 end * 1000000) as bigint))"""
+
+
 @query(
-    f"""with recursive {X.STAR_SQL}, {components_sql('star', X.STAR_SIDE, X.STAR_SIDE, 65535)}, {star_stats_sql('select distinct frame_id from star')},
- st as (select frame_id, max(v) as max, avg(v) as mean, quantile_cont(v, 0.5) as median from star group by frame_id)
- select frame_id, null as channel, round(max, 6) as max, round(mean, 6) as mean, round(median, 6) as median, 256 as bars, star_count, round(hfr, 6) as hfr
- from st join star_stats using (frame_id)"""
+    f"""with recursive {MIXED_SQL}, {SUMMARY_SQL},
+ headers as (select frame_id, string_agg(concat(name, '=', coalesce(value, '')), chr(10) order by ord) as cards from cards group by frame_id),
+ lines as (select frame_id, string_agg(concat(label, ': ', value), chr(10) order by ord) as summary from summary group by frame_id),
+ tops as (select *, list_max(list_transform(string_split(histogram, ','), lambda c: c::bigint)) as top from measured)
+ select m.frame_id, case when m.frame_id >= {CUBES} and m.frame_id < {MOSAICS} then 'G' end as channel, coalesce(h.cards, '') as cards,
+  coalesce(l.summary, '') as summary, min, max, mean, median, sigma, mad, zeros, array_to_string({_HEIGHTS}, ',') as heights,
+  star_count, hfr, fwhm, eccentricity
+ from tops m left join headers h on h.frame_id = m.frame_id % {CUBES} left join lines l on l.frame_id = m.frame_id % {CUBES}"""
 )
 def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = staged(X.star_lines(spark, sf_dir), "lines")
-    frames = star_frames(spark, sf_dir)
-    stats = A.pixel_stats(P.explode_samples(lines))
-    out = N.document_bundle(frames, stats, D.detect_stars(lines, frames))
+    """The whole bundle of frames of all shapes; lists are shown as text."""
+    lines = staged(mixed_lines(spark, sf_dir), "lines")
+    frames = mixed_frames(lines)
+    measured = N.measure_frames(lines, frames, pixel_stats=True, stars=True)
+    # each frame gets the header of the order its number stands for
+    headers = X.header_cards(spark, sf_dir).withColumnRenamed("frame_id", "order").withColumn("comment", F.lit(""))
+    cards = frames.select("frame_id", (F.col("frame_id") % CUBES).alias("order")).join(headers, "order").drop("order")
+    out = N.document_bundle(frames, cards, measured)
+
+    def text(column: str, left: str, glue: str, right: str) -> Column:
+        rows = F.transform(column, lambda r: F.concat(r[left], F.lit(glue), r[right]))
+        return F.array_join(rows, "\n").alias(column)
+
     return out.select(
         "frame_id",
         "channel",
-        six("max"),
-        six("mean"),
-        six("median"),
-        F.size("heights").alias("bars"),
+        text("cards", "name", "=", "value"),
+        text("summary", "label", ": ", "value"),
+        *[six(c) for c in "min max mean median sigma mad".split()],
+        "zeros",
+        listed(F.transform("heights", lambda h: F.round(h * 1000000).cast("bigint")), "heights"),
         "star_count",
-        six("hfr"),
+        *[six(c) for c in ("hfr", "fwhm", "eccentricity")],
     )
 
 

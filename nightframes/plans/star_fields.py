@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +13,11 @@ from nightframes.operators import series as T
 from nightframes.operators import stars as D
 from nightframes.plans import fixtures as X
 from nightframes.plans.registry import query, six
-from nightframes.plans.statistics import star_frames
+from nightframes.plans.statistics import STAT_NAMES, shown, star_frames, stats_sql
 from nightframes.session import staged
 
 
-def components_sql(source: str, width: int, height: int, ceiling: float) -> str:
+def components_sql(source: str, width: int | str, height: int | str, ceiling: float | str) -> str:
     """CTEs ending in ``stars`` over ``source`` (frame_id, y, x, v): unrestricted reachability."""
     return f"""med as (select frame_id, quantile_cont(v, 0.5) as median from {source} group by frame_id),
 bg as (select frame_id, median, 1.4826 * quantile_cont(abs(v - median), 0.5) as mad from {source} join med using (frame_id) group by frame_id, median),
@@ -117,18 +119,55 @@ def star_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_id", "star_count", *[six(c) for c in _SHAPE], "plane_width", "plane_height")
 
 
-@query(
-    f"""{_STAR_STATS}, st as (
- select frame_id, round(min(v), 6) as min, round(max(v), 6) as max, round(quantile_cont(v, 0.5), 6) as median, count(*) as count from star group by frame_id)
- select frame_id, min, max, median, count, star_count, round(fwhm, 6) as fwhm from st join star_stats using (frame_id)"""
-)
+# --- frames of all shapes ---------------------------------------------------------------
+
+# What is added to the ids of cubes, mosaics and float frames, so that all lie in one table.
+CUBES, MOSAICS, FLOATS = 1_000_000, 2_000_000, 3_000_000
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Star fields, float cubes, mosaics and float frames together."""
+    parts = [
+        X.star_lines(spark, sf_dir),
+        X.cube_lines(spark, sf_dir).filter("planes = 3").withColumn("frame_id", F.col("frame_id") + CUBES),
+        X.mosaic_lines(spark, sf_dir).withColumn("frame_id", F.col("frame_id") + MOSAICS),
+        X.vector_lines(spark, sf_dir).withColumn("frame_id", F.col("frame_id") + FLOATS),
+    ]
+    columns = ["frame_id", "plane", "y", "samples", *P.DESCRIPTOR]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
+def mixed_frames(lines: DataFrame) -> DataFrame:
+    return lines.filter("y = 0 and plane = 0").select("frame_id", *P.DESCRIPTOR)
+
+
+_CEILING = f"(case when frame_id >= {MOSAICS} then 32767 else 65535 end)"
+_STAR_CEILING = f"(case when frame_id >= {FLOATS} then 'infinity'::double else {_CEILING} end)"
+_SIDE = f"(case when frame_id < {CUBES} then {X.STAR_SIDE} else 8 end)"
+MIXED_SQL = f"""{X.STAR_SQL}, {X.CUBE_SQL}, {X.MOSAIC_SQL},
+counted as (
+ select frame_id, y, x, v from star
+ union all select frame_id + {CUBES}, y, x, greatest(least(round(raw * 65535), 65535), 0) from cube where planes = 3 and plane = 1
+ union all select frame_id + {MOSAICS}, y, x, raw::double from mosaic),
+floats as (select frame_id + {FLOATS} as frame_id, y, x, raw as v from vector),
+detect as (
+ select * from counted where frame_id < {MOSAICS} union all select * from floats
+ union all select frame_id + {MOSAICS}, y // 2, x // 2, avg(raw) from mosaic
+ where (x + y) % 2 = case when cfa in ('RGGB', 'BGGR') then 1 else 0 end group by frame_id, y // 2, x // 2),
+{components_sql('detect', _SIDE, _SIDE, _STAR_CEILING)}, {star_stats_sql('select distinct frame_id from detect')},
+{stats_sql('counted', _CEILING)}, {stats_sql('floats', None, 'float_')},
+measured as (
+ select s.*, star_count, round(hfr, 6) as hfr, round(fwhm, 6) as fwhm, round(eccentricity, 6) as eccentricity
+ from (select * from stats union all select * from float_stats) s join star_stats using (frame_id))"""
+_MEASURED = f"frame_id, {', '.join(STAT_NAMES)}, histogram, star_count, hfr, fwhm, eccentricity"
+
+
+@query(f"with recursive {MIXED_SQL} select {_MEASURED}, {_SIDE} as plane_width from measured")
 def measured_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and stars of a frame asked for together."""
-    lines = staged(X.star_lines(spark, sf_dir), "lines")
-    out = N.measure_frames(lines, star_frames(spark, sf_dir), pixel_stats=True, stars=True)
-    return out.select(
-        "frame_id", six("min"), six("max"), six("median"), "count", "star_count", six("fwhm")
-    )
+    """Statistics and stars asked for together, of frames of all shapes."""
+    lines = staged(mixed_lines(spark, sf_dir), "lines")
+    out = N.measure_frames(lines, mixed_frames(lines), pixel_stats=True, stars=True)
+    return shown(out, "star_count", *[six(c) for c in _SHAPE], "plane_width")
 
 
 _MOSAIC_PLANE = f"""{X.MOSAIC_SQL},

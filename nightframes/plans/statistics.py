@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframes.operators import planes as P
@@ -17,13 +17,14 @@ STAT_NAMES = (
 ).split()
 
 
-def shown(stats: DataFrame) -> DataFrame:
-    """Statistics with comparable column types."""
+def shown(stats: DataFrame, *more: Column | str) -> DataFrame:
+    """Statistics with comparable column types, and further columns."""
     whole = ("zeros", "min_count", "max_count", "count", "saturated")
     return stats.select(
         "frame_id",
         *[F.col(c).cast("bigint").alias(c) if c in whole else six(c) for c in STAT_NAMES],
         listed("histogram"),
+        *more,
     )
 
 
