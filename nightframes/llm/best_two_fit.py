@@ -19,9 +19,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nightframes.llm.buffers import slices
+from nightframes.llm.buffers import ranges, slices
 from nightframes.llm.encoder import WordEncoder, default_path
-from nightframes.llm.tables import identified, kept, staged
+from nightframes.llm.tables import binary_column, identified, kept, staged
 
 SIZE = 2048
 END = 0
@@ -113,14 +113,11 @@ def piece_rows(path: str, size: int, end: int):
         for batch in batches:
             for part in slices(batch):
                 ids = encoder.encode([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-                which, nth, payload = [], [], []
-                for i, x in enumerate(ids):
-                    x += close
-                    for k in range(0, len(x), size * width):
-                        which.append(i)
-                        nth.append(k // (size * width))
-                        payload.append(np.frombuffer(x[k : k + size * width], encoder.dtype).astype("<u4").tobytes())
-                length = np.array([len(p) // 4 for p in payload], np.int64)
+                # all ids of the slice in one array, each document's with its end
+                flat_ids = np.frombuffer(close.join([*ids, b""]), encoder.dtype).astype("<u4")
+                tokens = np.array([len(x) for x in ids], np.int64) // width + 1
+                which, nth = ranges(-(-tokens // size))
+                length = np.minimum(tokens[which] - nth * size, size)
                 order = np.argsort(length, kind="stable")
                 first = np.searchsorted(length[order], length[order])
                 rank = np.empty(len(length), np.int64)
@@ -128,11 +125,11 @@ def piece_rows(path: str, size: int, end: int):
                 met += np.bincount(length, minlength=size + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pc.take(part.column("doc_id"), pa.array(which, pa.int64())),
-                        pa.array(nth, pa.int32()),
-                        pa.array(np.array(nth, np.int64) * size),
+                        pc.take(part.column("doc_id"), pa.array(which)),
+                        pa.array(nth.astype(np.int32)),
+                        pa.array(nth * size),
                         pa.array(length),
-                        pa.array(payload, pa.binary()),
+                        binary_column(flat_ids, length),
                         pa.array(np.full(len(length), task, np.int32)),
                         pa.array(rank),
                     ],
