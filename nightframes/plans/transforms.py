@@ -96,13 +96,25 @@ def stretch_sql(source: str, linked: bool, brightness: float = 0.25, carried: st
     )
     out = ", ".join(f"{_U16.format(v=mtf(f'{c}_midtones', f'{c}_v') + ' * 65535.0::double')} as {c}" for c in "rgb")
     carried = f", {carried}" if carried else ""
+
+    def central(value: str) -> str:
+        """Mean of the two central values, from counts with running sums."""
+        return f"(min({value}) filter (cum > (total - 1) // 2) + min({value}) filter (cum > total // 2)) / 2"
+
     return f"""pixels as materialized (select frame_id, y, x, r, g, b{carried} from {source}),
-samples as materialized (
- select frame_id, {keys['r']} as channel, r / 65535.0::double as v from pixels
- union all select frame_id, {keys['g']}, g / 65535.0::double from pixels
- union all select frame_id, {keys['b']}, b / 65535.0::double from pixels),
-meds as materialized (select frame_id, channel, quantile_cont(v, 0.5) as median from samples group by frame_id, channel),
-mads as materialized (select frame_id, channel, median, 1.4826 * quantile_cont(abs(v - median), 0.5) as mad from samples join meds using (frame_id, channel) group by frame_id, channel, median),
+counts as materialized (
+ select frame_id, channel, level / 65535.0::double as v, sum(n)::bigint as n from (
+  select frame_id, {keys['r']} as channel, r as level, count(*) as n from pixels group by frame_id, r
+  union all select frame_id, {keys['g']}, g, count(*) from pixels group by frame_id, g
+  union all select frame_id, {keys['b']}, b, count(*) from pixels group by frame_id, b) group by frame_id, channel, level),
+by_value as (
+ select *, sum(n) over (partition by frame_id, channel order by v) as cum, sum(n) over (partition by frame_id, channel) as total from counts),
+meds as materialized (select frame_id, channel, {central('v')} as median from by_value group by frame_id, channel),
+devs as (select frame_id, channel, median, abs(v - median) as dev, n from counts join meds using (frame_id, channel)),
+by_dev as (
+ select *, sum(n) over (partition by frame_id, channel order by dev) as cum, sum(n) over (partition by frame_id, channel) as total from devs),
+mads as materialized (
+ select frame_id, channel, median, 1.4826 * ({central('dev')}) as mad from by_dev group by frame_id, channel, median),
 shadow as (select *, least(greatest(median - 2.8 * mad, 0), 1) as shadows, {brightness}::double as t from mads),
 lifted as (select *, median - shadows as d from shadow),
 params as materialized (select frame_id, channel, median, mad, shadows, least(greatest({mtf('t', 'd')}, pow(2, -23)), 1 - pow(2, -23)) as midtones from lifted),
