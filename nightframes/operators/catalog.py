@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
-from nightframes.session import staged
+from nightframes.session import ship, staged
+
+ship(__name__)
+
+# How a file stores each sample type.
+_ENCODED = {"U8": ">u1", "I16": ">i2", "I32": ">i4", "I64": ">i8", "F32": ">f4", "F64": ">f8"}
 
 # Catalog column, header keyword and type.
 CATALOG_FIELDS = (
@@ -275,11 +285,30 @@ def header_hash(cards: DataFrame) -> DataFrame:
     return _ordered_digest(cards, F.floor(F.col("ord") / 256), F.col("ord"), line, "\n")
 
 
+def _line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of every scanline's samples as they are stored in a file: typed, big-endian."""
+    for batch in batches:
+        lines = batch.column("samples").fill_null([])
+        bounds = np.append(0, np.cumsum(np.asarray(lines.value_lengths(), np.int64)))
+        values = np.asarray(lines.flatten(), np.float64)
+        kinds = batch.column("sample_type").to_pylist()
+        digests = [
+            hashlib.sha256(values[lo:hi].astype(_ENCODED[kind]).tobytes()).hexdigest()
+            for kind, lo, hi in zip(kinds, bounds.tolist(), bounds[1:].tolist())
+        ]
+        kept = [batch.column(c) for c in ("frame_id", "plane", "y")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(digests, pa.string())], ["frame_id", "plane", "y", "digest"])
+
+
 def pixel_hash(scanlines: DataFrame) -> DataFrame:
     """SHA-256 over the digests of a frame's scanlines, in blocks of 1024 lines of a plane.
 
+    A line's digest is over its samples' bytes as a file stores them, so it needs no text.
     Scanlines are hashed where they are; only digests are shuffled.
     """
-    text = F.array_join(F.transform("samples", lambda s: s.cast("string")), ",")
+    key = scanlines.schema["frame_id"].dataType.simpleString()
+    digests = scanlines.select("frame_id", "plane", "y", "sample_type", "samples").mapInArrow(
+        _line_digests, f"frame_id {key}, plane int, y int, digest string"
+    )
     block = F.struct(F.col("plane").alias("p"), F.floor(F.col("y") / 1024).alias("y"))
-    return _ordered_digest(scanlines, block, F.col("y"), F.sha2(text, 256), "")
+    return _ordered_digest(digests, block, F.col("y"), F.col("digest"), "")

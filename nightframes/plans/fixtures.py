@@ -233,6 +233,41 @@ def header_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CARDS_SQL = f"cards as ({_cards('varchar')})"
+
+# Further cards, for every column of the catalog: number, keyword, value, which orders have it.
+_MORE_CARDS = [
+    (20, "NAXIS1", "cast(o_custkey % 6000 as {string})", "o_orderkey % 7 <> 0"),
+    (21, "NAXIS2", "cast(o_custkey % 4000 as {string})", "true"),
+    (22, "BSCALE", "'0.5'", "o_orderkey % 8 = 0"),
+    (23, "OBJCTRA", "case when o_orderkey % 4 = 0 then '10 20 30.5' else cast(o_custkey % 360 as {string}) end", "o_orderkey % 3 <> 1"),
+    (24, "OBJCTDEC", "concat('-', cast(o_custkey % 90 as {string}))", "o_orderkey % 3 = 0"),
+    (25, "OBJCTROT", "concat(cast(o_custkey % 360 as {string}), '.25')", "o_orderkey % 5 = 1"),
+    (26, "GAIN", "'1.5'", "o_orderkey % 2 = 1"),
+    (27, "OFFSET", "case when o_orderkey % 6 = 0 then 'none' else cast(o_custkey % 50 as {string}) end", "true"),
+    (28, "XBINNING", "'2'", "o_orderkey % 3 = 0"),
+    (29, "YBINNING", "case when o_orderkey % 6 = 0 then '1' else 'x' end", "o_orderkey % 2 = 0"),
+    (30, "INSTRUME", "concat('cam ', o_orderstatus)", "o_orderkey % 4 <> 2"),
+    (31, "FOCRATIO", "'4.5'", "o_orderkey % 5 = 2"),
+    (32, "GAIN", "'9'", "true"),
+]
+
+
+def more_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of header_cards and those of the other catalog columns."""
+    structs = [
+        f"case when {where} then named_struct('ord', {ord_}, 'name', '{name}', 'value', {value.format(string='string')}) end"
+        for ord_, name, value, where in _MORE_CARDS
+    ]
+    more = spread(table(spark, sf_dir, "orders")).selectExpr(
+        "o_orderkey as frame_id", f"explode(filter(array({','.join(structs)}), c -> c is not null)) as c"
+    )
+    return header_cards(spark, sf_dir).unionByName(more.select("frame_id", "c.*"))
+
+
+MORE_CARDS_SQL = "cards as (" + _cards("varchar") + "".join(
+    f" union all select o_orderkey, {ord_}, '{name}', {value.format(string='varchar')} from orders where {where}"
+    for ord_, name, value, where in _MORE_CARDS
+) + ")"
 PAIRS_SQL = "pairs as (select o_orderkey as source_id, o_orderkey + 1 as target_id from orders where o_orderkey + 1 in (select o_orderkey from orders))"
 
 

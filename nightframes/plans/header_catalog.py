@@ -87,14 +87,31 @@ catalog as (
   case when bayerpat is null and try_cast(axes as bigint) = 3 and try_cast(planes as bigint) = 3 then 3 else 1 end as channels,
   coalesce(bitpix = '16' and try_cast(bzero as double) = 32768, false) as is_unsigned16, trim(bayerpat) as bayerpat, object, filter,
   try_cast(exptime as double) as exptime_s, date_obs, date_loc, telescope, try_cast(focal as double) as focal_len_mm from texts)"""
-_CATALOG = (
-    "frame_id bitpix axes planes channels is_unsigned16 bayerpat object filter exptime_s date_obs date_loc telescope focal_len_mm"
-).split()
 
 
-@query(f"with {CATALOG_SQL} select {', '.join(_CATALOG)} from catalog")
+def quoted(name: str) -> str:
+    return f'"{name}"'
+
+
+_TYPED = {"bigint": "try_cast({v} as bigint)", "double": "try_cast({v} as double)", "string": "{v}"}
+_PLAIN = ", ".join(
+    f"{_TYPED[kind].format(v=first_value(keyword))} as {quoted(column)}" for column, keyword, kind in C.CATALOG_FIELDS
+)
+_CATALOG = [column for column, _, _ in C.CATALOG_FIELDS if column not in ("bayerpat", "xbinning", "ybinning")]
+
+
+@query(
+    f"""with {X.MORE_CARDS_SQL}, plain as (select frame_id, {_PLAIN} from cards group by frame_id)
+ select frame_id, {', '.join(map(quoted, _CATALOG))}, trim(bayerpat) as bayerpat,
+  case when bayerpat is null and axes = 3 and planes = 3 then 3 else 1 end as channels,
+  coalesce(bitpix = 16 and bzero = 32768, false) as is_unsigned16,
+  case when xbinning is not null and ybinning is not null then concat(xbinning, 'x', ybinning) end as binning from plain"""
+)
 def frame_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.catalog(X.header_cards(spark, sf_dir)).select(_CATALOG)
+    """All columns of the catalog."""
+    catalog = C.catalog(X.more_cards(spark, sf_dir))
+    pair = F.concat(F.col("binning.x").cast("string"), F.lit("x"), F.col("binning.y").cast("string"))
+    return catalog.withColumn("binning", pair)
 
 
 SUMMARY_SQL = f"""{CATALOG_SQL}, fields as (
@@ -465,7 +482,7 @@ def header_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {X.MOSAIC_SQL}, lines as (select frame_id, y, sha256(string_agg(concat(raw, '.0'), ',' order by x)) as digest from mosaic group by frame_id, y),
+    f"""with {X.MOSAIC_SQL}, lines as (select frame_id, y, sha256(unhex(string_agg(format('{{:04x}}', raw), '' order by x))) as digest from mosaic group by frame_id, y),
  blocks as (select frame_id, y // 1024 as b, sha256(string_agg(digest, '' order by y)) as digest from lines group by frame_id, y // 1024)
  select frame_id, sha256(string_agg(digest, '' order by b)) as sha256 from blocks group by frame_id"""
 )

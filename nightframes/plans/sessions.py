@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightframes.functions import scalars as S
 from nightframes.operators import incremental as N
+from nightframes.operators import result_cache as R
 from nightframes.operators import series as T
 from nightframes.plans import fixtures as X
 from nightframes.plans.header_catalog import SUMMARY_SQL
@@ -174,6 +177,23 @@ def updated_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.upsert(X.session_cache(frames), results).select("path", "length", "stamp", "status")
 
 
+@query(
+    f"""with {X.SESSION_SQL}, {X.CACHE_SQL}, {_plan_sql('pixel')},
+ results as (select s.* from session s join plan p using (path) where p.action = 'todo' and s.status <> 'error')
+ select path, length, stamp, status from cache where path not in (select path from results)
+ union all select path, length, stamp, status from results"""
+)
+def stored_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache as a stored table: kept results, then a batch over all frames, which is repeated."""
+    frames = staged(X.session_frames(spark, sf_dir), "frames")
+    folder = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    R.write_results(X.session_cache(frames), folder, 0)
+    targets = frames.select("path", "length", "stamp")
+    for _ in range(2):
+        R.answer_batch(targets, folder, 1, lambda work: frames.join(work.select("path"), "path", "left_semi"))
+    return R.read_results(spark, folder).select("path", "length", "stamp", "status")
+
+
 @query(
     f"""with {X.SESSION_SQL}, {X.CACHE_SQL}
  select 'working' as kind, case when length % 3 = 0 then concat(path, '.fz') else path end as path from session

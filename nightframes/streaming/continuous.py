@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from nightframes.operators import incremental as N
+from nightframes.operators import result_cache as C
 from nightframes.session import staged
 
 
@@ -38,22 +38,13 @@ def keep_metrics_current(
 ) -> StreamingQuery:
     """Analyse the files of every micro-batch that the cache does not answer, and store them.
 
-    ``analyze`` maps targets (path, length, stamp) to result rows with the cache's columns. Each
-    batch writes its results as one version folder named by the batch, so a repeated batch
-    replaces its own output; ``read_cache`` keeps the latest row per path.
+    ``analyze`` maps targets (path, length, stamp) to result rows with the cache's columns. A
+    batch reads and writes only the buckets of its own paths, and repeated it replaces its
+    own output.
     """
-    spark = files.sparkSession
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        targets = staged(batch, "targets")
-        if targets.isEmpty():
-            return
-        cache = read_cache(spark, cache_path, before=batch_id)
-        work = targets
-        if cache is not None:
-            work = N.todo(N.plan_batch(targets, cache, family))
-        results = analyze(work).filter(F.col("status") != N.ERROR)
-        results.write.mode("overwrite").parquet(f"{cache_path}/batch={batch_id}")
+        C.answer_batch(staged(batch, "targets"), cache_path, batch_id, analyze, family)
 
     return (
         files.writeStream.foreachBatch(step)
@@ -63,19 +54,9 @@ def keep_metrics_current(
     )
 
 
-def read_cache(spark: SparkSession, cache_path: str, before: int | None = None) -> DataFrame | None:
+def read_cache(spark: SparkSession, cache_path: str) -> DataFrame | None:
     """Latest result per path, or None while nothing has been stored."""
-    try:
-        rows = spark.read.option("mergeSchema", True).parquet(cache_path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
-    if before is not None:
-        rows = rows.filter(F.col("batch") < before)
-    columns = [c for c in rows.columns if c not in ("batch", "path")]
-    latest = rows.groupBy("path").agg(F.max_by(F.struct(*columns), "batch").alias("r"))
-    return latest.select("path", "r.*")
+    return C.read_results(spark, cache_path)
 
 
 def rolling_metric(
