@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightframes.operators import catalog as C
@@ -100,3 +105,17 @@ def test_hashes_depend_on_order_and_span_blocks(spark):
     swapped = [("c", i, *(("K1", "1") if i == 599 else ("K599", "599") if i == 1 else (f"K{i}", str(i)))) for i in range(600)]
     got = {r["frame_id"]: r["sha256"] for r in C.header_hash(spark.createDataFrame(rows + swapped, schema)).collect()}
     assert got["a"] == got["b"] != got["c"]
+
+
+def test_pixel_hash_is_over_stored_bytes(spark, frame):
+    ramp = np.arange(12.0).reshape(3, 4)
+    cases = {1: ("I16", ">i2"), 2: ("U8", ">u1"), 3: ("F32", ">f4"), 4: ("F64", ">f8"), 5: ("I32", ">i4")}
+    lines = [frame(ramp.tolist(), sample_type=kind, frame_id=k) for k, (kind, _) in cases.items()]
+    df = reduce(DataFrame.unionByName, lines)
+    got = {r["frame_id"]: r["sha256"] for r in C.pixel_hash(df.orderBy(F.desc("y"))).collect()}
+    for k, (_, stored) in cases.items():
+        digests = "".join(hashlib.sha256(row.astype(stored).tobytes()).hexdigest() for row in ramp)
+        block = hashlib.sha256(digests.encode()).hexdigest()
+        assert got[k] == hashlib.sha256(block.encode()).hexdigest()
+    plan = C.pixel_hash(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(lambda" not in plan
