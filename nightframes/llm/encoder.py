@@ -15,7 +15,6 @@ import json
 import os
 import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
 
@@ -40,6 +39,19 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class KnownWords(dict):
+    """Ids of words met so far; a word that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,8 +59,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.width = np.dtype(self.dtype).itemsize
-        self.known: dict[bytes, bytes] = {}
+        self.known = KnownWords(self.word)
         self.pattern = self.plain_steps(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for b, c in byte_letters().items()}
@@ -81,22 +92,14 @@ class WordEncoder:
             parts = ["".join([self.letters[b] for b in p.encode()]) for p in self.pattern.findall(text)]
         return [t.id for p in parts for t in self.model.tokenize(p)]
 
+    def word(self, word: bytes) -> bytes:
+        """Ids of one word as bytes of ``dtype``."""
+        ids = self.plain(word) if self.pattern else None
+        if ids is None:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return np.array(ids, self.dtype).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
-        parted = [t.split() for t in texts]
-        new = set(chain.from_iterable(parted)).difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = set(chain.from_iterable(parted))
-        late = []
-        for word in new:
-            ids = self.plain(word) if self.pattern else None
-            if ids is None:
-                late.append(word)
-            else:
-                self.known[word] = b"".join([i.to_bytes(self.width, "little") for i in ids])
-        if late:
-            for word, x in zip(late, self.tokenizer.encode_batch([w.decode() for w in late], add_special_tokens=False)):
-                self.known[word] = np.array(x.ids, self.dtype).tobytes()
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in parted]
+        return [b"".join(map(get, t.split())) for t in texts]
