@@ -14,7 +14,7 @@ from nightframes.operators import incremental as N
 from nightframes.session import staged
 
 # Buckets of a new cache; versions of a bucket beyond which it is put together.
-BUCKETS = 256
+BUCKETS = 64
 MOST_VERSIONS = 8
 
 

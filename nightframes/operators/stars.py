@@ -3,7 +3,7 @@
 The unit of work is a run: a stretch of neighbouring pixels above the threshold in one
 scanline. Runs are few next to pixels, carry their own sums, and are joined into
 components in two steps: inside bands of scanlines (bounded groups), then across bands
-by smallest-label rounds over the band components that touch.
+by contracting the graph of the band components that touch.
 """
 
 from __future__ import annotations
@@ -230,7 +230,9 @@ def label_runs(runs: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
 def _merge_parts(parts: DataFrame, band_rows: int) -> DataFrame | None:
     """Final labels of band components that touch another band's, or None if none does.
 
-    Runs on both sides of a band edge meet on 64-pixel cells of x, at most 33 runs each,
+    Components are contracted: in each round nodes move together and the edges inside go, so
+    edges shrink by a share every time and a long snake ends in rounds as the logarithm of its
+    length. Runs on both sides of a band edge meet on 64-pixel cells of x, at most 33 runs each,
     so a busy scanline never compares all its runs with all of the next one.
     """
     y, x0, x1 = F.col("y"), F.col("x0"), F.col("x1")
@@ -258,37 +260,44 @@ def _merge_parts(parts: DataFrame, band_rows: int) -> DataFrame | None:
     )
     if edges.isEmpty():
         return None
-    both = edges.unionByName(edges.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    # Every part starts with the smallest of itself and its neighbours; a round takes the
-    # neighbours' labels and then follows the label's own label, which halves the distance.
-    labels = staged(
-        both.groupBy("frame_id", "a")
-        .agg(F.min("b").alias("low"))
-        .select("frame_id", F.col("a").alias("part"), F.least("a", "low").alias("label")),
-        "labels",
-    )
-    while True:
-        heard = (
-            both.join(labels.withColumnRenamed("part", "b"), ["frame_id", "b"])
-            .groupBy("frame_id", F.col("a").alias("part"))
-            .agg(F.min("label").alias("heard"))
+    steps = []
+    while not edges.isEmpty():
+        moved = staged(_hooked(edges, len(steps)), "moved")
+        steps.append(moved)
+        ends = {c: moved.select("frame_id", F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")}
+        edges = staged(
+            edges.join(ends["a"], ["frame_id", "a"])
+            .join(ends["b"], ["frame_id", "b"])
+            .filter(F.col("a_to") != F.col("b_to"))
+            .select("frame_id", F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+            .distinct(),
+            "edges",
         )
-        stepped = labels.join(heard, ["frame_id", "part"]).select(
-            "frame_id", "part", "label", F.least("label", "heard").alias("next")
-        )
-        jump = labels.select("frame_id", F.col("part").alias("next"), F.col("label").alias("far"))
-        after = staged(
-            stepped.join(jump, ["frame_id", "next"]).select(
-                "frame_id",
-                "part",
-                F.least("next", "far").alias("label"),
-                (F.least("next", "far") != F.col("label")).alias("moved"),
-            ),
-            "labels",
-        )
-        if after.filter("moved").isEmpty():
-            return after.select("frame_id", "part", "label")
-        labels = after.select("frame_id", "part", "label")
+    # from the last round, with the fewest nodes, back to the first
+    found = steps.pop()
+    while steps:
+        later = found.select("frame_id", F.col("node").alias("to"), F.col("to").alias("last"))
+        found = steps.pop().join(later, ["frame_id", "to"], "left")
+        found = staged(found.select("frame_id", "node", F.coalesce("last", "to").alias("to")), "found")
+    least = found.groupBy("frame_id", "to").agg(F.min("node").alias("label"))
+    return found.join(least, ["frame_id", "to"]).select("frame_id", F.col("node").alias("part"), "label")
+
+
+def _hooked(edges: DataFrame, turn: int) -> DataFrame:
+    """``frame_id, node, to``: every node moves to the first of itself and its neighbours, and on to that one's first.
+
+    Which node is first is drawn anew each turn, so that a chain of any numbering loses more
+    than half its nodes, and edges inside what moves together are dropped with them.
+    """
+    both = edges.unionByName(edges.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def drawn(c: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(turn), c).alias("draw"), F.col(c).alias("node"))
+
+    first = both.groupBy("frame_id", "a").agg(F.min(drawn("b")).alias("near"))
+    hooks = first.select("frame_id", F.col("a").alias("node"), F.least(drawn("a"), "near")["node"].alias("to"))
+    onward = hooks.select("frame_id", F.col("node").alias("to"), F.col("to").alias("far"))
+    return hooks.join(onward, ["frame_id", "to"]).select("frame_id", "node", F.col("far").alias("to"))
 
 
 # --- stars --------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 from collections import deque
 from functools import reduce
 
@@ -180,3 +181,21 @@ def test_float_planes_use_counted_background(spark, frame):
     got = D.plane_background(rows).first()
     assert tuple(got) == pytest.approx(tuple(want))
     assert D.find_stars(rows, staged(D.plane_background(rows), "bg")).agg(F.count("*")).first()[0] == 1
+
+
+@pytest.mark.parametrize("columns", [3, 24])
+def test_a_long_snake_ends_in_few_rounds(spark, monkeypatch, columns):
+    """One line of pixels up and down all bands: a chain of band components, one component in the end."""
+    rows, band = 64, 4
+    lit = {(y, 2 * c) for c in range(columns) for y in range(rows)}
+    lit |= {((rows - 1) * (c % 2 == 0), 2 * c + 1) for c in range(columns - 1)}
+    runs = [(1, y, x, x) for y, x in sorted(lit)] + [(2, y, 0, 0) for y in range(0, rows, 2)]
+    df = spark.createDataFrame(runs, "frame_id bigint, y int, x0 int, x1 int")
+    rounds = []
+    plain = D.staged
+    monkeypatch.setattr(D, "staged", lambda df, name: (rounds.append(name), plain(df, name))[1])
+    found = D.label_runs(df, band_rows=band).collect()
+    assert len({r["label"] for r in found if r["frame_id"] == 1}) == 1
+    assert {r["label"] for r in found if r["frame_id"] == 1} == {0}
+    assert len({r["label"] for r in found if r["frame_id"] == 2}) == rows // 2
+    assert rounds.count("moved") <= math.log2(columns * rows / band) + 2
