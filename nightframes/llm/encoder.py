@@ -20,6 +20,8 @@ import numpy as np
 
 # Words a worker keeps, about 110 MB; the store starts anew beyond that, which changes no result.
 KEPT_WORDS = 600_000
+# Pre-tokens kept likewise: words that differ in case or punctuation share them.
+KEPT_PARTS = 300_000
 # Below this character lower case is one character for one, whatever stands around it.
 PLAIN_LIMIT = "İ"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -39,16 +41,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class KnownWords(dict):
-    """Ids of words met so far; a word that is not there yet is encoded when it is asked for."""
+class Known(dict):
+    """Ids of words or pre-tokens met so far; what is not there yet is encoded when it is asked for."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int):
+        self.encode, self.most = encode, most
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= KEPT_WORDS:
+    def __missing__(self, key):
+        if len(self) >= self.most:
             self.clear()
-        self[word] = ids = self.encode(word)
+        self[key] = ids = self.encode(key)
         return ids
 
 
@@ -59,7 +61,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
-        self.known = KnownWords(self.word)
+        self.width = np.dtype(self.dtype).itemsize
+        self.known = Known(self.word, KEPT_WORDS)
+        self.parts = Known(self.part, KEPT_PARTS)
         self.pattern = self.plain_steps(path)
         self.model = self.tokenizer.model
         self.letters = {b: c for b, c in byte_letters().items()}
@@ -79,25 +83,31 @@ class WordEncoder:
         known = known and all(t["content"].startswith("<|") for t in spec["added_tokens"])
         return regex.compile(split[0]["pattern"]["Regex"]) if known else None
 
-    def plain(self, word: bytes) -> list[int] | None:
+    def part(self, part: str) -> bytes:
+        """Ids of one pre-token, in the letters of the byte-level vocabulary."""
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(part)])
+
+    def plain(self, word: bytes) -> bytes | None:
         """Ids of a word by its pre-tokens, or None where that might differ from the whole way."""
         if b"<|" in word:
             return None
         text = word.decode().lower()
+        if word.isalpha():  # ASCII letters only: one pre-token
+            return self.parts[text]
         if self.ascii.fullmatch(word):
             parts = self.pattern.findall(text)
         else:
             if max(text) >= PLAIN_LIMIT or min(text) < "!" or not unicodedata.is_normalized("NFC", text):
                 return None
             parts = ["".join([self.letters[b] for b in p.encode()]) for p in self.pattern.findall(text)]
-        return [t.id for p in parts for t in self.model.tokenize(p)]
+        return b"".join([self.parts[p] for p in parts])
 
     def word(self, word: bytes) -> bytes:
         """Ids of one word as bytes of ``dtype``."""
         ids = self.plain(word) if self.pattern else None
         if ids is None:
-            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
+        return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as bytes of ``dtype``."""
