@@ -9,10 +9,13 @@ boundary lies follows from the cost of either way on the table at hand.
 How common a shingle is comes from a count sketch of fixed size over all documents. It only
 sets the order, so its errors cost time and lose nothing.
 
-Members of a list are first compared with the list's first member. What is linked then is one
-component, and only pairs of a list that lie in different components are looked at further,
-in blocks, through size and a parity bitmap that never rejects a link. All pairs that remain
-are decided on the whole sets.
+Members of a list are first compared with the list's first member: of the first members that
+size and a parity bitmap allow (neither rejects a link), each document tries the closest. What
+is linked then is one component. Lists that still hold several components are searched in pairs
+of blocks for members that may link across components; they are handed on as the edges that
+join them into clusters, never as all pairs. Each such document then sends its whole set to its
+cluster once (in pairs of blocks, where a cluster is large), where all pairs across components
+are decided, and a spanning forest of the links comes out.
 """
 
 from __future__ import annotations
@@ -39,8 +42,14 @@ FILTER_BITS = 1 << 26
 FILTER_BLOCK = 1 << 16
 # Subsets of one set up to which enumerating them is considered at all.
 MOST_SUBSETS = 600
-# Members of a list that are compared within one task.
+# Members of a list, and shingles of a cluster, that make one block.
 BLOCK = 4096
+BLOCK_GRAMS = 1 << 21
+# Keys of lists, and members of lists with several components, in one bucket.
+BUCKET_KEYS = 1 << 20
+BUCKET_MEMBERS = 1 << 17
+# Slices over which the rows of one component are spread.
+SLICES = 16
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,21 +280,29 @@ def set_rows(width: int):
     return sets
 
 
-def close_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) that size and bitmap allow to link."""
+def may_link(n, other_n, bitmap, other_bitmap, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether size and bitmap allow a link, and in how many bits they differ."""
+    differ = np.bitwise_count(bitmap ^ other_bitmap).sum(axis=1, dtype=np.int64)
+    fits = 100 * np.minimum(n, other_n) >= percent * np.maximum(n, other_n)
+    return fits & (differ * (100 + percent) <= (n + other_n) * (100 - percent)), differ
+
+
+def closest_leads(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """For each node b the one a, of those it may link with, whose bitmap is closest."""
 
     def allowed(batches):
         for batch in batches:
-            n = np.asarray(batch.column("a_n"), np.int64) + np.asarray(batch.column("b_n"), np.int64)
+            a_n, b_n = (np.asarray(batch.column(c), np.int64) for c in ("a_n", "b_n"))
             x, y = (unpacked(batch.column(c), np.uint8)[0].reshape(-1, BITS // 8) for c in ("a_bitmap", "b_bitmap"))
-            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep = differ * (100 + percent) <= n * (100 - percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep, differ = may_link(a_n, b_n, x, y, percent)
+            out = batch.select(["a", "b"]).append_column("differ", pa.array(differ))
+            yield out.filter(pa.array(keep))
 
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bitmap").alias("a_bitmap"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("bitmap").alias("b_bitmap"))
-    joined = pairs.distinct().join(a, "a").join(b, "b")
-    return joined.select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap").mapInArrow(allowed, "a bigint, b bigint")
+    joined = pairs.distinct().join(a, "a").join(b, "b").select("a", "b", "a_n", "b_n", "a_bitmap", "b_bitmap")
+    found = joined.mapInArrow(allowed, "a bigint, b bigint, differ bigint")
+    return found.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
 
 
 def bit_rows(batches):
@@ -323,71 +340,204 @@ def marked_texts(known: DataFrame, needed: DataFrame) -> DataFrame:
     return known.select("id", "mark", "text").mapInArrow(kept, "id bigint, mark bigint, text string")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, known: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """The links among candidate pairs; only the texts that occur in a pair are looked up."""
-    pairs = staged(close_pairs(pairs, nodes, percent), f"{name}-pairs")
+def whole_sets(needed: DataFrame, known: DataFrame, width: int, name: str) -> DataFrame:
+    """(node, grams) of the nodes of ``needed`` (node, id, mark); only their texts are looked up."""
+    texts = marked_texts(known, needed).join(needed.select("node", "id", "mark"), ["id", "mark"])
+    texts = texts.dropDuplicates(["id", "mark"]).select("node", "text")
+    return staged(texts.mapInArrow(set_rows(width), "node bigint, grams binary"), name)
+
+
+def lead_links(lists: DataFrame, nodes: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links of documents with the closest first member of their lists."""
+    first = lists.filter("lead >= 0").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    pairs = staged(closest_leads(first, nodes, percent), "lead-pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = staged(needed.join(nodes.select("node", "id", "mark"), "node"), f"{name}-needed")
-    texts = marked_texts(known, needed).join(needed, ["id", "mark"]).dropDuplicates(["id", "mark"])
-    sets = staged(texts.select("node", "text").mapInArrow(set_rows(width), "node bigint, grams binary"), f"{name}-sets")
+    needed = staged(needed.join(nodes.select("node", "id", "mark"), "node"), "lead-needed")
+    sets = whole_sets(needed, known, width, "lead-sets")
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_set"))
     b = sets.select(F.col("node").alias("b"), F.col("grams").alias("b_set"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set")
-    return staged(both.mapInArrow(decided(percent), "a bigint, b bigint"), f"{name}-links")
+    return staged(both.mapInArrow(decided(percent), "a bigint, b bigint"), "lead-links")
 
 
-def cross_pairs(percent: int):
-    """Pairs of one list block that lie in different components and may link."""
+def block_pairs(members: DataFrame, group: str, weight, limit: int) -> DataFrame:
+    """Members (node, root, ...) of groups with several roots, dealt to pairs of blocks (first, second).
 
-    def pairs(group: pa.Table) -> pa.Table:
-        columns = ("list", "block", "node", "n", "root", "probe")
-        listed, block, node, n, root, probe = (np.asarray(group.column(c), np.int64) for c in columns)
-        bitmap = unpacked(group.column("bitmap"), np.uint8)[0].reshape(-1, BITS // 8)
-        order = np.lexsort((probe, block, listed))
-        cut = runs(listed[order], block[order])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at, size in zip(cut.tolist(), lengths(cut, len(order)).tolist()):
-            own = order[at : at + size]
-            base, asks = own[probe[own] == 0], own[probe[own] == 1]
-            for i in asks.tolist():
-                fits = base[
-                    (root[base] != root[i])
-                    & (100 * np.minimum(n[base], n[i]) >= percent * np.maximum(n[base], n[i]))
-                ]
-                differ = np.bitwise_count(bitmap[fits] ^ bitmap[i]).sum(axis=1, dtype=np.int64)
-                fits = fits[differ * (100 + percent) <= (n[fits] + n[i]) * (100 - percent)]
-                left.append(np.minimum(node[fits], node[i]))
-                right.append(np.maximum(node[fits], node[i]))
-        a, b = np.concatenate(left), np.concatenate(right)
-        order = np.lexsort((b, a))
-        once = runs(a[order], b[order])
-        return pa.table({"a": pa.array(a[order][once]), "b": pa.array(b[order][once])})
-
-    return pairs
-
-
-def remaining_pairs(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Candidate pairs of lists whose members are still in several components.
-
-    Long lists are cut into blocks. All members lie in one block each; those outside the
-    list's largest component also visit every block.
+    Any two members of different roots meet in a pair of blocks. A group up to ``limit`` is one
+    block. In a larger one the members of its largest root have blocks of their own and meet only
+    the others.
     """
+    parts = members.groupBy(group, "root").agg(F.sum(weight).alias("weight"))
+    split = parts.groupBy(group).agg(
+        F.max_by("root", "weight").alias("main"), F.count("*").alias("roots"),
+        F.sum("weight").alias("weight"), F.max("weight").alias("main_weight"),
+    ).filter("roots > 1")
+    whole, one, none = F.col("weight") <= limit, F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    split = split.select(
+        group,
+        "main",
+        F.when(whole, one).otherwise(F.ceil((F.col("weight") - F.col("main_weight")) / limit)).alias("others"),
+        F.when(whole, none).otherwise(F.ceil(F.col("main_weight") / limit)).alias("mains"),
+    )
+    own, is_main = F.xxhash64("node"), (F.col("root") == F.col("main")) & (F.col("mains") > 0)
+    block = F.when(is_main, F.col("others") + F.pmod(own, F.greatest("mains", one))).otherwise(F.pmod(own, "others"))
+    meets = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains"))
+    dealt = members.join(split, group).withColumn("block", block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(none, meets - 1)))
+    return dealt.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+
+
+def blocks_of(group: pa.Table, name: str):
+    """For each pair of blocks: its rows, and those of the first and of the second block."""
+    listed, first, second, block = (np.asarray(group.column(c), np.int64) for c in (name, "first", "second", "block"))
+    order = np.lexsort((second, first, listed))
+    cut = runs(listed[order], first[order], second[order])
+    for at, size in zip(cut.tolist(), lengths(cut, len(order)).tolist()):
+        own = order[at : at + size]
+        own = own[np.argsort(block[own], kind="stable")]
+        asks = np.flatnonzero(block[own] == first[own[0]])
+        base = asks if first[own[0]] == second[own[0]] else np.flatnonzero(block[own] == second[own[0]])
+        yield own, asks, base
+
+
+def merged(part: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Make one part of those of ``i`` and ``others``; one of others for each part that was not yet that of i."""
+    parts, at = np.unique(part[others], return_index=True)
+    new = parts != part[i]
+    part[np.isin(part, parts[new])] = part[i]
+    return others[at[new]]
+
+
+def forest(a: list[int], b: list[int], root_of: dict[int, int]) -> list[int]:
+    """The places of edges that join something not yet joined by roots or the edges before them."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.get(x, x) != x:
+            up[x] = x = up.get(up[x], up[x])
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a, b)):
+        x, y = top(root_of[x]), top(root_of[y])
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    return kept
+
+
+def open_edges(percent: int):
+    """Members that may link with one of another component of their list, and edges that join all such.
+
+    A row (a, b) is an edge; where a member is on none it comes with itself. There are at most
+    as many edges as members.
+    """
+
+    def edges(group: pa.Table) -> pa.Table:
+        node, n, root = (np.asarray(group.column(c), np.int64) for c in ("node", "n", "root"))
+        bitmap = unpacked(group.column("bitmap"), np.uint8)[0].reshape(-1, BITS // 8)
+        met, left, right = np.zeros(len(node), bool), [], []
+        for own, asks, base in blocks_of(group, "list"):
+            own_n, own_root, own_bits, within = n[own], root[own], bitmap[own], asks is base
+            part = np.unique(own_root, return_inverse=True)[1]
+            for k, i in enumerate(asks.tolist()):
+                rest = base[k + 1 :] if within else base
+                rest = rest[own_root[rest] != own_root[i]]
+                fits = rest[may_link(own_n[rest], own_n[i], own_bits[rest], own_bits[i], percent)[0]]
+                if len(fits):
+                    met[own[i]] = True
+                    met[own[fits]] = True
+                    for j in merged(part, i, fits).tolist():
+                        left.append(int(node[own[i]]))
+                        right.append(int(node[own[j]]))
+        some = np.unique(node[met])
+        kept = forest(left, right, dict(zip(node[met].tolist(), root[met].tolist())))
+        left, right = [left[k] for k in kept], [right[k] for k in kept]
+        alone = np.setdiff1d(some, np.array(left + right, np.int64)).tolist()
+        return pa.table({"a": pa.array(left + alone, pa.int64()), "b": pa.array(right + alone, pa.int64())})
+
+    return edges
+
+
+def open_members(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b): documents that may link across components, and what joins them into clusters."""
     rooted = lists.select("list", "node").join(labels, "node", "left")
     rooted = rooted.select("list", "node", F.coalesce("root", "node").alias("root"))
-    parts = rooted.groupBy("list", "root").agg(F.count("*").alias("many"))
-    split = parts.groupBy("list").agg(
-        F.max_by("root", "many").alias("main"), F.count("*").alias("roots"), F.sum("many").alias("many")
-    )
-    split = split.filter("roots > 1").select("list", "main", F.ceil(F.col("many") / BLOCK).alias("blocks"))
-    open_ = rooted.join(split, "list").join(nodes.select("node", "n", "bitmap"), "node")
-    base = open_.withColumns({"block": F.pmod(F.xxhash64("node"), "blocks"), "probe": F.lit(0).cast("bigint")})
-    probe = open_.filter("root <> main").withColumns(
-        {"block": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)), "probe": F.lit(1).cast("bigint")}
-    )
-    columns = ["list", "block", "node", "n", "root", "probe", "bitmap"]
-    dealt = base.select(*columns).union(probe.select(*columns))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("list", "block"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(cross_pairs(percent), "a bigint, b bigint")
+    dealt = block_pairs(rooted, "list", F.lit(1), BLOCK).join(nodes.select("node", "n", "bitmap"), "node")
+    buckets = buckets_for(lists.sparkSession, lists.count(), BUCKET_MEMBERS)
+    bucket = F.pmod(F.xxhash64("list", "first", "second"), F.lit(buckets)).alias("bucket")
+    dealt = dealt.select("list", "first", "second", "block", "node", "n", "root", "bitmap", bucket)
+    return dealt.groupBy("bucket").applyInArrow(open_edges(percent), "a bigint, b bigint").distinct()
+
+
+def spanning_links(percent: int):
+    """Decides all pairs of a cluster's blocks that lie in different components; links that join these."""
+
+    def links(group: pa.Table) -> pa.Table:
+        node, n, root = (np.asarray(group.column(c), np.int64) for c in ("node", "n", "root"))
+        bitmap = unpacked(group.column("bitmap"), np.uint8)[0].reshape(-1, BITS // 8)
+        grams, many = unpacked(group.column("grams"), np.uint64)
+        begin = np.cumsum(many) - many
+        left, right = [], []
+        for own, asks, base in blocks_of(group, "cluster"):
+            own_n, own_bits, within = n[own], bitmap[own], asks is base
+            nth, step = ranges(own_n)
+            named = np.unique(grams[begin[own][nth] + step], return_inverse=True)[1]
+            start = np.cumsum(own_n) - own_n
+            here = np.zeros(len(named), bool)
+            part = np.unique(root[own], return_inverse=True)[1]
+            for k, i in enumerate(asks.tolist()):
+                rest = base[k + 1 :] if within else base
+                rest = rest[part[rest] != part[i]]
+                rest = rest[may_link(own_n[rest], own_n[i], own_bits[rest], own_bits[i], percent)[0]]
+                if not len(rest):
+                    continue
+                mine = named[start[i] : start[i] + own_n[i]]
+                here[mine] = True
+                nth, step = ranges(own_n[rest])
+                shared = np.bincount(nth, weights=here[named[start[rest][nth] + step]], minlength=len(rest)).astype(np.int64)
+                here[mine] = False
+                linked = rest[100 * shared >= percent * (own_n[i] + own_n[rest] - shared)]
+                for j in merged(part, i, linked).tolist():
+                    left.append(int(node[own[i]]))
+                    right.append(int(node[own[j]]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return links
+
+
+def cross_links(
+    lists: DataFrame, nodes: DataFrame, labels: DataFrame, known: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Links across the components of ``labels`` that join them as all links would."""
+    edges = staged(open_members(lists, nodes, labels, percent), "open")
+    for_a, for_b = (labels.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    joins = edges.filter("a <> b").join(for_a, "a", "left").join(for_b, "b", "left")
+    joins = joins.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).distinct()
+    clusters = staged(roots(joins, "clusters").withColumnRenamed("root", "cluster"), "clusters")
+    needed = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(labels, "node", "left")
+    needed = needed.select("node", F.coalesce("root", "node").alias("root"))
+    needed = needed.join(clusters.select(F.col("node").alias("root"), "cluster"), "root")
+    needed = staged(needed.join(nodes.select("node", "id", "mark", "n", "bitmap"), "node"), "open-needed")
+    sets = whole_sets(needed, known, width, "open-sets")
+    total = needed.agg(F.sum("n")).first()[0] or 0
+    buckets = buckets_for(lists.sparkSession, total, BLOCK_GRAMS)
+    dealt = block_pairs(needed.drop("id", "mark"), "cluster", F.col("n"), BLOCK_GRAMS).join(sets, "node")
+    bucket = F.pmod(F.xxhash64("cluster", "first", "second"), F.lit(buckets)).alias("bucket")
+    dealt = dealt.select("cluster", "first", "second", "block", "node", "n", "root", "bitmap", "grams", bucket)
+    return staged(dealt.groupBy("bucket").applyInArrow(spanning_links(percent), "a bigint, b bigint"), "open-links")
+
+
+def buckets_for(spark, items: int, each: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // each))
+
+
+def key_count(nodes: DataFrame, percent: int, light: int) -> int:
+    """How many keys all nodes send to lists."""
+    subsets = F.array(*[F.lit(subset_count(n, percent) if n else 0) for n in range(light + 1)])
+    listed = F.when(F.col("n") >= least_overlap(light + 1, percent), F.octet_length("keys") / 8).otherwise(0)
+    small = F.when(F.col("n") <= light, F.get(subsets, F.col("n").cast("int"))).otherwise(0)
+    return int(nodes.agg(F.sum(listed + small)).first()[0] or 0)
 
 
 def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -414,17 +564,15 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     group = full.groupBy("high", "low", "n")
     nodes = staged(group.agg(F.min(F.struct("node", "id", "mark", "keys", "small", "bitmap")).alias("x"))
                    .select("high", "low", "n", "x.*"), "nodes")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_for(spark, key_count(nodes, percent, light), BUCKET_KEYS)
     packed = nodes.select("node", "n", "keys", "small").mapInArrow(
         list_rows(percent, light, buckets), "bucket bigint, keys binary, nodes binary, sizes binary, counts binary"
     )
     lists = packed.groupBy("bucket").applyInArrow(shared_lists(percent), "list bigint, node bigint, lead bigint")
     lists = staged(lists, "lists")
-    first = lists.filter("lead >= 0").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    links = verified(first, nodes, known, width, percent, "lead")
+    links = lead_links(lists, nodes, known, width, percent)
     labels = staged(roots(links, "stars"), "labels")
-    more = remaining_pairs(lists, nodes, labels, percent, buckets)
-    links = links.union(verified(more, nodes, known, width, percent, "cross"))
+    links = links.union(cross_links(lists, nodes, labels, known, width, percent))
     labels = staged(roots(links, "stars"), "labels")
     placed = signed.select("id", "mark", "n", "high", "low", F.col("node").alias("own")).join(
         nodes.select("high", "low", "n", "node"), ["high", "low", "n"], "left"
@@ -433,12 +581,16 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
         "id", "mark", "n", F.coalesce("root", "node", "own").alias("root")
     )
     placed = staged(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("id").alias("component"))
-    return placed.join(least, "root").select(
+    # only roots of several rows are joined; a large one is spread over slices
+    least = placed.groupBy("root").agg(F.min("id").alias("component"), F.count("*").alias("rows")).filter("rows > 1")
+    least = least.select("root", "component", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    sliced = placed.withColumn("slice", F.pmod(F.xxhash64("id", "mark"), F.lit(SLICES)).cast("int"))
+    component = F.coalesce("component", "id")
+    return sliced.join(least, ["root", "slice"], "left").select(
         F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
         "mark",
         F.col("n").alias("n_shingles"),
-        F.nullif("component", F.lit(NO_ID)).alias("component_id"),
+        F.nullif(component, F.lit(NO_ID)).alias("component_id"),
     )
 
 
