@@ -35,7 +35,8 @@ from nightframes.llm.tables import NO_ID, binary_column, identified, staged, unp
 
 SKETCH = 1 << 21
 SKETCH_BLOCK = 1 << 16
-BITS = 512
+# Bits of the smallest and the largest bitmap; between them it has at least two for each shingle.
+BITS, MOST_BITS = 512, 1 << 24
 # Bits of the filter for texts to look up, 8 MB whatever the size of the table, and bytes of
 # a block of it.
 FILTER_BITS = 1 << 26
@@ -47,7 +48,7 @@ BLOCK = 4096
 BLOCK_GRAMS = 1 << 21
 # Keys of lists, and members of lists with several components, in one bucket.
 BUCKET_KEYS = 1 << 20
-BUCKET_MEMBERS = 1 << 17
+BUCKET_MEMBERS = 1 << 16
 # Slices over which the rows of one component are spread.
 SLICES = 16
 
@@ -115,6 +116,11 @@ def subset_count(n: int, percent: int) -> int:
     return sum(comb(n, k) for k in range(n - least_overlap(n, percent) + 1))
 
 
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    """Powers of two that grow with the sets, so that bitmaps of long texts tell them apart as well."""
+    return np.int64(1) << np.ceil(np.log2(np.clip(2 * n, BITS, MOST_BITS))).astype(np.int64)
+
+
 SIGNATURE = "id bigint, mark bigint, n bigint, high bigint, low bigint, keys binary, small binary, bitmap binary, cost double"
 
 
@@ -134,8 +140,9 @@ def signature_rows(width: int, percent: int, ranks, most_small: int):
                 nth, step = ranges(listed)
                 picked = order[first[nth] + step]
                 cost = np.bincount(nth, weights=2.0 ** (rank[picked] / 8.0), minlength=len(n)).astype(np.float64)
-                bits = np.bincount(text * BITS + (grams >> np.uint64(40)).astype(np.int64) % BITS, minlength=len(n) * BITS)
-                packed = np.packbits((bits & 1).astype(np.uint8).reshape(-1, BITS), axis=1)
+                wide = bitmap_bits(n)
+                spot = np.repeat(np.cumsum(wide) - wide, n) + ((grams >> np.uint64(40)).astype(np.int64) & (wide[text] - 1))
+                packed = np.packbits((np.bincount(spot, minlength=wide.sum()) & 1).astype(np.uint8))
                 whole = np.where(n <= most_small, n, 0)
                 s_nth, s_step = ranges(whole)
                 prefix = np.append(np.uint64(0), np.cumsum(mix(grams)))
@@ -150,7 +157,7 @@ def signature_rows(width: int, percent: int, ranks, most_small: int):
                         pa.array((second[stop] - second[first]).view(np.int64)),
                         binary_column(grams[picked], listed),
                         binary_column(grams[first[s_nth] + s_step], whole),
-                        binary_column(packed.reshape(-1), np.full(len(n), BITS // 8)),
+                        binary_column(packed, wide // 8),
                         pa.array(cost),
                     ],
                     ["id", "mark", "n", "high", "low", "keys", "small", "bitmap", "cost"],
@@ -280,11 +287,45 @@ def set_rows(width: int):
     return sets
 
 
-def may_link(n, other_n, bitmap, other_bitmap, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether size and bitmap allow a link, and in how many bits they differ."""
-    differ = np.bitwise_count(bitmap ^ other_bitmap).sum(axis=1, dtype=np.int64)
-    fits = 100 * np.minimum(n, other_n) >= percent * np.maximum(n, other_n)
-    return fits & (differ * (100 + percent) <= (n + other_n) * (100 - percent)), differ
+class Bitmaps:
+    """Bitmaps of different sizes; the larger of two is folded to the size of the smaller."""
+
+    def __init__(self, column):
+        self.words, self.size = unpacked(column, np.uint64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def folded(self, which: np.ndarray, size: int, to: int) -> np.ndarray:
+        rows = self.words[self.at[which][:, None] + np.arange(size)]
+        return np.bitwise_xor.reduce(rows.reshape(len(which), size // to, to), axis=1)
+
+    def differ(self, own: np.ndarray, other: "Bitmaps", which: np.ndarray) -> np.ndarray:
+        """In how many bits own[k] of these and which[k] of the other bitmaps differ."""
+        x, y = self.size[own], other.size[which]
+        out = np.zeros(len(own), np.int64)
+        for kind in np.unique((x << 32) | y).tolist():
+            a, b = kind >> 32, kind & (2**32 - 1)
+            rows = np.flatnonzero((x == a) & (y == b))
+            apart = self.folded(own[rows], a, min(a, b)) ^ other.folded(which[rows], b, min(a, b))
+            out[rows] = np.bitwise_count(apart).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def size_fits(n, other_n, percent: int):
+    return 100 * np.minimum(n, other_n) >= percent * np.maximum(n, other_n)
+
+
+def bits_fit(differ, n, percent: int):
+    """Whether sets of ``n`` shingles together may link if their bitmaps differ in so many bits."""
+    return differ * (100 + percent) <= n * (100 - percent)
+
+
+def possible(bits: Bitmaps, n: np.ndarray, own: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the places ``others`` in ``own`` may link with place ``i`` by size and bitmap."""
+    fits = size_fits(n[own[others]], n[own[i]], percent)
+    near = own[others[fits]]
+    differ = bits.differ(np.full(len(near), own[i]), bits, near)
+    fits[fits] = bits_fit(differ, n[near] + n[own[i]], percent)
+    return fits
 
 
 def closest_leads(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -293,9 +334,10 @@ def closest_leads(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     def allowed(batches):
         for batch in batches:
             a_n, b_n = (np.asarray(batch.column(c), np.int64) for c in ("a_n", "b_n"))
-            x, y = (unpacked(batch.column(c), np.uint8)[0].reshape(-1, BITS // 8) for c in ("a_bitmap", "b_bitmap"))
-            keep, differ = may_link(a_n, b_n, x, y, percent)
-            out = batch.select(["a", "b"]).append_column("differ", pa.array(differ))
+            every = np.arange(len(a_n))
+            differ = Bitmaps(batch.column("a_bitmap")).differ(every, Bitmaps(batch.column("b_bitmap")), every)
+            keep = size_fits(a_n, b_n, percent) & bits_fit(differ, a_n + b_n, percent)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differ)], ["a", "b", "differ"])
             yield out.filter(pa.array(keep))
 
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bitmap").alias("a_bitmap"))
@@ -435,15 +477,15 @@ def open_edges(percent: int):
 
     def edges(group: pa.Table) -> pa.Table:
         node, n, root = (np.asarray(group.column(c), np.int64) for c in ("node", "n", "root"))
-        bitmap = unpacked(group.column("bitmap"), np.uint8)[0].reshape(-1, BITS // 8)
+        bits = Bitmaps(group.column("bitmap"))
         met, left, right = np.zeros(len(node), bool), [], []
         for own, asks, base in blocks_of(group, "list"):
-            own_n, own_root, own_bits, within = n[own], root[own], bitmap[own], asks is base
+            own_root, within = root[own], asks is base
             part = np.unique(own_root, return_inverse=True)[1]
             for k, i in enumerate(asks.tolist()):
                 rest = base[k + 1 :] if within else base
                 rest = rest[own_root[rest] != own_root[i]]
-                fits = rest[may_link(own_n[rest], own_n[i], own_bits[rest], own_bits[i], percent)[0]]
+                fits = rest[possible(bits, n, own, i, rest, percent)]
                 if len(fits):
                     met[own[i]] = True
                     met[own[fits]] = True
@@ -461,9 +503,11 @@ def open_edges(percent: int):
 
 def open_members(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(a, b): documents that may link across components, and what joins them into clusters."""
-    rooted = lists.select("list", "node").join(labels, "node", "left")
-    rooted = rooted.select("list", "node", F.coalesce("root", "node").alias("root"))
-    dealt = block_pairs(rooted, "list", F.lit(1), BLOCK).join(nodes.select("node", "n", "bitmap"), "node")
+    placed = nodes.select("node", "n").join(labels, "node", "left")
+    placed = placed.select("node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = lists.select("list", "node").join(placed, "node")
+    # a bitmap grows with its set
+    dealt = block_pairs(rooted, "list", F.expr("1 + n div 1024"), BLOCK).join(nodes.select("node", "bitmap"), "node")
     buckets = buckets_for(lists.sparkSession, lists.count(), BUCKET_MEMBERS)
     bucket = F.pmod(F.xxhash64("list", "first", "second"), F.lit(buckets)).alias("bucket")
     dealt = dealt.select("list", "first", "second", "block", "node", "n", "root", "bitmap", bucket)
@@ -475,12 +519,12 @@ def spanning_links(percent: int):
 
     def links(group: pa.Table) -> pa.Table:
         node, n, root = (np.asarray(group.column(c), np.int64) for c in ("node", "n", "root"))
-        bitmap = unpacked(group.column("bitmap"), np.uint8)[0].reshape(-1, BITS // 8)
+        bits = Bitmaps(group.column("bitmap"))
         grams, many = unpacked(group.column("grams"), np.uint64)
         begin = np.cumsum(many) - many
         left, right = [], []
         for own, asks, base in blocks_of(group, "cluster"):
-            own_n, own_bits, within = n[own], bitmap[own], asks is base
+            own_n, within = n[own], asks is base
             nth, step = ranges(own_n)
             named = np.unique(grams[begin[own][nth] + step], return_inverse=True)[1]
             start = np.cumsum(own_n) - own_n
@@ -489,7 +533,7 @@ def spanning_links(percent: int):
             for k, i in enumerate(asks.tolist()):
                 rest = base[k + 1 :] if within else base
                 rest = rest[part[rest] != part[i]]
-                rest = rest[may_link(own_n[rest], own_n[i], own_bits[rest], own_bits[i], percent)[0]]
+                rest = rest[possible(bits, n, own, i, rest, percent)]
                 if not len(rest):
                     continue
                 mine = named[start[i] : start[i] + own_n[i]]
