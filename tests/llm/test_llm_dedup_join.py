@@ -5,6 +5,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nightframes.llm import exact_dedup, jaccard_join
@@ -94,6 +95,26 @@ def test_a_chain_of_near_copies_is_one_component(docs_of, monkeypatch, block):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(components(rows, 2, 85))
 
 
+def test_bitmaps_of_different_sizes_never_tell_more_apart_than_the_sets():
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 24, 1100)
+    sets = [base[:k] for k in (1, 200, 256, 257, 500, 520, 1000, 1030, 1100)]
+    n = np.array([len(x) for x in sets])
+    wide = jaccard_join.bitmap_bits(n)
+    assert len(set(wide.tolist())) > 2 and (wide >= 2 * n).all()
+    packed = [np.packbits((np.bincount(x % w, minlength=w) & 1).astype(np.uint8)).tobytes() for x, w in zip(sets, wide)]
+    bits = jaccard_join.Bitmaps(pa.array(packed, pa.binary()))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(n)), np.arange(len(n))))
+    found = bits.differ(a, bits, b)
+    assert (found <= np.abs(n[a] - n[b])).all() and (found[a == b] == 0).all()
+    # 1099 random shingles apart, folded to 512 bits: some 252 are to be expected
+    assert 200 < found[(a == 0) & (b == 8)][0] < 300
+
+
+def test_forest_keeps_what_joins():
+    assert jaccard_join.forest([1, 2, 3, 5], [2, 3, 1, 4], {1: 1, 2: 2, 3: 3, 4: 3, 5: 3}) == [0, 1]
+
+
 def test_representatives(docs_of, odd_rows):
     docs = docs_of(odd_rows)
     kept = jaccard_join.representatives(docs, 5, 80)
