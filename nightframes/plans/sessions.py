@@ -21,8 +21,8 @@ from nightframes.streaming import continuous as G
 _SERIES = f"{X.SESSION_SQL}, {X.SERIES_SQL}"
 
 
-def session_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = X.session_frames(spark, sf_dir).filter("status = 'analyzed'")
+def session_values(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    frames = X.session_frames(spark, sf_dir, in_order).filter("status = 'analyzed'")
     return T.metric_values(frames)
 
 
@@ -54,7 +54,8 @@ def series_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
  rtrim(rtrim(printf('%.6f', time), '0'), '.') as epoch_seconds, regexp_replace(cast(value as varchar), '\\.0$', '') as csv_value from series"""
 )
 def series_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.csv_rows(T.build_series(session_values(spark, sf_dir))).drop("time")
+    """Values keep all their digits, so their sums are taken in event order."""
+    return T.csv_rows(T.build_series(session_values(spark, sf_dir, in_order=True))).drop("time")
 
 
 _NICE = "case when {r} <= 1 then 1 when {r} <= 2 then 2 when {r} <= 5 then 5 else 10 end"

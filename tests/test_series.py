@@ -108,3 +108,21 @@ def test_metric_catalog(spark):
     rows = T.metric_catalog(spark).orderBy("ord").collect()
     assert [r["family"] for r in rows] == ["pixel"] * 10 + ["star"] * 4
     assert T.DEFAULT_METRIC == {"pixel": "mean", "star": "hfr"}
+
+
+def test_csv_values_do_not_depend_on_how_events_are_split(spark, tmp_path):
+    """A sum of doubles depends on its order; taken in event order it is the same from every file layout."""
+    from nightframes.plans.sessions import series_csv_rows
+
+    values = [0.1, 1e16, 0.7, -1e16, 0.3, 29.27, 122.79, 2.11, 0.2]
+    rows = [(i, f"2024-01-01 00:00:{i:02d}", u, v) for u in (1, 2) for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, value double")
+    events = events.withColumn("ts", F.to_timestamp_ntz("ts")).withColumn("event_id", F.col("event_id") * 2 + F.col("user_id"))
+    running = 0.0
+    for v in values:
+        running += v
+    for name, parts in (("one", 1), ("many", 7)):
+        dealt = events.repartition(parts, F.xxhash64("event_id")) if parts > 1 else events.coalesce(1)
+        dealt.write.parquet(str(tmp_path / name / "events.parquet"))
+        got = series_csv_rows(spark, str(tmp_path / name)).filter("metric = 'mean'").collect()
+        assert {r["session_id"]: float(r["csv_value"]) for r in got} == {u: running / len(values) for u in (1, 2)}
