@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from nightframes.llm.buffers import ranges, slices
 from nightframes.llm.encoder import WordEncoder, default_path
-from nightframes.llm.tables import binary_column, identified, kept, staged
+from nightframes.llm.tables import binary_column, identified, kept, staged, trimmed
 
 SIZE = 2048
 END = 0
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
     """
     known = identified(docs).select("doc_id", "text")
     pieces = known.mapInArrow(
-        piece_rows(path or default_path(), size, end),
+        trimmed(piece_rows(path or default_path(), size, end)),
         "doc_id bigint, piece int, start bigint, length bigint, ids binary, task int, rank bigint",
     )
     pieces = staged(pieces, "pieces", compression="zstd")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from nightframes.llm.buffers import Rolling, flat, mix, ranges, slices, word_hashes, words
 from nightframes.llm.components import roots
 from nightframes.llm.repeats import by_bucket, lengths, runs
-from nightframes.llm.tables import NO_ID, binary_column, identified, staged, unpacked
+from nightframes.llm.tables import NO_ID, binary_column, identified, staged, trimmed, unpacked
 
 SKETCH = 1 << 21
 SKETCH_BLOCK = 1 << 16
@@ -99,7 +99,7 @@ def summed(group: pa.Table) -> pa.Table:
 
 def shingle_ranks(known: DataFrame, width: int) -> np.ndarray:
     """The rank of each cell from rare to common: 4 MB, whatever the size of the table."""
-    rows = known.select("text").mapInArrow(sketch_rows(width), "block bigint, counts binary")
+    rows = known.select("text").mapInArrow(trimmed(sketch_rows(width)), "block bigint, counts binary")
     found = rows.groupBy("block").applyInArrow(summed, "block bigint, ranks binary").collect()
     out = np.zeros(SKETCH, np.uint16)
     for r in found:
@@ -386,7 +386,7 @@ def whole_sets(needed: DataFrame, known: DataFrame, width: int, name: str) -> Da
     """(node, grams) of the nodes of ``needed`` (node, id, mark); only their texts are looked up."""
     texts = marked_texts(known, needed).join(needed.select("node", "id", "mark"), ["id", "mark"])
     texts = texts.dropDuplicates(["id", "mark"]).select("node", "text")
-    return staged(texts.mapInArrow(set_rows(width), "node bigint, grams binary"), name)
+    return staged(texts.mapInArrow(trimmed(set_rows(width)), "node bigint, grams binary"), name)
 
 
 def lead_links(lists: DataFrame, nodes: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
@@ -399,7 +399,7 @@ def lead_links(lists: DataFrame, nodes: DataFrame, known: DataFrame, width: int,
     a = sets.select(F.col("node").alias("a"), F.col("grams").alias("a_set"))
     b = sets.select(F.col("node").alias("b"), F.col("grams").alias("b_set"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "a_set", "b_set")
-    return staged(both.mapInArrow(decided(percent), "a bigint, b bigint"), "lead-links")
+    return staged(both.mapInArrow(trimmed(decided(percent)), "a bigint, b bigint"), "lead-links")
 
 
 def block_pairs(members: DataFrame, group: str, weight, limit: int) -> DataFrame:
@@ -600,7 +600,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     most_small = max(n for n in range(1, 200) if subset_count(n, percent) <= MOST_SUBSETS)
     ranks = spark.sparkContext.broadcast(shingle_ranks(known, width))
     sign = signature_rows(width, percent, ranks, most_small)
-    signed = known.select("id", "mark", "text").mapInArrow(sign, SIGNATURE)
+    signed = known.select("id", "mark", "text").mapInArrow(trimmed(sign), SIGNATURE)
     signed = staged(signed.withColumn("node", F.monotonically_increasing_id()), "signatures")
     full = signed.filter("n > 0")
     light = boundary(full, percent, most_small)
@@ -610,7 +610,7 @@ def linked_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
                    .select("high", "low", "n", "x.*"), "nodes")
     buckets = buckets_for(spark, key_count(nodes, percent, light), BUCKET_KEYS)
     packed = nodes.select("node", "n", "keys", "small").mapInArrow(
-        list_rows(percent, light, buckets), "bucket bigint, keys binary, nodes binary, sizes binary, counts binary"
+        trimmed(list_rows(percent, light, buckets)), "bucket bigint, keys binary, nodes binary, sizes binary, counts binary"
     )
     lists = packed.groupBy("bucket").applyInArrow(shared_lists(percent), "list bigint, node bigint, lead bigint")
     lists = staged(lists, "lists")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nightframes.llm.buffers import slices
-from nightframes.llm.tables import staged
+from nightframes.llm.tables import staged, trimmed
 
 # Labelled documents a model is fitted on at most: those of least hash of their id.
 SAMPLE_ROWS = 20_000
@@ -414,7 +414,7 @@ def scores(docs: DataFrame, model: Model, columns: list[str], names=("score", "p
                 )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
-    return docs.mapInArrow(rows, f"{kinds}, {names[0]} double, {names[1]} int")
+    return docs.mapInArrow(trimmed(rows), f"{kinds}, {names[0]} double, {names[1]} int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:

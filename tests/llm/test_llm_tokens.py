@@ -100,3 +100,29 @@ def test_pieces_are_the_librarys(docs_of, rows):
     assert sorted((str(r.doc_id), bytes(r.text).decode()) for r in texts) == sorted(
         (str(i), (t or "").replace("▁", " ")) for i, t in rows
     )
+
+
+def test_a_worker_gives_back_what_a_task_has_freed():
+    import numpy as np
+    import pyarrow as pa
+
+    from nightframes.llm.jaccard_join import set_rows
+    from nightframes.llm.tables import trimmed
+
+    def held():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+
+    rng = np.random.default_rng(7)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, n))) for n in rng.integers(50, 2000, 1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["node", "text"])
+    # every task leaves its worker with no more than the first did
+    for _ in trimmed(set_rows(3))([batch]):
+        pass
+    first = held()
+    for _ in set_rows(3)([batch]):
+        pass
+    untrimmed = held()
+    for _ in trimmed(set_rows(3))([batch]):
+        pass
+    assert held() < first + 15
+    assert untrimmed > first + 30
