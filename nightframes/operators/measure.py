@@ -85,8 +85,9 @@ def shared_statistics(scanlines: DataFrame, planes: bool) -> tuple[DataFrame, Da
     def of(df: DataFrame, kind: str) -> DataFrame:
         return df.filter(F.col("kind") == kind).drop("kind")
 
-    stats = A.stats_from_counts(of(counts, FRAME))
-    halves = A.median_and_mad(of(counts, PLANE).filter(A.is_finite(F.col("v")))) if planes else None
+    rows = counts.count()
+    stats = A.stats_from_counts(of(counts, FRAME), rows=rows)
+    halves = A.median_and_mad(of(counts, PLANE).filter(A.is_finite(F.col("v"))), rows=rows) if planes else None
     rest = samples.filter(~F.col("counted"))
     if not rest.isEmpty():
         ordered = A.in_order(rest, KEYS, "key")
