@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nightframes.operators.planes import CFA_KEYWORDS
+from nightframes.session import dealt
 
 # Keywords that describe the pixel layout and are never carried over.
 RESERVED = (
@@ -100,12 +101,13 @@ def cube_targets(cards: DataFrame) -> DataFrame:
     )
 
 
-def missing_cards(cards: DataFrame, pairs: DataFrame) -> DataFrame:
+def missing_cards(cards: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """Cards each target takes over from its source, as ``source_id, frame_id, ord, …``.
 
     ``pairs`` holds ``source_id, target_id``. Reserved cards stay behind, as do CFA cards when
     the target is a cube; a name the target has is kept; of a name repeated in the source
-    only the first valued card is new to the target; commentary is always taken.
+    only the first valued card is new to the target; commentary is always taken. ``rows`` says
+    about how many cards both sides of all pairs have, so that tasks follow their number.
     """
     key, name = ["source_id", "frame_id", "name"], F.col("name")
     cubes = cube_targets(cards).withColumn("_cube", F.lit(True))
@@ -124,7 +126,9 @@ def missing_cards(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     # One grouping tells what the target has, the first valued card and all commentary.
     order, valued = F.col("_card.ord"), F.col("_card.value").isNotNull()
     said = ~valued & F.col("_card").isNotNull()
-    merged = offered.unionByName(held).groupBy(*key).agg(
+    both = offered.unionByName(held)
+    both = both if rows is None else dealt(both, ["source_id", "frame_id"], rows)
+    merged = both.groupBy(*key).agg(
         F.max("_has").alias("_has"),
         F.min_by("_card", F.when(valued, order)).alias("_first"),
         F.min(F.when(said, order)).alias("_said"),
@@ -136,16 +140,16 @@ def missing_cards(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     return merged.select(*key, F.explode(taken).alias("_card")).select(*key, "_card.*")
 
 
-def copy_header(cards: DataFrame, pairs: DataFrame) -> DataFrame:
+def copy_header(cards: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
     """The targets' cards with what they lacked behind them, in source order.
 
     A target may have several sources in ``pairs``; each pair is merged on its own, keyed by
-    ``source_id, frame_id``.
+    ``source_id, frame_id``; ``rows`` as in ``missing_cards``.
     """
     targets = cards.join(pairs.withColumnRenamed("target_id", "frame_id"), "frame_id")
     last = targets.groupBy("source_id", "frame_id").agg(F.max("ord").alias("_last"))
     added = (
-        missing_cards(cards, pairs)
+        missing_cards(cards, pairs, rows)
         .join(last, ["source_id", "frame_id"])
         .withColumn("ord", F.col("ord") + F.col("_last"))
         .drop("_last")
@@ -155,9 +159,9 @@ def copy_header(cards: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def copied_counts(cards: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Number of cards copied per pair, zero included."""
-    added = missing_cards(cards, pairs).groupBy("source_id", "frame_id").agg(
+def copied_counts(cards: DataFrame, pairs: DataFrame, rows: int | None = None) -> DataFrame:
+    """Number of cards copied per pair, zero included; ``rows`` as in ``missing_cards``."""
+    added = missing_cards(cards, pairs, rows).groupBy("source_id", "frame_id").agg(
         F.count(F.lit(1)).alias("copied")
     )
     return (

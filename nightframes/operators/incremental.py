@@ -17,7 +17,7 @@ from nightframes.operators import measure as M
 from nightframes.operators import planes as P
 from nightframes.operators import stars as D
 from nightframes.operators import stats as A
-from nightframes.session import attach, staged
+from nightframes.session import attach, dealt, staged
 
 ANALYZED, SKIPPED, ERROR = "analyzed", "skipped_no_date", "error"
 
@@ -164,12 +164,14 @@ def document_bundle(frames: DataFrame, cards: DataFrame, measured: DataFrame) ->
     array in header order, ``summary`` an array of label and value in the summary's order;
     both are as long as one header. A frame without cards has empty ones.
     """
+    cards = staged(cards, "cards")
+    rows = cards.count()
     card = F.struct("ord", "name", F.coalesce("value", F.lit("")).alias("value"), "comment")
-    headers = cards.groupBy("frame_id").agg(F.array_sort(F.collect_list(card)).alias("cards"))
+    headers = dealt(cards, ["frame_id"], rows).groupBy("frame_id").agg(F.array_sort(F.collect_list(card)).alias("cards"))
     headers = headers.withColumn(
         "cards", F.transform("cards", lambda c: F.struct(c["name"].alias("name"), c["value"].alias("value"), c["comment"].alias("comment")))
     )
-    lines = C.summary(C.catalog(cards)).groupBy("frame_id").agg(
+    lines = C.summary(C.catalog(cards, rows)).groupBy("frame_id").agg(
         F.array_sort(F.collect_list(F.struct("ord", "label", "value"))).alias("summary")
     )
     lines = lines.withColumn(
