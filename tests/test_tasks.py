@@ -73,6 +73,10 @@ def test_headers_are_dealt_by_the_number_of_cards(spark):
     assert [r["name"] for r in H.missing_cards(cards, pairs, MANY).collect()] == ["GAIN"]
 
 
+def test_session_frames_are_dealt_by_the_number_of_events(spark):
+    assert tasks(X.session_frames(spark, SF_DIR)) == 8
+
+
 def test_a_bundle_holds_the_cards_of_its_frame(spark, frame):
     lines = frame([[float((x * y) % 5) for x in range(6)] for y in range(6)])
     frames = lines.filter("y = 0").drop("samples", "y", "plane")
