@@ -59,6 +59,17 @@ def test_stretch_counts_are_dealt_by_the_number_of_pixels(spark, monkeypatch):
     assert row["median"] == pytest.approx(49.5 / 65535)
 
 
+def test_stretch_counts_of_a_slice_stay_in_its_task(spark, monkeypatch):
+    monkeypatch.setattr("nightframes.session.TASK_ROWS", 5)
+    columns = [f"cast(id % 10 as int) as {c}" for c in "rgb"]
+    rgb = spark.range(0, 300, 1, 1).selectExpr("id % 2 as frame_id", "cast(id as int) as y", *columns, "16 as depth")
+    counts = T.channel_counts(rgb)
+    assert tasks(counts) == 60  # no shuffle that Spark merges after the one by slices
+    assert {r["n"] for r in counts.groupBy("frame_id", "channel", "v").agg(F.sum("n").alias("n")).collect()} == {30}
+    got = {(r["frame_id"], r["channel"]): r["median"] for r in T.stretch_params(rgb).collect()}
+    assert got == {(f, c): pytest.approx((4 + f) / 65535) for f in (0, 1) for c in (0, 1, 2)}
+
+
 CARDS = "frame_id bigint, ord int, name string, value string"
 
 
