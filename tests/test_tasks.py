@@ -70,6 +70,36 @@ def test_stretch_counts_of_a_slice_stay_in_its_task(spark, monkeypatch):
     assert got == {(f, c): pytest.approx((4 + f) / 65535) for f in (0, 1) for c in (0, 1, 2)}
 
 
+def small_frames(spark):
+    """40 frames of the values 0 to 4."""
+    return spark.range(0, 200, 1, 1).selectExpr(
+        "id % 40 as frame_id", "cast(id div 40 as double) as raw", "'U8' as sample_type", "1D as bscale", "0D as bzero"
+    )
+
+
+def test_small_frames_are_counted_whole(spark, monkeypatch):
+    monkeypatch.setattr("nightframes.session.TASK_ROWS", 5)
+    counts = A.value_counts(small_frames(spark))
+    assert tasks(counts) == 40
+    assert counts.count() == 200 and counts.agg(F.sum("n")).first()[0] == 200
+
+
+def test_a_large_frame_is_counted_before_it_moves(spark, monkeypatch):
+    monkeypatch.setattr("nightframes.session.TASK_ROWS", 5)
+    rows = small_frames(spark).withColumn("frame_id", F.least("frame_id", F.lit(38)))
+    assert tasks(A.value_counts(rows)) <= 8
+    assert A.value_counts(rows).count() == 195
+
+
+def test_order_statistics_are_dealt_by_the_number_of_samples(spark, monkeypatch):
+    monkeypatch.setattr("nightframes.session.TASK_ROWS", 5)
+    for most in (5, 10**6):  # without and with a broadcast
+        monkeypatch.setattr("nightframes.operators.stats.BROADCAST_ROWS", most)
+        found = A.order_statistics(A.in_order(small_frames(spark).withColumnRenamed("raw", "v")))[1]
+        assert tasks(found) == 40
+        assert {(r["median"], r["mad"]) for r in found.collect()} == {(2.0, 1.4826)} and found.count() == 40
+
+
 CARDS = "frame_id bigint, ord int, name string, value string"
 
 
