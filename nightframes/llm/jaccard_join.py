@@ -232,8 +232,29 @@ def list_rows(percent: int, light: int, buckets: int):
     return rows
 
 
+def size_chains(key: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For members in order of list: a number for their chain of sizes in the list, and its length.
+
+    In order of size, a chain ends where the next member is too large to link with the one before
+    it. Then no member of a chain can link with one of another.
+    """
+    order = np.lexsort((size, key))
+    ordered, sizes = key[order], size[order]
+    begins = np.ones(len(order), bool)
+    begins[1:] = (ordered[1:] != ordered[:-1]) | ~size_fits(sizes[:-1], sizes[1:], percent)
+    first = np.flatnonzero(begins)
+    many = lengths(first, len(order))
+    number, length = np.empty(len(order), np.uint64), np.empty(len(order), np.int64)
+    number[order] = np.repeat(mix(ordered[first] + sizes[first].astype(np.uint64)), many)
+    length[order] = np.repeat(many, many)
+    return number, length
+
+
 def shared_lists(percent: int):
-    """Members of the lists with more than one, with the list's first member."""
+    """Members of the lists with more than one, with the list's first member.
+
+    A list is cut into chains of sizes that may link; members that are alone in theirs go.
+    """
 
     def members(group: pa.Table) -> pa.Table:
         kinds = {"keys": np.uint64, "nodes": np.int64, "sizes": np.uint32, "counts": np.uint32}
@@ -244,13 +265,13 @@ def shared_lists(percent: int):
         once = runs(key, node)
         key, node, size = key[once], node[once], size[once]
         first = runs(key)
-        many = lengths(first, len(key))
-        keep = np.repeat(many > 1, many)
-        lead = np.repeat(first, many)
-        fits = (100 * np.minimum(size, size[lead]) >= percent * np.maximum(size, size[lead])) & (node != node[lead])
+        lead = np.repeat(first, lengths(first, len(key)))
+        fits = size_fits(size, size[lead], percent) & (node != node[lead])
+        chain, many = size_chains(key, size, percent)
+        keep = many > 1
         return pa.table(
             {
-                "list": pa.array(key[keep].view(np.int64)),
+                "list": pa.array(chain[keep].view(np.int64)),
                 "node": pa.array(node[keep]),
                 "lead": pa.array(np.where(fits, node[lead], -1)[keep]),
             }

@@ -149,3 +149,27 @@ def test_shards_follow_the_larger_side_of_uneven_ids(docs_of, monkeypatch):
     # most shards of the index are empty
     for found in (exact_dedup.look_up(exact_dedup.build_index(first, shards), rest, shards), exact_dedup.decide(keyed)):
         assert sorted((r.id, r.size) for r in found.collect()) == sorted((0, 3) if i == 7 else (10**12 + i, 2) for i in range(150))
+
+
+def test_members_that_fit_none_of_their_list_in_size_leave_it():
+    def listed(members):  # (key, node, size) of one bucket
+        key, node, size = zip(*members)
+        columns = {"keys": (key, np.uint64), "nodes": (node, np.int64), "sizes": (size, np.uint32), "counts": ([1] * len(key), np.uint32)}
+        packed = pa.table({c: pa.array([np.array(x, t).tobytes()], pa.binary()) for c, (x, t) in columns.items()})
+        return jaccard_join.shared_lists(90)(packed).to_pylist()
+
+    got = listed([(7, 1, 100), (7, 2, 50), (7, 3, 91), (7, 4, 20), (7, 5, 83), (7, 6, 52), (8, 1, 100), (8, 2, 50)])
+    chains = {}
+    for r in got:
+        chains.setdefault(r["list"], {})[r["node"]] = r["lead"]
+    # 83 fits 91, not 100: one chain; a lead is the first member of the whole list
+    assert sorted(map(sorted, chains.values())) == [[1, 3, 5], [2, 6]]
+    assert {n: lead for c in chains.values() for n, lead in c.items()} == {1: -1, 2: -1, 3: 1, 5: -1, 6: -1}
+    rng = np.random.default_rng(3)
+    members = [(int(k), n, int(s)) for n, (k, s) in enumerate(zip(rng.integers(0, 9, 300), rng.integers(1, 200, 300)))]
+    together = {}
+    for r in listed(members):
+        together.setdefault(r["list"], set()).add(r["node"])
+    pairs = {p for c in together.values() for p in itertools.combinations(sorted(c), 2)}
+    for (k, a, m), (other, b, n) in itertools.combinations(members, 2):
+        assert k != other or 100 * min(m, n) < 90 * max(m, n) or (a, b) in pairs
