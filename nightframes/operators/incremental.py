@@ -17,7 +17,7 @@ from nightframes.operators import measure as M
 from nightframes.operators import planes as P
 from nightframes.operators import stars as D
 from nightframes.operators import stats as A
-from nightframes.session import attach, dealt, staged
+from nightframes.session import attach, dealt, matched, staged
 
 ANALYZED, SKIPPED, ERROR = "analyzed", "skipped_no_date", "error"
 
@@ -92,12 +92,11 @@ def measure_frames(
     background = None
     if pixel_stats:
         stats, background = M.shared_statistics(scanlines, planes=stars)
-        out = out.join(stats, "frame_id", "left")
+        out = matched(out, stats, ["frame_id"], "left")
     if stars:
         found = D.detect_stars(scanlines, frames, background=background)
-        out = out.join(found, "frame_id", "left").join(
-            P.detection_errors(frames).withColumnRenamed("error", "star_error"), "frame_id", "left"
-        )
+        errors = P.detection_errors(frames).withColumnRenamed("error", "star_error")
+        out = matched(matched(out, found, ["frame_id"], "left"), errors, ["frame_id"], "left")
     return out
 
 

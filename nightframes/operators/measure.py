@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nightframes.functions import scalars as S
 from nightframes.operators import planes as P
 from nightframes.operators import stats as A
-from nightframes.session import staged
+from nightframes.session import matched, staged
 
 FRAME, PLANE = "frame", "plane"
 KEYS = ["frame_id", "kind"]
@@ -100,5 +100,5 @@ def shared_statistics(scanlines: DataFrame, planes: bool) -> tuple[DataFrame, Da
         return stats, None
     # a frame's own median and MAD, except where its plane is another one
     halves = staged(halves, "halves")
-    own = stats.select("frame_id", "median", "mad").join(halves.select("frame_id"), "frame_id", "left_anti")
+    own = matched(stats.select("frame_id", "median", "mad"), halves.select("frame_id"), ["frame_id"], "left_anti")
     return stats, staged(own.unionByName(halves), "background")

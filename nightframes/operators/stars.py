@@ -25,7 +25,7 @@ from nightframes.operators.stats import (
     median_and_mad,
     order_statistics,
 )
-from nightframes.session import attach, ship, staged
+from nightframes.session import attach, matched, ship, staged
 
 ship(__name__)
 
@@ -222,7 +222,7 @@ def label_runs(runs: DataFrame, band_rows: int = BAND_ROWS) -> DataFrame:
     merged = _merge_parts(parts, band_rows)
     if merged is None:
         return parts.select("frame_id", "run", F.col("part").alias("label"))
-    return parts.join(merged, ["frame_id", "part"], "left").select(
+    return matched(parts, merged, ["frame_id", "part"], "left").select(
         "frame_id", "run", F.coalesce("label", "part").alias("label")
     )
 
@@ -252,7 +252,7 @@ def _merge_parts(parts: DataFrame, band_rows: int) -> DataFrame | None:
         "frame_id", y.alias("edge"), cells(x0, x1).alias("cell"), x0, x1, F.col("part").alias("b")
     )
     edges = staged(
-        last.join(first, ["frame_id", "edge", "cell"])
+        matched(last, first, ["frame_id", "edge", "cell"])
         .filter((x0 <= F.col("hi")) & (x1 >= F.col("lo")))
         .select("frame_id", "a", "b")
         .distinct(),
@@ -266,8 +266,7 @@ def _merge_parts(parts: DataFrame, band_rows: int) -> DataFrame | None:
         steps.append(moved)
         ends = {c: moved.select("frame_id", F.col("node").alias(c), F.col("to").alias(f"{c}_to")) for c in ("a", "b")}
         edges = staged(
-            edges.join(ends["a"], ["frame_id", "a"])
-            .join(ends["b"], ["frame_id", "b"])
+            matched(matched(edges, ends["a"], ["frame_id", "a"]), ends["b"], ["frame_id", "b"])
             .filter(F.col("a_to") != F.col("b_to"))
             .select("frame_id", F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
             .distinct(),
@@ -277,10 +276,10 @@ def _merge_parts(parts: DataFrame, band_rows: int) -> DataFrame | None:
     found = steps.pop()
     while steps:
         later = found.select("frame_id", F.col("node").alias("to"), F.col("to").alias("last"))
-        found = steps.pop().join(later, ["frame_id", "to"], "left")
+        found = matched(steps.pop(), later, ["frame_id", "to"], "left")
         found = staged(found.select("frame_id", "node", F.coalesce("last", "to").alias("to")), "found")
     least = found.groupBy("frame_id", "to").agg(F.min("node").alias("label"))
-    return found.join(least, ["frame_id", "to"]).select("frame_id", F.col("node").alias("part"), "label")
+    return matched(found, least, ["frame_id", "to"]).select("frame_id", F.col("node").alias("part"), "label")
 
 
 def _hooked(edges: DataFrame, turn: int) -> DataFrame:
@@ -297,7 +296,7 @@ def _hooked(edges: DataFrame, turn: int) -> DataFrame:
     first = both.groupBy("frame_id", "a").agg(F.min(drawn("b")).alias("near"))
     hooks = first.select("frame_id", F.col("a").alias("node"), F.least(drawn("a"), "near")["node"].alias("to"))
     onward = hooks.select("frame_id", F.col("node").alias("to"), F.col("to").alias("far"))
-    return hooks.join(onward, ["frame_id", "to"]).select("frame_id", "node", F.col("far").alias("to"))
+    return matched(hooks, onward, ["frame_id", "to"]).select("frame_id", "node", F.col("far").alias("to"))
 
 
 # --- stars --------------------------------------------------------------------------
@@ -360,11 +359,9 @@ def measure(labelled: DataFrame, accepted: DataFrame) -> DataFrame:
     """
     slot = F.pmod(F.col("y").cast("bigint"), F.lit(SPREAD))
     slots = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint")))
-    pixels = (
-        labelled.select("frame_id", "label", "y", "x0", "background", "values", slot.alias("slot"))
-        .join(accepted.withColumn("slot", slots), ["frame_id", "label", "slot"])
-        .select("*", F.posexplode("values").alias("i", "v"))
-    )
+    found = labelled.select("frame_id", "label", "y", "x0", "background", "values", slot.alias("slot"))
+    found = matched(found, accepted.withColumn("slot", slots), ["frame_id", "label", "slot"])
+    pixels = found.select("*", F.posexplode("values").alias("i", "v"))
     f = F.col("v") - F.col("background")
     dx = F.col("x0") + F.col("i") - F.col("cx")
     dy = F.col("y") - F.col("cy")
@@ -405,10 +402,8 @@ def find_stars(
         background = staged(plane_background(plane_rows), "background")
     runs = staged(runs_above(plane_rows, background, sigma_k), "runs")
     labels = label_runs(runs, band_rows)
-    labelled = staged(
-        runs.withColumn("run", run_id(F.col("y"), F.col("x0"))).join(labels, ["frame_id", "run"]),
-        "labelled",
-    )
+    numbered = runs.withColumn("run", run_id(F.col("y"), F.col("x0")))
+    labelled = staged(matched(numbered, labels, ["frame_id", "run"]), "labelled")
     return measure(labelled, accepted_components(labelled, min_pixels, max_pixels))
 
 
@@ -418,17 +413,13 @@ def star_stats(stars: DataFrame, frames: DataFrame) -> DataFrame:
     names = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("v")) for c in ("hfr", "fwhm", "eccentricity")])
     long = stars.select("frame_id", F.explode(names).alias("m")).select("frame_id", "m.name", "m.v").filter("v is not null")
     medians = frame_medians(long, ["frame_id", "name"])
-    shapes = stars.groupBy("frame_id").agg(F.count(F.lit(1)).alias("star_count")).join(
-        medians.groupBy("frame_id").agg(
-            *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in ("hfr", "fwhm", "eccentricity")]
-        ),
-        "frame_id",
-        "left",
+    middle = medians.groupBy("frame_id").agg(
+        *[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in ("hfr", "fwhm", "eccentricity")]
     )
-    return (
-        frames.select("frame_id")
-        .join(shapes, "frame_id", "left")
-        .withColumn("star_count", F.coalesce("star_count", F.lit(0).cast("bigint")))
+    counts = stars.groupBy("frame_id").agg(F.count(F.lit(1)).alias("star_count"))
+    shapes = matched(counts, middle, ["frame_id"], "left")
+    return matched(frames.select("frame_id"), shapes, ["frame_id"], "left").withColumn(
+        "star_count", F.coalesce("star_count", F.lit(0).cast("bigint"))
     )
 
 
@@ -454,7 +445,7 @@ def detect_stars(
     sizes = usable.select(
         "frame_id", side("width").alias("plane_width"), side("height").alias("plane_height")
     )
-    return star_stats(stars, sizes).join(sizes, "frame_id")
+    return matched(star_stats(stars, sizes), sizes, ["frame_id"])
 
 
 def plane_note(

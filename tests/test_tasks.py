@@ -10,10 +10,11 @@ from nightframes.functions import scalars as S
 from nightframes.operators import catalog as C
 from nightframes.operators import headers as H
 from nightframes.operators import incremental as N
+from nightframes.operators import stars as D
 from nightframes.operators import stats as A
 from nightframes.operators import stretch as T
 from nightframes.plans import fixtures as X
-from nightframes.session import TASK_ROWS, dealt
+from nightframes.session import TASK_ROWS, attach, dealt, staged
 
 SF_DIR = "/root/testdata/sf0.001"
 MANY = 40 * TASK_ROWS
@@ -100,6 +101,26 @@ def test_order_statistics_are_dealt_by_the_number_of_samples(spark, monkeypatch)
         assert {(r["median"], r["mad"]) for r in found.collect()} == {(2.0, 1.4826)} and found.count() == 40
 
 
+def test_tables_that_grow_with_the_frames_are_not_broadcast(spark, frame):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    ids = staged(spark.range(0, 100, 1, 1).selectExpr("id as frame_id", "id % 3 as v"), "ids")
+    rows = staged(ids.selectExpr("frame_id", "v as raw"), "rows")
+    joined = attach(rows, ids, ["frame_id"], F.col("raw"), broadcast_rows=0)
+    assert "Broadcast" not in plan(joined) and joined.count() == 100
+
+    lines = frame([[float((x * y) % 5) for x in range(6)] for y in range(6)])
+    measured = N.measure_frames(lines, lines.filter("y = 0").drop("samples", "y", "plane"))
+    assert "Broadcast" not in plan(measured) and measured.first()["count"] == 36
+
+    runs = "id as frame_id, id as label, 1 as y, 0 as x0, 0D as background, array(1D, 3D) as values"
+    accepted = "id as frame_id, id as label, 2L as area, 4D as flux, 0.75D as cx, 1D as cy"
+    tables = (staged(spark.range(1).selectExpr(*columns.split(", ", 5)), "stars") for columns in (runs, accepted))
+    stars = D.measure(*tables)
+    assert "Broadcast" not in plan(stars) and stars.first()["flux"] == 4
+
+
 CARDS = "frame_id bigint, ord int, name string, value string"
 
 
