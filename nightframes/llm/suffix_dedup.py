@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that an earlier document has too.
 
 Suffixes are compared through prefix polynomial hashes: a binary search over the length of
-the common prefix finds where two suffixes part with a logarithmic number of probes, and
-mergesort puts the suffixes of each bucket in order with such comparisons. Neighbours in
-that order whose common prefix is long enough are compared byte by byte before they count.
+the common prefix finds where suffixes part with a logarithmic number of probes. The suffixes
+of each bucket are put in order by the first bytes that tell those of a run apart, a few times,
+and by mergesort with such comparisons where they still agree. Neighbours in that order with
+equal hashes of the whole length are compared byte by byte before they count.
 Fragments equal as a whole do not come that far: they are taken for equal by hashes
 (bucket and 32 bits of the anchor, 48 of the fragment), named by 64 bits, neither sorted nor compared.
 """
@@ -22,6 +23,10 @@ from nightframes.llm.repeats import Kind, chunks, lengths, repeated_spans, runs,
 LENGTH = 50
 # Bytes of an anchor. Shorter ones would be fewer, but many would recur by chance.
 ANCHOR = 24
+# Bytes that suffixes of a run are put in order by before the mergesort: what a 64-bit number holds.
+WORD = 8
+# How often runs are cut by such bytes; each time most suffixes find their place.
+CUTS = 3
 # Windows compared byte by byte at once.
 VERIFY_ROWS = 1 << 17
 
@@ -48,8 +53,61 @@ def before(rolling: Rolling, data: np.ndarray, a: np.ndarray, b: np.ndarray, len
     return np.where(whole, ties, data[a + at] < data[b + at])
 
 
+def shared_prefix(rolling: Rolling, starts: np.ndarray, run: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
+    """Length of the prefix that all suffixes of a run share, at most ``length``, by binary search on equal hashes."""
+    heads = starts[first]
+    low, high = np.zeros(len(first), np.int64), np.full(len(first), length, np.int64)
+    for _ in range(int(length).bit_length()):
+        middle = (low + high + 1) >> 1
+        alike = rolling.of(starts, starts + middle[run]) == rolling.of(heads, heads + middle)[run]
+        same = np.logical_and.reduceat(alike, first)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return low
+
+
+def cut_runs(data: np.ndarray, rolling: Rolling, starts: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes within each run of ``group`` by what tells most of them apart, and the runs still to sort.
+
+    All suffixes of a run share a prefix (prefix hashes tell how long); they are put in order by
+    the WORD bytes after it, equal ones as they came. The second array numbers the runs of
+    suffixes, in that order, that agree in these too; it is -1 where nothing is left to sort.
+    """
+    first = runs(group)
+    size = lengths(first, len(starts))
+    run = np.repeat(np.arange(len(first)), size)
+    shared = shared_prefix(rolling, starts, run, first, length)
+    width = min(WORD, length)
+    at = starts + np.minimum(shared, length - width)[run]
+    word = np.zeros(len(starts), np.uint64)
+    for step in range(width):
+        word = word << np.uint64(8) | data[at + step]
+    order = np.lexsort((word, run))
+    first = runs(run, word[order])
+    size = lengths(first, len(starts))
+    done = (size == 1) | (shared[run[first]] == length)
+    return order, np.repeat(np.where(done, -1, np.arange(len(first))), size)
+
+
 def suffix_order(data: np.ndarray, rolling: Rolling, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Order of the suffixes within each run of ``group`` (which must be sorted) by mergesort.
+    """Order of the suffixes within each run of ``group`` (which must be sorted) by their first ``length`` bytes.
+
+    Runs are cut by their first different bytes a few times; those that agree there as well are merge-sorted.
+    """
+    order, todo = np.arange(len(starts)), np.arange(len(starts))
+    for _ in range(CUTS):
+        if len(todo):
+            part = order[todo]
+            cut, group = cut_runs(data, rolling, starts[part], group, length)
+            order[todo] = part[cut]
+            todo, group = todo[group >= 0], group[group >= 0]
+    if len(todo):
+        part = order[todo]
+        order[todo] = part[merged_order(data, rolling, starts[part], group, length)]
+    return order
+
+
+def merged_order(data: np.ndarray, rolling: Rolling, starts: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
+    """Order of the suffixes within each run of ``group`` by mergesort, equal ones as they came.
 
     All merges of one level are done together: each suffix finds its rank in the sorted
     neighbour run by binary search.
@@ -80,9 +138,9 @@ def suffix_order(data: np.ndarray, rolling: Rolling, starts: np.ndarray, group:
         place_new = place.copy()
         within = place[moving] % run
         place_new[moving] = (place[moving] - place[moving] % (2 * run)) + within + (low - other[moving])
-        merged_order = np.empty_like(order)
-        merged_order[begin + place_new] = order
-        order = merged_order
+        next_order = np.empty_like(order)
+        next_order[begin + place_new] = order
+        order = next_order
         place = np.arange(n) - begin
         run *= 2
     return order
@@ -102,8 +160,8 @@ def smallest(data: np.ndarray, rolling: Rolling, start: np.ndarray, key: np.ndar
     order = suffix_order(data, rolling, start, key, length)
     start = start[order]
     same = np.zeros(len(start), bool)
-    near = np.flatnonzero(key[1:] == key[:-1]) + 1
-    near = near[common_prefix(rolling, start[near - 1], start[near], length) == length]
+    whole = rolling.of(start, start + length)
+    near = np.flatnonzero((key[1:] == key[:-1]) & (whole[1:] == whole[:-1])) + 1
     same[near[same_bytes(data, start[near - 1], start[near], length)]] = True
     first = np.flatnonzero(~same)
     answer = np.empty_like(own)

@@ -82,3 +82,20 @@ def test_suffix_order_is_the_order_of_the_bytes():
     order = suffix_dedup.suffix_order(flat, rolling, starts, group, 20)
     want = sorted(range(300), key=lambda i: (group[i], data[starts[i] : starts[i] + 20], i))
     assert order.tolist() == want
+
+
+def test_suffixes_that_differ_early_are_not_compared_one_by_one(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(4)
+    anchor = bytes(rnd.choice(b"abcdefgh") for _ in range(24))
+    pieces = [bytes(rnd.choice(b"abcdefgh") for _ in range(13)) + anchor + bytes(rnd.choice(b"abcdefgh") for _ in range(13)) for _ in range(1000)]
+    data = b"".join([*pieces, *pieces[:100], *(p[:21] + p[21:37] + b"x" * 13 for p in pieces[:100])])
+    flat = np.frombuffer(data, np.uint8)
+    rolling = suffix_dedup.Rolling(suffix_dedup.BYTE_VALUES[flat])
+    compared, before = [], suffix_dedup.before
+    monkeypatch.setattr(suffix_dedup, "before", lambda *a: compared.append(len(a[2])) or before(*a))
+    starts = np.arange(1200) * 50
+    order = suffix_dedup.suffix_order(flat, rolling, starts, np.zeros(1200, np.int64), 50)
+    assert order.tolist() == sorted(range(1200), key=lambda i: (data[i * 50 : i * 50 + 50], i))
+    assert sum(compared) < 1200
